@@ -257,6 +257,7 @@ def _(t: Tables):
 
 
 def evaluation(t: Tables):
+    t.predictions = t.stored_predictions
     return evaluate(t.predictions, judged(t), confidences(t), judge.parse_scores(t.replies))
 
 

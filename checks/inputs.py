@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import fixed
 from quillmill.functions.draws import draw
-from quillmill.functions.text import SPACE, first_words
+from quillmill.functions.text import SPACE_CLASS as SPACE
+from quillmill.functions.text import first_words
 from quillmill.operators.curate import flatten_qa
 from quillmill.operators.prompts import format_as_instruction
+from quillmill.session import materialize
 from quillmill.sources.io import read_table
 
 QUESTIONS = [
@@ -90,7 +92,7 @@ class Tables:
 
     @cached_property
     def samples(self) -> DataFrame:
-        return flatten_qa(self.qa)
+        return materialize(flatten_qa(self.qa), "samples")
 
     @cached_property
     def formatted(self) -> DataFrame:
@@ -139,6 +141,10 @@ class Tables:
             F.when(draw(11, "unscored", tag, i) % 17 != 0, F.round("f1", 4)),
         )
 
+    @cached_property
+    def stored_predictions(self) -> DataFrame:
+        return materialize(self.predictions, "predictions")
+
     @cached_property
     def replies(self) -> DataFrame:
         """Judge replies, one per prediction, well and badly formed."""
@@ -169,15 +175,16 @@ class Tables:
         pair = F.when(kind == 3, F.lit("No scores.")).otherwise(text(
             'Scores: {"A": ', full, ', "B": {"faithfulness": ', c,
             F.when(kind == 2, F.lit("")).otherwise(text(', "precision": "', p, '"')), "}}"))
-        return self.predictions.select(
+        made = self.predictions.select(
             "sample_id", "model_tag", reply.alias("reply"), pair.alias("pair_reply")
         )
+        return materialize(made, "replies")
 
     @cached_property
     def clustered(self) -> DataFrame:
         """Failures of one model with a drawn cluster and map position."""
         i = F.col("sample_id")
-        return self.predictions.where(F.col("model_tag") == "dpo").where(
+        made = self.predictions.where(F.col("model_tag") == "dpo").where(
             F.coalesce("bertscore_f1", F.lit(1.0)) < fixed.FAILURE_F1
         ).select(
             "sample_id", "clause_type", "prediction", "reference",
@@ -185,6 +192,7 @@ class Tables:
             (draw(17, "x", i) / F.lit(4294967296.0)).alias("x"),
             (draw(17, "y", i) / F.lit(4294967296.0)).alias("y"),
         )
+        return materialize(made, "clustered")
 
 
 # --- the same in SQL --------------------------------------------------------------------

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.operators.scale import salted_join
+from quillmill.session import materialize
 
 
 def without_singletons(entries: DataFrame, block: list[str]) -> DataFrame:
@@ -43,23 +44,30 @@ def head_pairs(
 
     ``keep`` refers to the head's columns with the prefix ``h_`` and must order the
     pair. Heads are bounded per block; the members of a hot block are spread over salts.
+    The pairs (two ids each) are written, as later joins count them before reading them.
     """
     renamed = leaders.select(
         *block, *[F.col(c).alias(f"h_{c}") for c in leaders.columns if c not in block]
     )
-    return (
+    pairs = (
         salted_join(entries, renamed, block, ["id"])
         .where(keep)
         .select(F.col("h_id").alias("head"), F.col("id").alias("member"))
         .distinct()
     )
+    return materialize(pairs, "pairs")
 
 
 def with_payload(pairs: DataFrame, payload: DataFrame, value: str) -> DataFrame:
     """Attach ``value`` of both rows as ``a`` (head) and ``b`` (member).
 
     A head may have a third of all rows as members: its payload is repeated per salt.
+    Pairs are a few bytes but each costs a comparison, so they are dealt to all tasks
+    rather than merged by size.
     """
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     members = payload.select(F.col("id").alias("member"), F.col(value).alias("b"))
     leaders = payload.select(F.col("id").alias("head"), F.col(value).alias("a"))
-    return salted_join(pairs, leaders, ["head"], ["member"]).join(members, "member")
+    return salted_join(pairs, leaders, ["head"], ["member"]).repartition(
+        tasks, "member"
+    ).join(members, "member")

@@ -104,6 +104,20 @@ def _open_blocks(entries: DataFrame) -> DataFrame:
     return salted_join(entries, state, ["block"], ["id"])
 
 
+def _merge(roots: DataFrame, near: DataFrame) -> DataFrame:
+    """The components after linking the near pairs (head, member)."""
+    ends = roots.select(F.col("id").alias("head"), F.col("root").alias("a"))
+    others = roots.select(F.col("id").alias("member"), F.col("root").alias("b"))
+    edges = salted_join(near, ends, ["head"], ["member"]).join(others, "member")
+    merged = component_roots(edges.select("a", "b").distinct())
+    moved = merged.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return materialize(
+        salted_join(roots, moved, ["root"], ["id"], "left")
+        .select("id", F.coalesce("to", "root").alias("root")),
+        "labels",
+    )
+
+
 def neighbour_components(
     points: DataFrame, eps: float, axes: int = 3, per_block: int = HEADS
 ) -> DataFrame:
@@ -120,33 +134,27 @@ def neighbour_components(
     roots = materialize(rows.select(F.col("id"), F.col("id").alias("root")), "labels")
     active = materialize(_open_blocks(entries), "open")
     while not active.isEmpty():
+        # Heads are never in the block's largest component.
         outside = active.where(F.col("root") != F.col("main")).drop("main")
         leaders = materialize(blocking.heads(outside, ["block"], per_block), "heads")
         pairs = blocking.head_pairs(
             active.drop("main"), leaders, ["block"], F.col("h_root") != F.col("root")
         )
-        near = (
+        near = materialize(
             blocking.with_payload(pairs, rows, "vector")
             .where(distance(F.col("a"), F.col("b")) <= eps)
-            .select("head", "member")
-        )
-        ends = roots.select(F.col("id").alias("head"), F.col("root").alias("a"))
-        others = roots.select(F.col("id").alias("member"), F.col("root").alias("b"))
-        edges = salted_join(near, ends, ["head"], ["member"]).join(others, "member")
-        merged = component_roots(edges.select("a", "b").distinct())
-        moved = merged.select(F.col("node").alias("root"), F.col("root").alias("to"))
-        roots = materialize(
-            salted_join(roots, moved, ["root"], ["id"], "left")
-            .select("id", F.coalesce("to", "root").alias("root")),
-            "labels",
+            .select("head", "member"),
+            "near",
         )
-        left = active.drop("main").join(
+        if not near.isEmpty():
+            roots = _merge(roots, near)
+        left = active.select("block", "id").join(
             leaders.select("block", "id"), ["block", "id"], "left_anti"
         )
-        relabelled = salted_join(left, moved, ["root"], ["id", "block"], "left").select(
-            "id", "block", F.coalesce("to", "root").alias("root")
+        # Roots are looked up by id, of which a block row has one and none is hot.
+        active = materialize(
+            _open_blocks(materialize(left.join(roots, "id"), "cells")), "open"
         )
-        active = materialize(_open_blocks(relabelled), "open")
         per_block *= HEADS_GROWTH
     return roots
 
@@ -159,8 +167,11 @@ def density_clusters(
     ``min_size`` defaults to max(4, n // 20). A cluster is named by its smallest id.
     Equal vectors are folded first, so that copies are never compared.
     """
-    points = df.select(
-        F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")
+    points = materialize(
+        df.select(
+            F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")
+        ),
+        "points",
     )
     firsts = materialize(points.groupBy("vector").agg(F.min("id").alias("first")), "vectors")
     if min_size is None:

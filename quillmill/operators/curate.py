@@ -31,8 +31,12 @@ def long_enough(text: Column, min_words: int = fixed.MIN_WORDS) -> Column:
     return n_words(text) >= min_words
 
 
-def cut_context(text: Column, max_words: int = fixed.MAX_WORDS) -> Column:
-    return cut_words(text, max_words, fixed.CUT_MARKER)
+def cut_context(
+    text: Column, count: Column | None = None, max_words: int = fixed.MAX_WORDS
+) -> Column:
+    """``count`` is the number of words of ``text``, if a column holds it already."""
+    n = n_words(text) if count is None else count
+    return cut_words(text, n, max_words, fixed.CUT_MARKER)
 
 
 def flatten_qa(
@@ -47,14 +51,25 @@ def flatten_qa(
     Narrow: the class and length gates run before the cut, nothing is shuffled. The
     length is that of the cut text, so a cut row counts the marker as a word.
     """
-    tagged = records.withColumn("clause_type", clause_class(F.col("question")))
+    marker_words = len(fixed.CUT_MARKER.split())
+    tagged = records.select(
+        id_col,
+        "context",
+        "question",
+        first_answer(F.col("answers.text")).alias("answer"),
+        clause_class(F.col("question")).alias("clause_type"),
+        n_words(F.col("context")).alias("_words"),
+    )
     kept = tagged.where(is_target(F.col("clause_type"), targets)).where(
-        long_enough(F.col("context"), min_words)
+        F.col("_words") >= min_words
     )
+    n = F.col("_words")
     return kept.select(
         id_col,
         "clause_type",
-        cut_context(F.col("context"), max_words).alias("contract_text"),
-        strip(first_answer(F.col("answers.text"))).alias("answer"),
+        cut_context(F.col("context"), n, max_words).alias("contract_text"),
+        strip(F.col("answer")).alias("answer"),
         strip(F.col("question")).alias("question"),
-    ).withColumn("source_length", n_words(F.col("contract_text")))
+        F.when(n > max_words, F.lit(max_words + marker_words).cast("bigint")).otherwise(n)
+        .alias("source_length"),
+    )

@@ -223,17 +223,23 @@ def _drop_similar(
             .select("id")
         )
         blocked = similar.select(F.col("member").alias("id"))
-        kept = materialize(everywhere.join(blocked, "id", "left_anti"), "kept")
-        lost = materialize(
+        kept = everywhere.join(blocked, "id", "left_anti")
+        lost = (
             salted_join(similar, kept.withColumnRenamed("id", "head"), ["head"], ["member"])
             .select(F.col("member").alias("id"))
-            .distinct(),
-            "lost",
+            .distinct()
         )
-        dropped.append(lost)
-        decided = kept.unionByName(lost)
+        decided = materialize(
+            kept.withColumn("lost", F.lit(False)).unionByName(
+                lost.withColumn("lost", F.lit(True))
+            ),
+            "decided",
+        )
+        dropped.append(decided.where("lost").select("id"))
         active = materialize(
-            blocking.without_singletons(active.join(decided, "id", "left_anti"), BLOCK),
+            blocking.without_singletons(active.join(decided, "id", "left_anti"), BLOCK).select(
+                active.columns
+            ),
             "blocks",
         )
         per_block *= HEADS_GROWTH
@@ -308,8 +314,9 @@ def duplicate_links(
     the size of a group of near-copies.
     """
     keyed = token_sets(df, id_col, stratum, text_col)
+    keys = materialize(keyed.drop("tokens"), "set-keys")
     firsts = materialize(
-        keyed.groupBy("stratum", "set_key").agg(F.min("id").alias("first")), "firsts"
+        keys.groupBy("stratum", "set_key").agg(F.min("id").alias("first")), "firsts"
     )
     sets = materialize(
         keyed.drop("set_key").join(
@@ -342,7 +349,7 @@ def duplicate_links(
     )
     # A copy resembles what its first copy resembles; failing that, the first copy itself.
     answers = firsts.join(near, "first", "left")
-    copies = salted_join(keyed.drop("tokens"), answers, ["stratum", "set_key"], ["id"])
+    copies = salted_join(keys, answers, ["stratum", "set_key"], ["id"])
     return copies.where(F.col("head").isNotNull() | (F.col("id") != F.col("first"))).select(
         F.col("id").alias(id_col),
         F.coalesce("head", "first").alias("kept_id"),

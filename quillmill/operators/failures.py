@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmill.functions import fixed
 from quillmill.functions.text import mentions, n_words, prefix, text_or_empty
 from quillmill.operators.clustering import NOISE
-from quillmill.operators.scale import salted_join
+from quillmill.session import materialize
 
 
 def is_failure(score: Column, threshold: float = fixed.FAILURE_F1) -> Column:
@@ -84,9 +84,9 @@ def failure_points(
 ) -> DataFrame:
     """The map's rows; texts are cut to 300 characters. Empty below three failures."""
     n = clustered.agg(F.count(F.lit(1)).alias("n")).scalar()
-    named = salted_join(
-        clustered.where(n >= fixed.MIN_FAILURES), labels, ["cluster_id"], [id_col], "left"
-    )
+    # Written first, so that the planner broadcasts the labels only if they are small.
+    names = materialize(labels, "cluster-labels")
+    named = clustered.where(n >= fixed.MIN_FAILURES).join(names, "cluster_id", "left")
     fallback = F.concat(F.lit("Cluster "), F.col("cluster_id").cast("string"))
     return named.select(
         id_col,

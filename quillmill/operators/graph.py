@@ -47,6 +47,7 @@ def component_roots(edges: DataFrame) -> DataFrame:
             if settled:
                 break
         roots = materialize(_follow(roots, "root", parents, ["node"]), "roots")
-        moved = _follow(_follow(level, "a", parents, ["b"]), "b", parents, ["a"])
+        half = materialize(_follow(level, "a", parents, ["b"]).distinct(), "half")
+        moved = _follow(half, "b", parents, ["a"])
         level = materialize(moved.where("a <> b").distinct(), "edges")
     return roots

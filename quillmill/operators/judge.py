@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from quillmill.functions import fixed
 from quillmill.operators.metrics import TAG
 
-STRICT = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
+# The parsers stop at the end of the first value. With a last element of our own behind
+# the reply, anything between the reply's object and that element makes it invalid.
+LAST = "$last"
 
 
 def json_part(reply: Column) -> Column:
@@ -16,6 +18,13 @@ def json_part(reply: Column) -> Column:
     return F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit(""))
 
 
+def whole_object(reply: Column) -> Column:
+    """The reply's JSON span as a variant [object, last]; NULL unless it is one object."""
+    parsed = F.try_parse_json(F.concat(F.lit("["), json_part(reply), F.lit(f',"{LAST}"]')))
+    ends = F.try_variant_get(parsed, "$[1]", "string") == LAST
+    return F.when(ends & F.try_variant_get(parsed, "$[2]", "variant").isNull(), parsed)
+
+
 def parse_scores(replies: DataFrame, reply_col: str = "reply", default: float = 5.0) -> DataFrame:
     """Adds one score per dimension to the replies that hold a JSON object.
 
@@ -23,19 +32,19 @@ def parse_scores(replies: DataFrame, reply_col: str = "reply", default: float =
     dimensions after it, in their fixed order; a reply whose first score is void is
     dropped.
     """
-    parsed = replies.withColumn("_part", json_part(F.col(reply_col))).where(
-        F.try_parse_json("_part").isNotNull()
-    ).withColumn("_map", F.from_json("_part", "map<string,string>", STRICT))
-    valid = F.col("_map").isNotNull()
+    parsed = replies.withColumn("_v", whole_object(F.col(reply_col))).where("_v IS NOT NULL")
+    valid = F.lit(True)
     for name in fixed.JUDGE_DIMENSIONS:
-        given = F.map_contains_key("_map", F.lit(name))
-        score = F.when(given, F.try_element_at("_map", F.lit(name)).try_cast("double")).otherwise(
-            F.lit(default)
-        )
+        path = f"$[0].{name}"
+        given = F.try_variant_get("_v", path, "variant").isNotNull()
+        # A missing key is the default, a null or a text that is no number is void.
+        score = F.when(
+            given, F.try_variant_get("_v", path, "string").try_cast("double")
+        ).otherwise(F.lit(default))
         valid = valid & score.isNotNull()
         parsed = parsed.withColumn(name, F.when(valid, score))
     first = fixed.JUDGE_DIMENSIONS[0]
-    return parsed.where(F.col(first).isNotNull()).drop("_part", "_map")
+    return parsed.where(F.col(first).isNotNull()).drop("_v")
 
 
 def judge_summary(scores: DataFrame, models: DataFrame | None = None) -> DataFrame:
@@ -54,17 +63,13 @@ def parse_pair_scores(replies: DataFrame, reply_col: str = "reply") -> DataFrame
 
     Replies without JSON are dropped; a text that is no number gives NULL.
     """
-    rows = replies.withColumn("_part", json_part(F.col(reply_col))).where(
-        F.try_parse_json("_part").isNotNull()
-    )
-    rows = rows.withColumn("_v", F.try_parse_json("_part"))
-    out = rows
+    out = replies.withColumn("_v", whole_object(F.col(reply_col))).where("_v IS NOT NULL")
     for side, prefix in (("A", "base"), ("B", "tuned")):
         scores = []
         for name in fixed.JUDGE_DIMENSIONS:
-            raw = F.try_variant_get("_v", f"$.{side}.{name}", "string")
+            raw = F.try_variant_get("_v", f"$[0].{side}.{name}", "string")
             score = F.when(raw.isNull(), F.lit(0.0)).otherwise(raw.try_cast("double"))
             out = out.withColumn(f"{prefix}_{name}", score)
             scores.append(F.col(f"{prefix}_{name}"))
         out = out.withColumn(f"{prefix}_mean", sum(scores[1:], scores[0]) / len(scores))
-    return out.drop("_part", "_v")
+    return out.drop("_v")

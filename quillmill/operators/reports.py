@@ -11,6 +11,7 @@ from quillmill.functions import fixed
 from quillmill.functions.text import n_words
 from quillmill.operators.metrics import TAG
 from quillmill.operators.scale import exact_percentiles
+from quillmill.session import materialize
 from quillmill.sources.io import SPLITS
 
 COMPARED = ["bertscore_f1", "clause_presence_accuracy", "hallucination_rate", "ece"]
@@ -24,13 +25,17 @@ def card_counts(samples: DataFrame) -> DataFrame:
     )
 
 
-def card_lengths(samples: DataFrame) -> DataFrame:
-    """One row: mean, median and 95th percentile of answer words, mean and median of
-    context words, one decimal. Percentiles are exact."""
-    lengths = samples.select(
+def _lengths(samples: DataFrame) -> DataFrame:
+    return samples.select(
         n_words(F.col("answer")).alias("answer_words"),
         F.col("source_length").cast("bigint").alias("context_words"),
     )
+
+
+def card_lengths(samples: DataFrame) -> DataFrame:
+    """One row: mean, median and 95th percentile of answer words, mean and median of
+    context words, one decimal. Percentiles are exact."""
+    lengths = materialize(_lengths(samples), "lengths")
     means = lengths.agg(
         F.avg("answer_words").alias("answer_mean"), F.avg("context_words").alias("context_mean")
     )
@@ -65,7 +70,9 @@ def class_distribution(samples: DataFrame, class_col: str = "clause_type") -> Da
 def dataset_card(
     samples: DataFrame, dataset: str, targets: list[str] | None = None
 ) -> DataFrame:
-    """The card as one nested row."""
+    """The card as one nested row. What it needs of the samples is written once, without
+    the texts, since the exact percentiles read it several times."""
+    samples = materialize(samples.select("split", "clause_type", "answer", "source_length"), "card")
     classes = samples.groupBy("clause_type").agg(F.count(F.lit(1)).alias("n"))
     # One entry per class of the taxonomy.
     by_class = classes.agg(

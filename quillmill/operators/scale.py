@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.session import materialize
+
 MAX_HOT_KEYS = 1000
 MIN_HOT_ROWS = 10_000
 
@@ -12,19 +14,20 @@ MIN_HOT_ROWS = 10_000
 def heavy_keys(
     df: DataFrame,
     keys: list[str],
+    total: int,
     max_keys: int = MAX_HOT_KEYS,
     min_rows: int = MIN_HOT_ROWS,
 ) -> DataFrame:
-    """Keys that hold more than one ``max_keys``-th of the rows, with a salt count.
+    """Keys that hold more than one ``max_keys``-th of the ``total`` rows, with a salt count.
 
     Fewer than ``max_keys`` keys can pass that test, so the result may be broadcast
     whatever the size of ``df``. ``salts`` is the number of fair shares a key holds.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    total = counts.agg(F.sum("rows").alias("total"))
-    share = F.col("rows") * max_keys / total.scalar()
+    share = F.col("rows") * max_keys / F.lit(float(total))
     return (
-        counts.where((F.col("rows") >= min_rows) & (share > 1))
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .where((F.col("rows") >= min_rows) & (share > 1))
         .select(*keys, F.ceil(share).cast("int").alias("salts"))
     )
 
@@ -42,18 +45,28 @@ def salted_join(
 
     Hot keys of ``left`` are spread over salts taken from the row's own columns (so a
     retried task salts alike), and only those rows of ``right`` are repeated per salt.
-    ``how`` is inner, left, left_semi or left_anti.
+    ``how`` is inner, left, left_semi or left_anti. The keys of ``left`` are counted
+    first, so it should be stored rather than expensive to compute; without a hot key
+    this is a plain join.
     """
-    hot = heavy_keys(left, keys, max_keys, min_rows)
-    spread = left.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt",
-        F.coalesce(
-            F.pmod(F.xxhash64(*salt_by), F.col("salts")).cast("int"), F.lit(0)
-        ),
-    ).drop("salts")
-    copies = right.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))
-    ).drop("salts")
+    total = left.count()
+    if total < min_rows:
+        return left.join(right, keys, how)
+    hot = materialize(heavy_keys(left, keys, total, max_keys, min_rows), "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    salt = F.pmod(F.xxhash64(*salt_by), F.col("salts")).cast("int")
+    spread = (
+        left.join(F.broadcast(hot), keys, "left")
+        .withColumn("_salt", F.coalesce(salt, F.lit(0)))
+        .drop("salts")
+    )
+    last = F.coalesce(F.col("salts"), F.lit(1)) - 1
+    copies = (
+        right.join(F.broadcast(hot), keys, "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
+        .drop("salts")
+    )
     return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
