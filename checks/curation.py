@@ -238,19 +238,19 @@ def token_sql(stratum: str = "lang") -> str:
 
 def pair_sql(stratum: str = "lang") -> str:
     return token_sql(stratum) + """,
-    tk AS (SELECT id, s, len(t) AS n, unnest(t) AS w FROM sets),
-    shared AS (SELECT a.id AS i, b.id AS j, a.n AS na, b.n AS nb, count(*) AS c
+    tk AS MATERIALIZED (SELECT id, s, len(t) AS n, unnest(t) AS w FROM sets),
+    shared AS MATERIALIZED (SELECT a.id AS i, b.id AS j, a.n AS na, b.n AS nb, count(*) AS c
         FROM tk a JOIN tk b ON a.s = b.s AND a.w = b.w AND a.id < b.id
         AND least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) - 0.000001 GROUP BY ALL),
-    pairs AS (SELECT i, j, c::DOUBLE / (na + nb - c) AS sim FROM shared
+    pairs AS MATERIALIZED (SELECT i, j, c::DOUBLE / (na + nb - c) AS sim FROM shared
         WHERE c::DOUBLE / (na + nb - c) >= 0.85::DOUBLE),
-    later AS (SELECT j AS id, list(i) AS earlier, row_number() OVER (ORDER BY j) AS k
+    later AS MATERIALIZED (SELECT j AS id, list(i) AS earlier, row_number() OVER (ORDER BY j) AS k
         FROM pairs GROUP BY j),
     walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone UNION ALL
         SELECT l.k, CASE WHEN len(list_filter(l.earlier, lambda x: NOT list_contains(w.gone, x))) > 0
             THEN list_append(w.gone, l.id) ELSE w.gone END
         FROM walk w JOIN later l ON l.k = w.k + 1),
-    lost AS (SELECT unnest(gone) AS id FROM walk WHERE k = (SELECT max(k) FROM walk))"""
+    lost AS MATERIALIZED (SELECT unnest(gone) AS id FROM walk WHERE k = (SELECT max(k) FROM walk))"""
 
 
 @query("token_sets", token_sql() + """ == SELECT id, s AS stratum, len(t)::BIGINT AS size,
