@@ -60,6 +60,8 @@ def size_groups(threshold: float, largest: int = MAX_SET_SIZE) -> list[tuple[int
     A group ends where its smallest set no longer reaches the threshold with a larger
     one, so similar sets lie in the same or in neighbouring groups.
     """
+    if threshold >= 1:
+        return [(1, 0)]  # only equal sets are similar, and those are folded beforehand
     groups, low = [], 1
     while low <= largest:
         high = max(low, math.floor(low / threshold + 1e-9))
