@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -269,9 +270,8 @@ def kept_ids(
     )
     sets = materialize(keyed.drop("set_key").join(firsts, "id", "left_semi"), "sets")
     make = blocks or (lambda s: part_blocks(s, threshold))
-    kept = firsts
-    for lost in _drop_similar(make(sets), sets, threshold, per_block):
-        kept = kept.join(lost, "id", "left_anti")
+    rounds = _drop_similar(make(sets), sets, threshold, per_block)
+    kept = firsts.join(reduce(DataFrame.unionByName, rounds), "id", "left_anti") if rounds else firsts
     return kept.withColumnRenamed("id", id_col)
 
 
@@ -333,11 +333,8 @@ def duplicate_links(
         _payload(sets).join(entries.select("id").distinct(), "id", "left_semi"),
         "block-sets",
     )
-    lost = None
-    for part in _drop_similar(entries, sets, threshold, HEADS):
-        lost = part if lost is None else lost.unionByName(part)
-    if lost is None:
-        lost = payload.select("id").limit(0)
+    rounds = _drop_similar(entries, sets, threshold, HEADS)
+    lost = reduce(DataFrame.unionByName, rounds) if rounds else payload.select("id").limit(0)
     losing = entries.join(lost, "id", "left_semi")
     standing = entries.join(lost, "id", "left_anti")
     pairs = blocking.head_pairs(
