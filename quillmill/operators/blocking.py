@@ -55,19 +55,16 @@ def head_pairs(
         .select(F.col("h_id").alias("head"), F.col("id").alias("member"))
         .distinct()
     )
-    return materialize(pairs, "pairs")
+    # A few bytes each, but each costs a comparison: dealt to all tasks, not merged by size.
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(pairs.repartition(tasks, "member"), "pairs")
 
 
 def with_payload(pairs: DataFrame, payload: DataFrame, value: str) -> DataFrame:
     """Attach ``value`` of both rows as ``a`` (head) and ``b`` (member).
 
     A head may have a third of all rows as members: its payload is repeated per salt.
-    Pairs are a few bytes but each costs a comparison, so they are dealt to all tasks
-    rather than merged by size.
     """
-    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     members = payload.select(F.col("id").alias("member"), F.col(value).alias("b"))
     leaders = payload.select(F.col("id").alias("head"), F.col(value).alias("a"))
-    return salted_join(pairs, leaders, ["head"], ["member"]).repartition(
-        tasks, "member"
-    ).join(members, "member")
+    return salted_join(pairs, leaders, ["head"], ["member"]).join(members, "member")

@@ -62,12 +62,17 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0).cast("double"), lambda acc, x: acc + x))
 
 
-def _widest_axes(points: DataFrame, n_axes: int) -> list[int]:
-    """The coordinates of largest variance: a choice of at most ``n_axes`` numbers."""
+def _widest_axes(points: DataFrame, eps: float, n_axes: int) -> list[int]:
+    """At most ``n_axes`` coordinates of largest variance. One that spans no more than eps
+    cannot part any two points and is left out."""
     spread = (
         points.select(F.posexplode("vector").alias("axis", "value"))
         .groupBy("axis")
-        .agg(F.var_pop("value").alias("spread"))
+        .agg(
+            F.var_pop("value").alias("spread"),
+            (F.max("value") - F.min("value")).alias("span"),
+        )
+        .where(F.col("span") > eps)
         .orderBy(F.desc("spread"), "axis")
         .limit(n_axes)
     )
@@ -83,7 +88,7 @@ def _grid_blocks(points: DataFrame, eps: float, axes: list[int]) -> DataFrame:
     width = eps * (1 + 1e-9)
     cells = [F.floor(F.get("vector", F.lit(axis)) / width) for axis in axes]
     corners = F.array(*[
-        F.xxhash64(*[cell + shift for cell, shift in zip(cells, shifts)])
+        F.xxhash64(F.lit(0), *[cell + shift for cell, shift in zip(cells, shifts)])
         for shifts in itertools.product((0, 1), repeat=len(axes))
     ])
     return points.select("id", F.explode(corners).alias("block"))
@@ -129,7 +134,7 @@ def neighbour_components(
     A dense crowd is closed in a round or two, without listing its pairs.
     """
     rows = points.select("id", "vector")
-    blocks = _grid_blocks(rows, eps, _widest_axes(rows, axes))
+    blocks = _grid_blocks(rows, eps, _widest_axes(rows, eps, axes))
     entries = materialize(blocks.withColumn("root", F.col("id")), "cells")
     roots = materialize(rows.select(F.col("id"), F.col("id").alias("root")), "labels")
     active = materialize(_open_blocks(entries), "open")
