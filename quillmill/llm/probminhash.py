@@ -29,7 +29,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:  # forget, never grow with the corpus
+        if len(self) > 200_000:  # forget, never grow with the corpus
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -51,9 +51,9 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     size = min(size, len(words))
     n = len(words) - size + 1
     out = np.zeros(n, np.uint64)
-    for k in range(size):
-        out = mix(out ^ words[k:k + n])
-    return out
+    for k in range(size):  # order counts: (...(w1 g + w2) g + ...) g + w5, then mixed
+        out = out * GOLDEN + words[k:k + n]
+    return mix(out)
 
 
 def weighted(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,13 +107,9 @@ def signatures(
         time[live] -= np.log(uniform) / weights[live]
         cell = owner[live] * registers + (mix(draw) % np.uint64(registers)).astype(np.int64)
         now = time[live]
-        # The earliest arrival of this round per cell, then compared with the rounds before.
-        order = np.lexsort((elements[live], now))
-        cells, at = np.unique(cell[order], return_index=True)
-        pick = order[at]
-        better = now[pick] < first[cells]
-        first[cells[better]] = now[pick][better]
-        winner[cells[better]] = elements[live][pick][better]
+        np.minimum.at(first, cell, now)
+        leads = now == first[cell]
+        winner[cell[leads]] = elements[live][leads]
         latest = first.reshape(n_sets, registers).max(axis=1)
         live = live[now < latest[owner[live]]]
     return winner.reshape(n_sets, registers)
