@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import shuffle_tasks, whole_text, without
@@ -127,8 +128,34 @@ def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
     return keys
 
 
+def nibbles(signature: np.ndarray) -> np.ndarray:
+    """(n_sets, words): four bits of every register, sixteen registers to a 64-bit word."""
+    short = mix(signature) & np.uint64(15)
+    padded = np.zeros((len(short), -(-short.shape[1] // 16) * 16), np.uint64)
+    padded[:, :short.shape[1]] = short
+    shifts = np.arange(16, dtype=np.uint64) * np.uint64(4)
+    return (padded.reshape(len(short), -1, 16) << shifts).sum(axis=2, dtype=np.uint64)
+
+
+def mismatches(a: Column, b: Column, words: int) -> Column:
+    """How many of the four-bit registers differ."""
+    total = F.lit(0)
+    for i in range(words):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def most_mismatches(registers: int, threshold: float, errors: float = 3.5) -> int:
+    """Differing four-bit registers of a pair at ``threshold``, plus ``errors`` standard errors."""
+    share = (1 - threshold) * 15 / 16
+    return math.floor(registers * share + errors * math.sqrt(registers * share * (1 - share)))
+
+
 def _sketch(texts: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """(digest, doc_id, keys): the band keys of every text that has words."""
+    """(digest, doc_id, keys, nibbles): the signature of every text that has words."""
     chunk = 200_000  # shingles per numpy call
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,13 +163,15 @@ def _sketch(texts: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             owner = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
             got = signatures(np.concatenate([s[0] for s in sets]),
                              np.concatenate([s[1] for s in sets]), owner, len(sets), bands * rows)
-            keys = band_keys(got, bands).astype(np.int64).ravel()
-            offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands)
+            def lists(values: np.ndarray) -> pa.ListArray:
+                ends = np.arange(len(sets) + 1, dtype=np.int32) * values.shape[1]
+                return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64).ravel()))
+
             return pa.RecordBatch.from_arrays(
                 [pa.array([d for d, _ in names], pa.binary()),
                  pa.array([i for _, i in names], pa.int64()),
-                 pa.ListArray.from_arrays(offsets, pa.array(keys))],
-                names=["digest", "doc_id", "keys"])
+                 lists(band_keys(got, bands)), lists(nibbles(got))],
+                names=["digest", "doc_id", "keys", "nibbles"])
 
         for batch in batches:
             names, sets, held = [], [], 0
@@ -159,12 +188,12 @@ def _sketch(texts: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 yield made(names, sets)
 
     return texts.select("digest", F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "digest binary, doc_id long, keys array<long>"
+        run, "digest binary, doc_id long, keys array<long>, nibbles array<long>"
     )
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """The (head, member) pairs whose texts have a probability Jaccard of ``threshold``.
+def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(a, b, similarity): the exact probability Jaccard of the (head, member) pairs.
 
     A head may be paired with a third of all texts: its pairs are dealt over salts, its text is
     sent once per salt, and a task streams through members holding one head at a time.
@@ -187,18 +216,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, held = None, None
         for batch in batches:
-            found: list[tuple[int, int]] = []
+            found: list[tuple[int, int, float]] = []
             for h, m, t in zip(batch.column("head"), batch.column("member"), batch.column("text")):
                 one = weighted(word_hashes(t.as_py()), size)
                 if m.as_py() is None:
                     head, held = h.as_py(), one
-                elif probability_jaccard(held, one) >= threshold - 1e-9:
-                    found.append((head, m.as_py()))
+                else:
+                    found.append((head, m.as_py(), probability_jaccard(held, one)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([a for a, _ in found], pa.int64()),
-                 pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+                [pa.array([f[i] for f in found], kind)
+                 for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))],
+                names=["a", "b", "similarity"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long, similarity double")
 
 
 def _with_roots(df: DataFrame, column: str, roots: DataFrame | None) -> DataFrame:
@@ -212,25 +242,38 @@ def _with_roots(df: DataFrame, column: str, roots: DataFrame | None) -> DataFram
 
 
 def linked_nodes(
-    sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: float, size: int
+    sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: float, size: int,
+    registers: int,
 ) -> DataFrame | None:
     """(node, root) of the texts linked to another one; None without any link.
 
-    ``sketches`` has a row (node, keys) per distinct text, ``fetch`` adds the text to the nodes
-    that share a bucket with another one. In rounds, every bucket compares its
+    ``sketches`` has a row (node, keys, nibbles) per distinct text, ``fetch`` adds the text to
+    the nodes that share a bucket with another one. In rounds, every bucket compares its
     first members ("heads") with all its other members that are not yet in the head's component;
     then the heads leave the bucket, since all their candidates there are decided. A bucket ends
-    when one component is left in it. So every pair of a bucket is either verified or already
-    linked: no cap, and a crowd of copies ends after one round, in time linear in its size.
-    Heads per bucket grow fourfold per round, so buckets of unlike texts take few rounds.
+    when one component is left in it. So every pair of a bucket is either decided or already
+    linked, without a cap. Heads go by crowd: the text that a crowd of near copies was made
+    from meets the most texts and resembles them all, so a crowd ends after one round, in
+    time linear in its size. Heads per bucket grow fourfold per round.
+
+    From the second round on a pair of a bucket is verified unless that is known to be vain: if it
+    meets in an earlier band too (it is verified there), if the signatures differ in more registers
+    than a pair at the threshold does plus 3.5 standard errors, or if the two differ by
+    more than 1 - threshold in their exact similarity to the same head of the first round
+    (1 - probability Jaccard is a metric).
     """
     entries = sketches.select("node", F.explode("keys").alias("bucket"))
     shared = (
-        entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+        entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    )
+    sized = materialize(entries.join(shared, "bucket"), "pmh-entries")
+    crowds = sized.groupBy("node").agg(F.sum("n").alias("crowd"))
+    active = materialize(
+        sized.select("bucket", "node").join(crowds, "node").select("bucket", "node", "crowd"),
+        "pmh-crowds",
     )
-    active = materialize(entries.join(shared, "bucket", "left_semi"), "pmh-entries")
     held = materialize(fetch(active.select("node").distinct()), "pmh-texts")
-    roots, tested, n_heads = None, None, 1
+    roots, details, n_heads = None, None, 1
     while True:
         rooted = _with_roots(active, "node", roots)
         live = (
@@ -240,31 +283,68 @@ def linked_nodes(
         rooted = materialize(rooted.join(live, "bucket", "left_semi"), "pmh-live")
         if rooted.isEmpty():
             return roots
-        if n_heads == 1:
-            heads = rooted.groupBy("bucket").agg(F.min("node").alias("head"))
-        else:
-            rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-            heads = rooted.withColumn("r", rank).where(F.col("r") <= n_heads).select(
-                "bucket", F.col("node").alias("head")
-            )
-        heads = materialize(_with_roots(heads, "head", roots), "pmh-heads")
-        pairs = (
-            rooted.join(heads.withColumnRenamed("root", "head_root"), "bucket")
-            .where("node > head AND root <> head_root")
-            .select("head", F.col("node").alias("member")).distinct()
+        order = Window.partitionBy("bucket").orderBy(F.desc("crowd"), "node")
+        heads = materialize(
+            rooted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n_heads)
+            .drop("r"),
+            "pmh-heads",
+        )
+        later = (
+            (F.col("root") != F.col("h_root"))
+            & ((F.col("crowd") < F.col("h_crowd"))
+               | ((F.col("crowd") == F.col("h_crowd")) & (F.col("node") > F.col("h_node"))))
         )
-        if tested is not None:
-            pairs = pairs.join(tested, ["head", "member"], "left_anti")
+        left, right = rooted, heads
+        if details is not None:
+            left, right = left.join(details, "node"), right.join(details, "node")
+            later = later & _worth(registers, threshold)
+        pairs = left.join(
+            right.select("bucket", *[F.col(c).alias(f"h_{c}") for c in right.columns if c != "bucket"]),
+            "bucket",
+        ).where(later).select(
+            F.col("h_node").alias("head"), F.col("node").alias("member"),
+            F.col("h_crowd").alias("head_crowd"),
+        ).distinct()
         pairs = materialize(pairs, "pmh-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = materialize(_verified(pairs, held, size, threshold), "pmh-links")
-        roots = _merged(roots, links)
+        seen = materialize(_verified(pairs, held, size), "pmh-verified")
+        if details is None:
+            details = _details(sketches, pairs, seen)
+        roots = _merged(roots, seen.where(F.col("similarity") >= threshold - 1e-9).select("a", "b"))
         active = rooted.drop("root").join(
-            heads.select("bucket", F.col("head").alias("node")), ["bucket", "node"], "left_anti"
+            heads.select("bucket", "node"), ["bucket", "node"], "left_anti"
         )
         n_heads = min(n_heads * 4, MAX_HEADS)
 
 
+def _details(sketches: DataFrame, pairs: DataFrame, seen: DataFrame) -> DataFrame:
+    """(node, keys, nibbles, anchor, near): signatures, and the similarity to the anchor, which
+    is the largest head that the node was compared with. NULL for nodes that were heads only."""
+    best = F.max(F.struct("head_crowd", F.col("a").alias("anchor"), F.col("similarity").alias("near")))
+    anchors = (
+        seen.join(pairs.select(F.col("head").alias("a"), F.col("member").alias("b"), "head_crowd"),
+                  ["a", "b"])
+        .groupBy(F.col("b").alias("node")).agg(best.alias("best"))
+        .select("node", "best.anchor", "best.near")
+    )
+    return materialize(
+        sketches.join(anchors, "node", "left").select("node", "keys", "nibbles", "anchor", "near"),
+        "pmh-details",
+    )
+
+
+def _worth(registers: int, threshold: float) -> Column:
+    """Whether a pair (head, member) of a bucket may reach the threshold and meets here first."""
+    few = mismatches(F.col("nibbles"), F.col("h_nibbles"), -(-registers // 16)) <= (
+        most_mismatches(registers, threshold)
+    )
+    apart = (F.col("anchor") == F.col("h_anchor")) & (
+        F.abs(F.col("near") - F.col("h_near")) > 1 - threshold + 1e-9
+    )
+    earlier = F.array_position("keys", F.col("bucket")).cast("int") - 1
+    met = F.arrays_overlap(F.slice("keys", F.lit(1), earlier), F.slice("h_keys", F.lit(1), earlier))
+    return ~F.coalesce(apart, F.lit(False)) & few & ~met
+
+
 def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
     """The components after adding ``links`` (a, b) between nodes."""
     if links.isEmpty():
@@ -292,8 +372,8 @@ def near_duplicates(
     A class is a connected component of equal texts and of texts whose shingles of ``size``
     words (weights 1 + ln(count)) have a probability Jaccard of ``threshold`` or more.
     Equal texts are folded first, by a digest. ProbMinHash signatures of ``bands`` x ``rows``
-    registers give candidates (a pair at 0.8 is missed with a probability of 7 in 100,000),
-    which are all verified on whole texts. ``class_id`` is the smallest doc_id of the class;
+    registers give candidates (a pair at 0.8 is missed with a probability of 3 in 10,000, one at
+    0.85 with 2 in a million), which are verified on whole texts; see ``linked_nodes``. ``class_id`` is the smallest doc_id of the class;
     ``kept`` marks one row per class, that of the smallest doc_id (of repeated rows with that
     id any one; their other columns decide nothing).
 
@@ -326,7 +406,9 @@ def near_duplicates(
             .dropDuplicates(["node"])
         )
 
-    roots = linked_nodes(nodes.select("node", "keys"), fetch, threshold, size)
+    roots = linked_nodes(
+        nodes.select("node", "keys", "nibbles"), fetch, threshold, size, bands * rows
+    )
     rooted = _with_roots(nodes.select("digest", "doc_id", "node"), "node", roots)
     named = rooted.join(
         rooted.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root"
