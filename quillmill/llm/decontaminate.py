@@ -223,6 +223,8 @@ def decontaminate(
     )
     joined = keyed.join(united, "__key", "left").drop("__key")
 
+    columns = clean.columns
+
     def last_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -232,6 +234,6 @@ def decontaminate(
                 text = value.as_py() or ""
                 hits = merged([(r["start"], r["end"]) for r in ranges.as_py() or []])
                 rows.append(digest(text, folded_words(text), hits, set(items.as_py() or [])))
-            yield finished(batch, [batch.column(c) for c in clean.columns], rows)
+            yield finished(batch, [batch.column(c) for c in columns], rows)
 
     return joined.mapInArrow(last_pass, schema)

@@ -243,7 +243,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 stream, at, owner = _stream(texts, model.classes)
                 n = np.bincount(owner, minlength=len(texts))
                 total = np.bincount(owner, log_probs(model.weights, stream, at), len(texts))
-                total = np.round(total, 4)
+                total = np.round(total.astype(np.float64), 4)  # no words at all: whole numbers
                 mean = [round(t / k, 6) if k else None for t, k in zip(total.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(n.astype(np.int64)), pa.array(total),
