@@ -426,9 +426,9 @@ def _(t: Tables):
     WHEN rn <= greatest(1, floor(n * 0.15::DOUBLE)) + greatest(1, floor(n * 0.1::DOUBLE))
     THEN 'val' ELSE 'train' END AS split FROM ranked""")
 def _(t: Tables):
-    return sampling.stratified_split(
-        t.documents, "doc_id", "source", broadcast_strata=0
-    ).select("doc_id", "source", "split")
+    return sampling.stratified_split(t.documents, "doc_id", "source").select(
+        "doc_id", "source", "split"
+    )
 
 
 @query("eval_sample", """SELECT sample_id, clause_type FROM samples

@@ -25,7 +25,7 @@ from quillmill.functions import fixed
 from quillmill.functions.draws import draw, number
 from quillmill.functions.text import token_set
 from quillmill.operators import blocking
-from quillmill.operators.scale import salted_join
+from quillmill.operators.scale import null_safe_key, salted_join
 from quillmill.session import materialize
 
 BLOCK = ["block"]
@@ -347,8 +347,11 @@ def duplicate_links(
         .select(F.col("member").alias("first"), "link.head", "link.similarity")
     )
     # A copy resembles what its first copy resembles; failing that, the first copy itself.
-    answers = firsts.join(near, "first", "left")
-    copies = salted_join(keys, answers, ["stratum", "set_key"], ["id"])
+    answers = firsts.join(near, "first", "left").withColumn("_code", null_safe_key("stratum"))
+    copies = salted_join(
+        keys.withColumn("_code", null_safe_key("stratum")).drop("stratum"),
+        answers.drop("stratum"), ["_code", "set_key"], ["id"],
+    )
     return copies.where(F.col("head").isNotNull() | (F.col("id") != F.col("first"))).select(
         F.col("id").alias(id_col),
         F.coalesce("head", "first").alias("kept_id"),

@@ -51,7 +51,7 @@ def majority_class(clustered: DataFrame, id_col: str = "sample_id") -> DataFrame
         F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first")
     )
     return per_class.groupBy("cluster_id").agg(
-        F.max_by("clause_type", F.struct(F.col("n"), -F.col("first"))).alias("top_class")
+        F.min_by("clause_type", F.struct(-F.col("n"), F.col("first"))).alias("top_class")
     )
 
 

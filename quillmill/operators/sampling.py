@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import fixed
 from quillmill.functions.draws import draw_key
-from quillmill.operators.scale import key_cuts, salted_join
+from quillmill.operators.scale import key_cuts, null_safe_key
 from quillmill.session import materialize
 
 
@@ -20,15 +20,16 @@ def stratified_split(
     val_size: float = fixed.VAL_SIZE,
     test_size: float = fixed.TEST_SIZE,
     seed: int = fixed.SEED,
-    broadcast_strata: int = 100_000,
 ) -> DataFrame:
     """Adds ``split``: per stratum, max(1, int(n * size)) rows to test, then to val, rest train.
 
     Only (stratum, key) is shuffled, to find the two key values at which a stratum is
-    cut. The rows themselves, texts included, stay where they are: the cuts (one row per
-    stratum, broadcast after counting them) turn the split into a comparison.
+    cut. The cuts, one row per stratum, are written, so the planner knows their size and
+    leaves the rows where they are if it is small. Rows without a stratum are one of their own.
     """
-    keyed = df.withColumn("_key", draw_key(seed, "split", F.col(id_col)))
+    keyed = df.withColumn("_key", draw_key(seed, "split", F.col(id_col))).withColumn(
+        "_code", null_safe_key(stratum)
+    )
     n_test = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(test_size)))
     n_val = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(val_size)))
     cuts = materialize(
@@ -37,20 +38,17 @@ def stratified_split(
             [stratum],
             "_key",
             {"_test": n_test - 1, "_val": n_test + n_val - 1},
-        ).drop("n"),
+        ).select(null_safe_key(stratum).alias("_code"), "_test", "_val"),
         "split-cuts",
     )
-    if cuts.count() <= broadcast_strata:
-        placed = keyed.join(F.broadcast(cuts), stratum)
-    else:
-        placed = salted_join(keyed, cuts, [stratum], [id_col])
+    placed = keyed.join(cuts, "_code")
     # No val cut: the stratum ends inside val, so what is not test is val.
     split = (
         F.when(F.col("_key") <= F.col("_test"), "test")
         .when(F.col("_val").isNull() | (F.col("_key") <= F.col("_val")), "val")
         .otherwise("train")
     )
-    return placed.withColumn("split", split).drop("_key", "_test", "_val")
+    return placed.withColumn("split", split).drop("_key", "_code", "_test", "_val")
 
 
 def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int = fixed.SEED) -> DataFrame:

@@ -70,6 +70,13 @@ def salted_join(
     return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def null_safe_key(*columns: str) -> Column:
+    """One text per distinct tuple of values, NULLs included, so that equality joins keep them."""
+    if len(columns) == 1:
+        return F.coalesce(F.concat(F.lit("="), F.col(columns[0]).cast("string")), F.lit("-"))
+    return F.to_json(F.struct(*[F.col(c).cast("string") for c in columns]))
+
+
 def key_cuts(
     df: DataFrame,
     group: list[str],
@@ -84,10 +91,13 @@ def key_cuts(
     then sorted, so a group of any size is never sorted in one task. A rank at or past
     ``n`` gives NULL. One row per group.
     """
-    bucketed = df.select(*group, key, F.substring(key, 1, digits).alias("_bucket"))
-    hist = bucketed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    bucketed = df.select(
+        null_safe_key(*group).alias("_code"), *group, key,
+        F.substring(key, 1, digits).alias("_bucket"),
+    )
+    hist = bucketed.groupBy("_code", *group, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     # 16^digits rows per group at most.
-    whole = Window.partitionBy(*group)
+    whole = Window.partitionBy("_code")
     offsets = hist.select(
         "*",
         F.sum("_rows").over(whole).alias("n"),
@@ -98,23 +108,23 @@ def key_cuts(
         F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("rank"))
         for name, rank in ranks.items()
     ])).alias("_want")
-    targets = offsets.select(*group, "_bucket", "_rows", "_before", wanted).select(
-        *group, "_bucket", "_rows", "_before", "_want.name", "_want.rank"
+    targets = offsets.select("_code", "_bucket", "_rows", "_before", wanted).select(
+        "_code", "_bucket", "_rows", "_before", "_want.name", "_want.rank"
     )
     edges = targets.where(
         (F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_rows"))
     )
-    ordered = Window.partitionBy(*group, "_bucket", "name").orderBy(key)
+    ordered = Window.partitionBy("_code", "_bucket", "name").orderBy(key)
     hits = (
-        bucketed.join(edges, [*group, "_bucket"])
+        bucketed.join(edges, ["_code", "_bucket"])
         .withColumn("_at", F.col("_before") + F.row_number().over(ordered) - 1)
         .where(F.col("_at") == F.col("rank"))
     )
-    sizes = offsets.groupBy(*group).agg(F.max("n").alias("n"))
-    cuts = hits.groupBy(*group).agg(
+    sizes = offsets.groupBy("_code", *group).agg(F.max("n").alias("n"))
+    cuts = hits.groupBy("_code").agg(
         *[F.max(F.when(F.col("name") == name, F.col(key))).alias(name) for name in ranks]
     )
-    return sizes.join(cuts, group, "left")
+    return sizes.join(cuts, "_code", "left").drop("_code")
 
 
 def dense_index(
@@ -125,21 +135,23 @@ def dense_index(
     Adds ``out`` and ``n``. The sort runs per (group, leading digits of the key), so one
     large group is shared by up to 16^digits tasks.
     """
-    bucketed = df.withColumn("_bucket", F.substring(key, 1, digits))
-    hist = bucketed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    whole = Window.partitionBy(*group)
+    bucketed = df.withColumn("_bucket", F.substring(key, 1, digits)).withColumn(
+        "_code", null_safe_key(*group)
+    )
+    hist = bucketed.groupBy("_code", "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    whole = Window.partitionBy("_code")
     offsets = hist.select(
-        *group,
+        "_code",
         "_bucket",
         F.sum("_rows").over(whole).alias("n"),
         (F.sum("_rows").over(whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
          - F.col("_rows")).alias("_before"),
     )
-    ordered = Window.partitionBy(*group, "_bucket").orderBy(key)
+    ordered = Window.partitionBy("_code", "_bucket").orderBy(key)
     return (
-        bucketed.join(offsets, [*group, "_bucket"])
+        bucketed.join(offsets, ["_code", "_bucket"])
         .withColumn(out, F.col("_before") + F.row_number().over(ordered) - 1)
-        .drop("_bucket", "_before")
+        .drop("_code", "_bucket", "_before")
     )
 
 

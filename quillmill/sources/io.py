@@ -64,9 +64,15 @@ def write_documents(df: DataFrame, path: str) -> None:
 
 
 def reuse_or_compute(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` unless ``path`` exists already, and return what is stored there."""
-    df.write.mode("ignore").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` unless ``path`` holds a finished result, and return what is stored there.
+
+    Only a result with its ``_SUCCESS`` marker counts; what a failed run left is replaced.
+    """
+    spark = df.sparkSession
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def metric_rows(metrics: DataFrame, key: str, run: Column | None = None) -> DataFrame:
