@@ -447,17 +447,17 @@ def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("__kept")),
         "pmh-kept",
     )
-    ids = clean.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"))
-    plan = materialize(
-        ids.join(kept.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
-        .select("__id", "__kept", "__rows"),
-        "pmh-plan",
+    ids = clean.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"))
+    # Only the ids that lose a row: fewer than those that stay, so the texts may stay in place.
+    losing = materialize(
+        ids.join(kept, "doc_id", "left").where("coalesce(__kept, 0) < __rows")
+        .select("doc_id", "__kept"),
+        "pmh-losing",
     )
-    rows = clean.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")))
-    simple = rows.where("__kept = __rows").select(*clean.columns)
-    several = plan.where("__kept < __rows")
+    simple = clean.join(losing.select("doc_id"), "doc_id", "left_anti").select(*clean.columns)
+    several = losing.where("__kept > 0")
     if several.isEmpty():
         return simple
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    rest = rows.where("__kept < __rows").withColumn("__r", rank).where("__r <= __kept")
+    rest = clean.join(several, "doc_id").withColumn("__r", rank).where("__r <= __kept")
     return simple.unionByName(rest.select(*clean.columns))
