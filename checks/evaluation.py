@@ -10,6 +10,7 @@ from checks.registry import query
 from quillmill.functions import fixed
 from quillmill.functions.draws import draw
 from quillmill.operators import clustering, failures, judge, metrics, reports, scoring
+from quillmill.plans.failures import failure_map
 from quillmill.plans.evaluation import evaluate
 from quillmill.sources import io
 
@@ -176,10 +177,10 @@ def _(t: Tables):
 
 @query("reliability_bins", CALIBRATION + """ == SELECT model_tag, bin, count,
     round(bin / 10, 2) AS bin_lower, round((bin + 1) / 10, 2) AS bin_upper,
-    round(accuracy, 4) AS accuracy, round(confidence, 4) AS confidence FROM bins""")
+    round_even(accuracy, 3) AS accuracy, round_even(confidence, 3) AS confidence FROM bins""")
 def _(t: Tables):
     return metrics.reliability_bins(confidences(t)).select(
-        TAG, big("bin"), "count", "bin_lower", "bin_upper", r4("accuracy"), r4("confidence")
+        TAG, big("bin"), "count", "bin_lower", "bin_upper", "accuracy", "confidence"
     )
 
 
@@ -425,6 +426,30 @@ def _(t: Tables):
     )
 
 
+CHAIN = """failed AS MATERIALIZED (SELECT sample_id, clause_type, prediction, reference,
+        embedding::DOUBLE[] AS v FROM preds LEFT JOIN embeddings ON vec_id = sample_id
+        WHERE model_tag = 'dpo' AND coalesce(bertscore_f1, 1) < 0.65),
+    near AS MATERIALIZED (SELECT a.sample_id AS i, b.sample_id AS j FROM failed a, failed b
+        WHERE a.sample_id <> b.sample_id AND a.v IS NOT NULL AND b.v IS NOT NULL
+            AND list_distance(a.v, b.v) <= 1.1),
+    reach AS (SELECT sample_id AS i, sample_id AS root FROM failed WHERE v IS NOT NULL UNION
+        SELECT n.j, r.root FROM reach r JOIN near n ON n.i = r.i),
+    comps AS (SELECT i AS sample_id, min(root) AS root FROM reach GROUP BY i),
+    sized AS (SELECT *, count(*) OVER (PARTITION BY root) AS n, count(*) OVER () AS total FROM comps),
+    chained AS MATERIALIZED (SELECT sample_id, clause_type, prediction, reference, 0 AS x, 0 AS y,
+        CASE WHEN n >= greatest(4, total // 20) THEN root ELSE -1 END AS cluster_id
+        FROM failed LEFT JOIN sized USING (sample_id)),
+    """ + CLUSTERS.replace("clustered", "chained")
+
+
+@query("failure_chain", CHAIN + """ == SELECT sample_id, clause_type, cluster_id, cluster_name,
+    prediction, reference FROM points""")
+def _(t: Tables):
+    vectors = t.table("embeddings").select(F.col("vec_id").alias(ID), "embedding")
+    rows = t.predictions.where(F.col(TAG) == "dpo")
+    return failure_map(rows, vectors, 1.1).drop("x", "y")
+
+
 # --- reports ------------------------------------------------------------------------------
 
 LENGTHS = f"""lens AS (SELECT {n_words("answer")} AS a, source_length AS c FROM samples)"""

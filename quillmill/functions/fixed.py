@@ -126,7 +126,7 @@ PEAK_MEMORY_GB = {"base": 6.8, "lora": 7.2, "qlora": 3.9, "dpo": 4.1}
 EVAL_SAMPLES = 120
 JUDGE_SAMPLES = 50
 CALIBRATION_SAMPLES = 40
-PREVIEW_SAMPLES = 20
+PROMPT_CHARS = 200
 ECE_BINS = 10
 ACCURATE_F1 = 0.7
 PREMISE_WORDS = 512
@@ -136,6 +136,7 @@ LOWER_IS_BETTER = ["hallucination_rate", "ece"]
 # Failure analysis.
 FAILURE_F1 = 0.65
 MIN_FAILURES = 3
+MAP_TEXT_CHARS = 300
 NOISE_LABEL = "Noise / Outliers"
 PATTERN_TRUNCATED = "Truncated responses"
 PATTERN_ABSENT = "False negatives (clause present, not found)"

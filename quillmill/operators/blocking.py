@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from quillmill.operators.scale import salted_join
 from quillmill.session import materialize
 
+#: Spark keeps the first rows per block before the shuffle for ranks well below 1,000 only.
+MAX_HEADS = 512
+
 
 def without_singletons(entries: DataFrame, block: list[str]) -> DataFrame:
     """Entries of blocks that still hold two or more rows."""
@@ -25,14 +28,15 @@ def without_singletons(entries: DataFrame, block: list[str]) -> DataFrame:
 
 
 def heads(entries: DataFrame, block: list[str], per_block: int) -> DataFrame:
-    """The ``per_block`` entries of smallest id in every block.
+    """The ``per_block`` entries of smallest id in every block, ``MAX_HEADS`` at most.
 
-    A rank filter: Spark keeps only the first rows per block before the shuffle.
+    A rank filter: Spark keeps only the first rows per block before the shuffle, so no task
+    sorts a hot block whole. Rounds go on until every row had its turn.
     """
     order = Window.partitionBy(*block).orderBy("id")
     return (
         entries.withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= per_block)
+        .where(F.col("_rank") <= min(per_block, MAX_HEADS))
         .drop("_rank")
     )
 

@@ -160,7 +160,7 @@ def neighbour_components(
         active = materialize(
             _open_blocks(materialize(left.join(roots, "id"), "cells")), "open"
         )
-        per_block *= HEADS_GROWTH
+        per_block = min(per_block * HEADS_GROWTH, blocking.MAX_HEADS)
     return roots
 
 

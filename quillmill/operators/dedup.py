@@ -31,7 +31,6 @@ from quillmill.session import materialize
 BLOCK = ["block"]
 HEADS = 64
 HEADS_GROWTH = 4
-MAX_SET_SIZE = 100_000_000
 PRIME = 4_294_967_311  # smallest prime above 2^32
 
 
@@ -55,8 +54,8 @@ def jaccard(a: Column, b: Column) -> Column:
 # --- blocks: equal parts --------------------------------------------------------------
 
 
-def size_groups(threshold: float, largest: int = MAX_SET_SIZE) -> list[tuple[int, int]]:
-    """(smallest size, most differing words) per size group.
+def size_groups(threshold: float, largest: int) -> list[tuple[int, int]]:
+    """(smallest size, most differing words) per size group, up to sets of ``largest`` words.
 
     A group ends where its smallest set no longer reaches the threshold with a larger
     one, so similar sets lie in the same or in neighbouring groups.
@@ -78,9 +77,11 @@ def part_blocks(sets: DataFrame, threshold: float) -> DataFrame:
     (where its smaller partner may be). H differing words, and ``slack`` parts without
     words, leave an equal part with words among H + 1 + slack. A row with more empty
     parts than that also blocks on its first words in hash order, as does any partner
-    that could share only empty parts with it; similar sets share one of those.
+    that could share only empty parts with it; similar sets share one of those. The groups
+    end with the largest set, which is looked up first: ``sets`` should be stored.
     """
-    groups = size_groups(threshold)
+    largest = sets.agg(F.max(F.size("tokens"))).first()[0]
+    groups = size_groups(threshold, max(1, largest or 1))
     lows = F.array(*[F.lit(low) for low, _ in groups])
     differ = F.array(*[F.lit(most) for _, most in groups])
     own = F.size(F.filter(lows, lambda low: low <= F.col("size")))
@@ -245,7 +246,7 @@ def _drop_similar(
             ),
             "blocks",
         )
-        per_block *= HEADS_GROWTH
+        per_block = min(per_block * HEADS_GROWTH, blocking.MAX_HEADS)
     return dropped
 
 

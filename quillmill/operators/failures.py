@@ -80,13 +80,18 @@ def label_clusters(clustered: DataFrame, id_col: str = "sample_id") -> DataFrame
 
 
 def failure_points(
-    clustered: DataFrame, labels: DataFrame, id_col: str = "sample_id"
+    clustered: DataFrame, labels: DataFrame, id_col: str = "sample_id",
+    text_chars: int | None = fixed.MAP_TEXT_CHARS, min_failures: int = fixed.MIN_FAILURES,
 ) -> DataFrame:
-    """The map's rows; texts are cut to 300 characters. Empty below three failures."""
+    """The map's rows; texts are cut to ``text_chars``, None keeps them whole. Empty below
+    ``min_failures`` failures."""
+    def shown(text: str) -> Column:
+        return F.col(text) if text_chars is None else prefix(F.col(text), text_chars)
+
     n = clustered.agg(F.count(F.lit(1)).alias("n")).scalar()
     # Written first, so that the planner broadcasts the labels only if they are small.
     names = materialize(labels, "cluster-labels")
-    named = clustered.where(n >= fixed.MIN_FAILURES).join(names, "cluster_id", "left")
+    named = clustered.where(n >= min_failures).join(names, "cluster_id", "left")
     fallback = F.concat(F.lit("Cluster "), F.col("cluster_id").cast("string"))
     return named.select(
         id_col,
@@ -95,8 +100,8 @@ def failure_points(
         F.coalesce("cluster_name", fallback).alias("cluster_name"),
         "x",
         "y",
-        prefix(F.col("prediction"), 300).alias("prediction"),
-        prefix(F.col("reference"), 300).alias("reference"),
+        shown("prediction").alias("prediction"),
+        shown("reference").alias("reference"),
     )
 
 

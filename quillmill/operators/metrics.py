@@ -20,21 +20,19 @@ def align(predictions: DataFrame, references: DataFrame, id_col: str = "sample_i
     return predictions.join(references, id_col)
 
 
-def prediction_rows(aligned: DataFrame, id_col: str = "sample_id") -> DataFrame:
-    """The stored form of predictions: the prompt is cut to 200 characters."""
+def prediction_rows(
+    aligned: DataFrame, id_col: str = "sample_id", prompt_chars: int | None = fixed.PROMPT_CHARS
+) -> DataFrame:
+    """The stored form of predictions; the prompt is cut to ``prompt_chars``, None keeps it whole."""
+    prompt = F.col("prompt") if prompt_chars is None else prefix(F.col("prompt"), prompt_chars)
     return aligned.select(
-        TAG, id_col, prefix(F.col("prompt"), 200).alias("prompt"), "reference", "prediction",
-        "clause_type", "bertscore_f1",
+        TAG, id_col, prompt.alias("prompt"), "reference", "prediction", "clause_type", "bertscore_f1"
     )
 
 
 # --- similarity -----------------------------------------------------------------------
 
 
-def row_f1(score: Column) -> Column:
-    return F.bround(score, 4)
-
-
 def similarity_summary(scored: DataFrame) -> DataFrame:
     """Means of precision, recall and F1 and the sample deviation of F1, per model."""
     return scored.groupBy(TAG).agg(
@@ -188,11 +186,7 @@ def bin_index(confidence: Column, n_bins: int, close_last: bool = False) -> Colu
     return F.when((confidence >= 0.0) & inside, passed)
 
 
-def reliability_bins(
-    rows: DataFrame, n_bins: int = fixed.ECE_BINS, close_last: bool = False
-) -> DataFrame:
-    """Per model and non-empty bin: edges, count, mean accuracy and mean confidence."""
-    edges = F.array(*[F.lit(e) for e in bin_edges(n_bins)])
+def _bin_means(rows: DataFrame, n_bins: int, close_last: bool) -> DataFrame:
     return (
         rows.withColumn("bin", bin_index(F.col("confidence"), n_bins, close_last))
         .where(F.col("bin").isNotNull())
@@ -202,12 +196,21 @@ def reliability_bins(
             F.avg("confidence").alias("confidence"),
             F.count(F.lit(1)).alias("count"),
         )
-        .select(
-            TAG, "bin",
-            F.round(F.get(edges, F.col("bin")), 2).alias("bin_lower"),
-            F.round(F.get(edges, F.col("bin") + 1), 2).alias("bin_upper"),
-            "accuracy", "confidence", "count",
-        )
+    )
+
+
+def reliability_bins(
+    rows: DataFrame, n_bins: int = fixed.ECE_BINS, close_last: bool = False
+) -> DataFrame:
+    """Per model and non-empty bin: edges, count, mean accuracy and confidence, three decimals."""
+    edges = F.array(*[F.lit(e) for e in bin_edges(n_bins)])
+    return _bin_means(rows, n_bins, close_last).select(
+        TAG, "bin",
+        F.round(F.get(edges, F.col("bin")), 2).alias("bin_lower"),
+        F.round(F.get(edges, F.col("bin") + 1), 2).alias("bin_upper"),
+        F.bround("accuracy", 3).alias("accuracy"),
+        F.bround("confidence", 3).alias("confidence"),
+        "count",
     )
 
 
@@ -215,7 +218,7 @@ def calibration_error(
     rows: DataFrame, n_bins: int = fixed.ECE_BINS, close_last: bool = False
 ) -> DataFrame:
     """ECE per model, four decimals. Rows outside all bins still count in the total."""
-    bins = reliability_bins(rows, n_bins, close_last).groupBy(TAG).agg(
+    bins = _bin_means(rows, n_bins, close_last).groupBy(TAG).agg(
         F.sum(F.col("count") * F.abs(F.col("accuracy") - F.col("confidence"))).alias("_gap")
     )
     totals = rows.groupBy(TAG).agg(F.count(F.lit(1)).alias("n_samples"))

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from quillmill.functions import fixed
 from quillmill.functions.draws import draw, draw_key, pick
 from quillmill.functions.text import first_words, n_words, text_or_empty
-from quillmill.operators.scale import dense_index, salted_join
+from quillmill.operators.scale import dense_index, null_safe_key
 from quillmill.session import materialize
 
 ROWS_PER_ANSWER = 10_000
-MAX_CLASSES = 100_000  # class names are broadcast; the taxonomy has ten
 
 
 def is_eligible(answer: Column) -> Column:
@@ -68,53 +67,51 @@ def wrong_class_answers(
     """(id, rejected) for each request: a random answer of a random other class.
 
     ``requests`` (id, class) asks, all of ``samples`` can be picked, absent answers
-    included. Answers are numbered densely per class, with the sort spread over key
-    buckets. A small class can be asked for by nearly every row: its answers are then
-    repeated per salt, in proportion to the expected requests per answer.
+    included; rows without a class are a class of their own. Classes are numbered densely
+    in the order of their names, a draw among the others steps over the own number, and answers
+    are numbered densely per class, with both sorts spread over key buckets. A small class
+    can be asked for by nearly every row: its answers are then repeated per salt, in
+    proportion to the expected requests per answer.
     """
+    named = (
+        samples.groupBy(null_safe_key(class_col).alias("class"))
+        .agg(F.count(F.lit(1)).alias("n_answers"))
+        .select("*", F.lit(0).alias("all"), F.hex(F.encode("class", "UTF-8")).alias("name"))
+    )
+    n_requests = requests.agg(F.count(F.lit(1)).alias("n")).scalar()
+    salts = F.ceil(n_requests / (F.col("n_answers") * ROWS_PER_ANSWER))
+    # One row per class, written: the planner sends it to the tasks only if it is small.
     classes = materialize(
-        samples.groupBy(F.col(class_col).alias("class")).agg(
-            F.count(F.lit(1)).alias("n_answers")
+        dense_index(named, ["all"], "name", "number", digits=8).select(
+            "class", "number", "n_answers",
+            F.greatest(F.lit(1), salts).cast("int").alias("salts"),
         ),
         "classes",
     )
-    if classes.count() > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes; pick a coarser class column")
-    names = classes.agg(F.sort_array(F.collect_list("class")).alias("names")).scalar()
-    n_requests = requests.agg(F.count(F.lit(1)).alias("n")).scalar()
+    n_classes = classes.agg(F.count(F.lit(1)).alias("n")).scalar()
+    own = classes.select(F.col("class").alias("own"), F.col("number").alias("own_number"))
+    is_other = F.col("own_number").isNull()  # a class without any answer
+    others = n_classes - F.when(is_other, 0).otherwise(1)
+    drawn = draw(seed, "class", F.col("id")) % F.greatest(others, F.lit(1))
+    number = drawn + F.when(~is_other & (drawn >= F.col("own_number")), 1).otherwise(0)
     asked = (
-        requests.select(F.col(id_col).alias("id"), F.col(class_col).alias("own"))
-        .withColumn("names", names)
-        .withColumn("others", F.array_remove("names", F.col("own")))
-        .withColumn(
-            "class",
-            F.get(
-                "others",
-                (draw(seed, "class", F.col("id")) % F.greatest(F.size("others"), F.lit(1)))
-                .cast("int"),
-            ),
-        )
-        .select("id", "class")
-    )
-    sized = classes.withColumn(
-        "salts",
-        F.greatest(F.lit(1), F.ceil(n_requests / (F.col("n_answers") * ROWS_PER_ANSWER)))
-        .cast("int"),
+        requests.select(F.col(id_col).alias("id"), null_safe_key(class_col).alias("own"))
+        .join(own, "own", "left")
+        .select("id", number.alias("number"))
     )
-    small = F.broadcast(sized)  # one row per class
     numbered = dense_index(
         samples.select(
-            F.col(class_col).alias("class"),
+            null_safe_key(class_col).alias("class"),
             F.col(answer_col).alias("rejected"),
             draw_key(seed, "answers", F.col(id_col)).alias("key"),
         ),
         ["class"], "key", "index",
     ).select("class", "index", "rejected")
-    offered = numbered.join(small.drop("n_answers"), "class").withColumn(
+    offered = numbered.join(classes.select("class", "salts"), "class").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
     ).drop("salts")
     wanted = (
-        asked.join(small, "class", "left")
+        asked.join(classes, "number", "left")
         .withColumn("index", draw(seed, "answer", F.col("id")) % F.col("n_answers"))
         .withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
         .select("id", "class", "index", "salt")

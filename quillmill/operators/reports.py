@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,15 +99,19 @@ def dataset_card(
     )
 
 
-def model_comparison(metrics: DataFrame) -> DataFrame:
-    """One row per known model: fixed columns, missing metrics 0, the judge's stays NULL."""
+def model_comparison(
+    metrics: DataFrame, tags: list[str] | None = fixed.MODEL_TAGS
+) -> DataFrame:
+    """One row per model of ``tags`` (None: every model): fixed columns, missing metrics 0, the
+    judge's stays NULL."""
     memory = F.create_map(*[F.lit(v) for item in fixed.PEAK_MEMORY_GB.items() for v in item])
 
     def metric(name: str):
         known = F.col(name).cast("double") if name in metrics.columns else F.lit(None).cast("double")
         return known
 
-    return metrics.where(F.col(TAG).isin(fixed.MODEL_TAGS)).select(
+    shown = metrics if tags is None else metrics.where(F.col(TAG).isin(tags))
+    return shown.select(
         TAG,
         metric("geval_faithfulness").alias("geval_faithfulness"),
         *[F.coalesce(metric(name), F.lit(0.0)).alias(name) for name in COMPARED],
@@ -117,17 +119,15 @@ def model_comparison(metrics: DataFrame) -> DataFrame:
     )
 
 
-def combine_models(parts: list[DataFrame]) -> DataFrame:
-    """Metric rows of the models that have been evaluated."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-
-
-def best_per_metric(comparison: DataFrame, tags: list[str] | None = None) -> DataFrame:
-    """(model_tag, metric, value, share_of_max, is_best); ties are all best.
+def best_per_metric(
+    comparison: DataFrame, tags: list[str] | None = fixed.MODEL_TAGS
+) -> DataFrame:
+    """(model_tag, metric, value, share_of_max, is_best) over ``tags`` (None: every model);
+    ties are all best.
 
     A window per metric over one row per model.
     """
-    rows = comparison.where(F.col(TAG).isin(tags or fixed.MODEL_TAGS))
+    rows = comparison if tags is None else comparison.where(F.col(TAG).isin(tags))
     long = rows.select(TAG, *COMPARED).unpivot([TAG], COMPARED, "metric", "value")
     per_metric = Window.partitionBy("metric")
     best = F.when(
@@ -164,18 +164,18 @@ def change_from_base(comparison: DataFrame, priority: list[str] | None = None) -
 def side_by_side(
     outputs: DataFrame, tuned_tag: str, id_col: str = "sample_id", base_tag: str = "base"
 ) -> DataFrame:
-    """Both models' outputs and latencies in one row per input, in one aggregation."""
+    """Both models' outputs and latencies in one row per input, NULL where one has none.
 
-    def of(tag: str, column: str):
-        return F.max(F.when(F.col(TAG) == tag, F.col(column)))
+    A join of the two models' rows, so texts are never aggregated. A model with two outputs
+    for an input gives a row for each.
+    """
 
-    return (
-        outputs.where(F.col(TAG).isin(base_tag, tuned_tag))
-        .groupBy(id_col)
-        .agg(
-            of(base_tag, "prediction").alias("base_output"),
-            of(tuned_tag, "prediction").alias("finetuned_output"),
-            of(base_tag, "latency_ms").alias("latency_base_ms"),
-            of(tuned_tag, "latency_ms").alias("latency_finetuned_ms"),
+    def of(tag: str, side: str) -> DataFrame:
+        return outputs.where(F.col(TAG) == tag).select(
+            id_col, F.col("prediction").alias(f"{side}_output"),
+            F.col("latency_ms").alias(f"latency_{side}_ms"),
         )
+
+    return of(base_tag, "base").join(of(tuned_tag, "finetuned"), id_col, "full").select(
+        id_col, "base_output", "finetuned_output", "latency_base_ms", "latency_finetuned_ms"
     )

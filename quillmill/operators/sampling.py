@@ -52,13 +52,18 @@ def stratified_split(
 
 
 def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int = fixed.SEED) -> DataFrame:
-    """``n`` rows drawn without replacement, the same ones for the same ids."""
-    return (
-        df.withColumn("_key", draw_key(seed, "sample", F.col(id_col)))
-        .orderBy("_key", id_col)
-        .limit(n)
-        .drop("_key")
-    )
+    """``n`` rows drawn without replacement, the same ones for the same ids.
+
+    The n-th smallest key is found on the keys alone, so no task gathers the rows. Rows that
+    share an id, and so a key, are drawn together.
+    """
+    if n <= 0:
+        return df.limit(0)
+    keyed = df.withColumn("_key", draw_key(seed, "sample", F.col(id_col)))
+    keys = keyed.select(F.lit(0).alias("_all"), "_key")
+    last = key_cuts(keys, ["_all"], "_key", {"_last": F.lit(n - 1)}).select("_last").scalar()
+    # No n-th key: there are fewer rows than that, so all of them are the sample.
+    return keyed.where(last.isNull() | (F.col("_key") <= last)).drop("_key")
 
 
 def first_rows(df: DataFrame, id_col: str, n: int) -> DataFrame:
