@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import itertools
+import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from quillmill.functions import fixed
 from quillmill.operators import blocking
@@ -17,8 +22,12 @@ from quillmill.operators.scale import salted_join
 from quillmill.session import materialize
 
 NOISE = -1
-HEADS = 64
+HEADS = 256
 HEADS_GROWTH = 4
+#: Pivots are broadcast: at most this many vectors.
+PIVOTS = 256
+#: Rows of a block that one task compares with the block's heads at a time.
+CHUNK = 4096
 
 
 def project_2d(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -57,14 +66,12 @@ def kmeans_clusters(
     return model.transform(rows).select(id_col, "cluster_id")
 
 
-def distance(a: Column, b: Column) -> Column:
-    squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0).cast("double"), lambda acc, x: acc + x))
+def _wide_axes(points: DataFrame, eps: float, n_axes: int) -> list[int]:
+    """At most ``n_axes`` coordinates of largest variance that span more than four eps.
 
-
-def _widest_axes(points: DataFrame, eps: float, n_axes: int) -> list[int]:
-    """At most ``n_axes`` coordinates of largest variance. One that spans no more than eps
-    cannot part any two points and is left out."""
+    A grid block is two eps wide and every point lies in two per axis, so a narrower axis
+    costs more copies than it saves comparisons.
+    """
     spread = (
         points.select(F.posexplode("vector").alias("axis", "value"))
         .groupBy("axis")
@@ -72,50 +79,173 @@ def _widest_axes(points: DataFrame, eps: float, n_axes: int) -> list[int]:
             F.var_pop("value").alias("spread"),
             (F.max("value") - F.min("value")).alias("span"),
         )
-        .where(F.col("span") > eps)
+        .where(F.col("span") > 4 * eps)
         .orderBy(F.desc("spread"), "axis")
         .limit(n_axes)
     )
     return [row["axis"] for row in spread.collect()]
 
 
-def _grid_blocks(points: DataFrame, eps: float, axes: list[int]) -> DataFrame:
-    """(id, block): overlapping blocks of grid cells in which all pairs within eps meet.
+def _grid_corners(eps: float, axes: list[int]) -> Column:
+    """The overlapping blocks of grid cells of a point; all pairs within eps share one.
 
     A coordinate differs by no more than the distance does. Cells are eps wide, so such
     a pair lies in equal or neighbouring cells per axis; a block spans two cells per axis.
     """
     width = eps * (1 + 1e-9)
     cells = [F.floor(F.get("vector", F.lit(axis)) / width) for axis in axes]
-    corners = F.array(*[
+    return F.array(*[
         F.xxhash64(F.lit(0), *[cell + shift for cell, shift in zip(cells, shifts)])
         for shifts in itertools.product((0, 1), repeat=len(axes))
     ])
-    return points.select("id", F.explode(corners).alias("block"))
+
+
+def _squares(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows to all others, as one matrix product."""
+    cross = rows @ others.T
+    return np.maximum(
+        (rows * rows).sum(1)[:, None] + (others * others).sum(1)[None, :] - 2 * cross, 0
+    )
+
+
+def _within(rows: np.ndarray, others: np.ndarray, eps: float) -> np.ndarray:
+    """Which distances are at most ``eps``; those that rounding may decide are recomputed."""
+    squares = _squares(rows, others)
+    near = squares <= eps * eps
+    scale = max(1.0, float((rows * rows).sum(1).max()), float((others * others).sum(1).max()))
+    i, j = np.nonzero(np.abs(squares - eps * eps) <= 1e-9 * scale)
+    for start in range(0, len(i), 4096):
+        a, b = i[start:start + 4096], j[start:start + 4096]
+        near[a, b] = np.sqrt(((rows[a] - others[b]) ** 2).sum(1)) <= eps
+    return near
+
+
+def _pivots(points: DataFrame, eps: float, most: int) -> np.ndarray:
+    """At most ``most`` points, taken by the hash of their id, more than eps from each other.
+
+    They only decide how the points are dealt out, never which are compared in the end.
+    """
+    n = points.count()
+    wanted = max(1, min(most, math.isqrt(n)))
+    drawn = points.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vector").collect()
+    chosen: list[np.ndarray] = []
+    for row in drawn:
+        vector = np.asarray(row["vector"], float)
+        if not chosen or ((np.stack(chosen) - vector) ** 2).sum(1).min() > eps * eps:
+            chosen.append(vector)
+    return np.stack(chosen) if chosen else np.zeros((0, 0))
+
+
+def _pivot_cells(points: DataFrame, eps: float, pivots: np.ndarray) -> DataFrame:
+    """Adds ``cell`` and ``home``: the cell of the nearest pivot, and each earlier cell with
+    a point that may be within eps.
+
+    If y is nearest to pivot a and x to pivot b, x is at most d(x, y) from the plane between
+    a and b, hence d(x, a)^2 - d(x, b)^2 <= 2 eps d(a, b). Where that holds x is copied to
+    the cell of a, so a pair within eps meets in the earlier of its two home cells.
+    """
+    if len(pivots) < 2:
+        return points.withColumn("cell", F.lit(0)).withColumn("home", F.lit(True))
+    apart = np.sqrt(_squares(pivots, pivots))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for start in range(0, len(whole), 512):
+                batch = whole.iloc[start:start + 512]
+                vectors = np.stack(batch["vector"].to_numpy())
+                squares = _squares(vectors, pivots)
+                home = squares.argmin(1)
+                own = squares[np.arange(len(batch)), home]
+                slack = 2 * eps * apart[home] * (1 + 1e-9) + 1e-9 * (1 + own[:, None])
+                reach = squares - own[:, None] <= slack
+                reach &= np.arange(len(pivots))[None, :] < home[:, None]
+                reach[np.arange(len(batch)), home] = True
+                row, cell = np.nonzero(reach)
+                out = batch.iloc[row].reset_index(drop=True)
+                yield out.assign(cell=cell.astype(np.int32), home=cell == home[row])
+
+    schema = StructType([
+        *points.schema.fields, StructField("cell", IntegerType()), StructField("home", BooleanType())
+    ])
+    return points.mapInPandas(deal, schema)
 
 
 def _open_blocks(entries: DataFrame) -> DataFrame:
-    """Entries of blocks with more than one component, with the block's largest one."""
-    per_root = entries.groupBy("block", "root").agg(F.count(F.lit(1)).alias("rows"))
+    """Entries of blocks with work left: ``lead`` marks the rows to compare with all others.
+
+    Every link still to be found in a block has an end outside its largest component, and
+    an end at home in it. The smaller of the two sets leads; without either the block is
+    closed. ``salts`` says over how many tasks the block's rows are spread.
+    """
+    per_root = entries.groupBy("block", "root").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("home").alias("at_home")
+    )
     state = (
         per_root.groupBy("block")
         .agg(
             F.count(F.lit(1)).alias("roots"),
             F.max(F.struct("rows", "root")).alias("top"),
+            F.sum("rows").alias("total"),
+            F.sum("at_home").alias("at_home"),
+        )
+        .where((F.col("roots") > 1) & (F.col("at_home") > 0))
+        .select(
+            "block", F.col("top.root").alias("main"),
+            (F.col("at_home") < F.col("total") - F.col("top.rows")).alias("by_home"),
+            F.ceil(F.col("total") / CHUNK).cast("int").alias("salts"),
         )
-        .where(F.col("roots") > 1)
-        .select("block", F.col("top.root").alias("main"))
     )
-    return salted_join(entries, state, ["block"], ["id"])
+    lead = F.when(F.col("by_home"), F.col("home")).otherwise(F.col("root") != F.col("main"))
+    return salted_join(entries, state, ["block"], ["id"]).select(
+        "block", "id", "home", "root", "salts", lead.alias("lead")
+    )
+
 
+def _links(active: DataFrame, leaders: DataFrame, points: DataFrame, eps: float) -> DataFrame:
+    """Distinct (a, b): components linked by a leader and another row of its block.
 
-def _merge(roots: DataFrame, near: DataFrame) -> DataFrame:
-    """The components after linking the near pairs (head, member)."""
-    ends = roots.select(F.col("id").alias("head"), F.col("root").alias("a"))
-    others = roots.select(F.col("id").alias("member"), F.col("root").alias("b"))
-    edges = salted_join(near, ends, ["head"], ["member"]).join(others, "member")
-    merged = component_roots(edges.select("a", "b").distinct())
-    moved = merged.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    A group holds the leaders of a block and about ``CHUNK`` of its rows; it compares them
+    as one matrix product and returns no more links than join what is near: one per row,
+    and one per two leaders that are neighbours in the list of a row.
+    """
+    members = active.select(
+        "block", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"),
+        "id", F.col("root").alias("of"),
+    ).join(points.select("id", F.col("vector").alias("at")), "id").drop("id")
+    heads = leaders.join(points.select("id", "vector"), "id").select(
+        F.col("block").alias("h_block"),
+        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("h_salt"),
+        F.col("root").alias("h_of"), F.col("vector").alias("h_at"),
+    )
+    kind = active.schema["root"].dataType
+
+    def compare(rows: pd.DataFrame, lead: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(lead):
+            return pd.DataFrame({"a": [], "b": []})
+        names, codes = np.unique(
+            np.concatenate([lead["h_of"].to_numpy(), rows["of"].to_numpy()]), return_inverse=True
+        )
+        mine, theirs = codes[:len(lead)], codes[len(lead):]
+        near = _within(np.stack(rows["at"].to_numpy()), np.stack(lead["h_at"].to_numpy()), eps)
+        row, head = np.nonzero(near)
+        first = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
+        both = np.concatenate([
+            np.stack([mine[head[first]], theirs[row[first]]], 1),
+            np.stack([mine[head[:-1]], mine[head[1:]]], 1)[~first[1:]],
+        ])
+        both = np.unique(both[both[:, 0] != both[:, 1]], axis=0)
+        return pd.DataFrame({"a": names[both[:, 0]], "b": names[both[:, 1]]})
+
+    schema = StructType([StructField("a", kind), StructField("b", kind)])
+    return (
+        members.groupBy("block", "salt").cogroup(heads.groupBy("h_block", "h_salt"))
+        .applyInPandas(compare, schema).distinct()
+    )
+
+
+def _merge(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after joining the linked ones."""
+    moved = component_roots(links).select(F.col("node").alias("root"), F.col("root").alias("to"))
     return materialize(
         salted_join(roots, moved, ["root"], ["id"], "left")
         .select("id", F.coalesce("to", "root").alias("root")),
@@ -124,36 +254,38 @@ def _merge(roots: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def neighbour_components(
-    points: DataFrame, eps: float, axes: int = 3, per_block: int = HEADS
+    points: DataFrame, eps: float, axes: int = 3, per_block: int = HEADS, pivots: int = PIVOTS
 ) -> DataFrame:
     """(id, root): components of the graph that links points within ``eps``.
 
-    Two rows of one component are never compared again. Per block only rows outside its
-    largest component are taken as heads; a head is compared with every row of another
-    component and then leaves the block, and a block with one component left is closed.
-    A dense crowd is closed in a round or two, without listing its pairs.
+    Blocks are cells of pivots, cut further by a grid over wide axes; both lose no pair.
+    Two rows of one component are never compared again: a leader is compared with every row
+    of its block and then leaves it, and a block with one component left is closed. A
+    dense crowd is closed in a round or two. No pair is listed, only links that join
+    components. Points that no pivot can part (random directions in many dimensions, whose
+    distances all lie between eps and twice eps) meet in every cell and cost a product of
+    all with all; no lossless block is known for them.
     """
     rows = points.select("id", "vector")
-    blocks = _grid_blocks(rows, eps, _widest_axes(rows, eps, axes))
-    entries = materialize(blocks.withColumn("root", F.col("id")), "cells")
+    wide = _wide_axes(rows, eps, axes)
+    cells = _pivot_cells(rows, eps, _pivots(rows, eps, pivots))
+    block = F.col("cell").cast("bigint")
+    if wide:
+        cells = cells.withColumn("corner", F.explode(_grid_corners(eps, wide)))
+        block = F.xxhash64("cell", "corner")
+    entries = materialize(
+        cells.select(block.alias("block"), "id", "home", F.col("id").alias("root")), "cells"
+    )
     roots = materialize(rows.select(F.col("id"), F.col("id").alias("root")), "labels")
     active = materialize(_open_blocks(entries), "open")
     while not active.isEmpty():
-        # Heads are never in the block's largest component.
-        outside = active.where(F.col("root") != F.col("main")).drop("main")
-        leaders = materialize(blocking.heads(outside, ["block"], per_block), "heads")
-        pairs = blocking.head_pairs(
-            active.drop("main"), leaders, ["block"], F.col("h_root") != F.col("root")
-        )
-        near = materialize(
-            blocking.with_payload(pairs, rows, "vector")
-            .where(distance(F.col("a"), F.col("b")) <= eps)
-            .select("head", "member"),
-            "near",
+        leaders = materialize(
+            blocking.heads(active.where("lead"), ["block"], per_block), "heads"
         )
-        if not near.isEmpty():
-            roots = _merge(roots, near)
-        left = active.select("block", "id").join(
+        links = materialize(_links(active, leaders, rows, eps), "links")
+        if not links.isEmpty():
+            roots = _merge(roots, links)
+        left = active.select("block", "id", "home").join(
             leaders.select("block", "id"), ["block", "id"], "left_anti"
         )
         # Roots are looked up by id, of which a block row has one and none is hot.
@@ -170,7 +302,8 @@ def density_clusters(
     """(id, cluster_id): components of points within ``eps``, small ones as noise (-1).
 
     ``min_size`` defaults to max(4, n // 20). A cluster is named by its smallest id.
-    Equal vectors are folded first, so that copies are never compared.
+    Equal vectors are folded first, so that copies are never compared. A row without a
+    vector of finite numbers is noise; all vectors have one length.
     """
     points = materialize(
         df.select(
@@ -178,19 +311,21 @@ def density_clusters(
         ),
         "points",
     )
-    firsts = materialize(points.groupBy("vector").agg(F.min("id").alias("first")), "vectors")
+    finite = F.forall("vector", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    placed = points.where(F.coalesce(finite, F.lit(False)))
+    firsts = materialize(placed.groupBy("vector").agg(F.min("id").alias("first")), "vectors")
     if min_size is None:
         min_size = max(4, points.count() // 20)
     roots = neighbour_components(
         firsts.select(F.col("first").alias("id"), "vector"), eps
     ).withColumnRenamed("id", "first")
     labelled = materialize(
-        salted_join(points, firsts, ["vector"], ["id"]).select("id", "first")
-        .join(roots, "first").select("id", "root"),
+        salted_join(points, firsts, ["vector"], ["id"], "left").select("id", "first")
+        .join(roots, "first", "left").select("id", "root"),
         "components",
     )
     big = (
-        labelled.groupBy("root").agg(F.count(F.lit(1)).alias("rows"))
+        labelled.where(F.col("root").isNotNull()).groupBy("root").agg(F.count(F.lit(1)).alias("rows"))
         .where(F.col("rows") >= min_size)
         .select("root", F.col("root").alias("cluster_id"))
     )

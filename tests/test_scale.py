@@ -119,5 +119,61 @@ def test_clusters_equal_single_linkage(spark, monkeypatch):
                 root[max(a, b)] = min(a, b)
     roots = [find(i) for i in range(120)]
     want = [r if roots.count(r) >= 3 else -1 for r in roots]
-    monkeypatch.setattr(clustering.neighbour_components, "__defaults__", (3, 2))
+    monkeypatch.setattr(clustering.neighbour_components, "__defaults__", (3, 2, 256))
     assert clusters(spark, points, 0.8, min_size=3) == want
+
+
+def crowded(n, seed=7):
+    """Unit vectors of 64 dimensions in ten tight crowds, and a lone one."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(10, 64))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    rows = centres[np.arange(n) % 10] + rng.normal(0, 0.01, (n, 64))
+    rows[-1] = -centres.sum(0)
+    return rows / np.linalg.norm(rows, axis=1)[:, None]
+
+
+def test_comparisons_of_crowds_grow_with_the_rows(spark, monkeypatch):
+    compared = []
+    inner = clustering._links
+
+    def counting(active, leaders, points, eps):
+        most = active.groupBy("block").count().join(
+            leaders.groupBy("block").agg(F.count("*").alias("heads")), "block"
+        )
+        compared[-1] += most.agg(F.sum(F.col("count") * F.col("heads"))).first()[0]
+        return inner(active, leaders, points, eps)
+
+    monkeypatch.setattr(clustering, "_links", counting)
+    for n in (500, 2000):
+        compared.append(0)
+        got = clusters(spark, crowded(n), 0.3, min_size=3)
+        assert got == [i % 10 for i in range(n - 1)] + [-1]
+    assert compared[1] <= 4.5 * compared[0]
+
+
+@pytest.mark.parametrize("pivots", [1, 40])
+def test_pivot_cells_lose_no_link(spark, monkeypatch, pivots):
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(300, 6))
+    vectors = points.astype(np.float32).astype(float)
+    near = np.sqrt(((vectors[:, None] - vectors[None]) ** 2).sum(2)) <= 1.0
+    want = np.arange(300)
+    while True:
+        lower = np.array([want[near[i]].min() for i in range(300)])
+        if (lower == want).all():
+            break
+        want = lower
+    sizes = np.bincount(want, minlength=300)
+    monkeypatch.setattr(clustering, "CHUNK", 50)
+    monkeypatch.setattr(clustering.neighbour_components, "__defaults__", (0, 3, pivots))
+    assert clusters(spark, points, 1.0, min_size=2) == [r if sizes[r] > 1 else -1 for r in want]
+
+
+def test_rows_without_a_finite_vector_are_noise(spark):
+    df = spark.createDataFrame(
+        [(1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 2.0])],
+        "id bigint, v array<double>",
+    )
+    got = clustering.density_clusters(df, "id", "v", 0.5, min_size=2).collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (2, 1), (3, -1), (4, -1), (5, -1)]
