@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmill.llm.common import without
 from quillmill.llm.probminhash import mix, word_hashes
+from quillmill.session import materialize
 
 SIDE = 32  # a class is a pair (row, column) of a SIDE x SIDE table
 CLASSES = SIDE * SIDE
@@ -23,6 +26,10 @@ PAD = CLASSES  # the class beyond either end of a document
 DIM, HIDDEN = 16, 32
 SLICE = 32_768  # positions per numpy call
 SCALE = 1 << 24  # parameters are averaged as whole numbers of this unit
+LOG_UNITS = 1_000_000_000  # logarithms of counts are summed by Spark as whole numbers of this unit
+HOT_SHARE, COMMON_SHARE, COMMON_BYTES = 1_000, 100_000, 64  # see ``common_words``
+UNSEEN = 0.5  # occurrences of a word that the training texts do not hold
+DISTINCT = 200_000  # words that a task counts before it hands them on
 
 SHAPES = {
     "embed": (CLASSES + 1, DIM), "hidden": (len(CONTEXT) * DIM, HIDDEN), "bias": (1, HIDDEN),
@@ -34,10 +41,18 @@ ADDED = ["n_tokens", "log_prob", "mean_log_prob"]
 
 @dataclass
 class Model:
-    """``classes`` maps a bucket of words to its class; ``weights`` are the network."""
+    """``classes`` maps a bucket of words to its class; ``weights`` are the network.
+
+    ``words`` is the written table (word, bucket, n) of all words of the training texts,
+    ``common`` the logarithms of the counts of the frequent ones, ``counts`` the occurrences
+    per class.
+    """
 
     classes: np.ndarray
     weights: dict[str, np.ndarray] = field(default_factory=dict)
+    words: DataFrame | None = None
+    common: dict[bytes, float] = field(default_factory=dict)
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES, np.int64))
 
 
 def fresh_weights(seed: int) -> dict[str, np.ndarray]:
@@ -142,27 +157,55 @@ def _batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str | None]]
         yield held
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """Occurrences per bucket of words over all texts: a vector of fixed length."""
+def word_table(docs: DataFrame) -> DataFrame:
+    """(word, bucket, n): every word of all texts and its occurrences, written once."""
+
+    def rows(found: Counter) -> pa.RecordBatch:
+        at = [xxhash.xxh3_64_intdigest(w) % BUCKETS for w in found]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(found), pa.binary()), pa.array(at, pa.int64()),
+             pa.array(list(found.values()), pa.int64())], names=["word", "bucket", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        found = Counter()
         for texts in _batches_of(batches):
             for text in texts:
-                total += np.bincount(buckets(text), minlength=BUCKETS)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["b", "n"])
-
-    rows = (
-        docs.select(F.col("text").cast("string").alias("text"))
-        .mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect()
+                found.update((text or "").encode().split())
+            if len(found) > DISTINCT:
+                yield rows(found)
+                found = Counter()
+        if found:
+            yield rows(found)
+
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(
+        count, "word binary, bucket long, n long"
+    )
+    return materialize(
+        counted.groupBy("word", "bucket").agg(F.sum("n").alias("n")), "word-counts"
     )
+
+
+def bucket_counts(words: DataFrame) -> np.ndarray:
+    """Occurrences per bucket of words over all texts: a vector of fixed length."""
     counts = np.zeros(BUCKETS, np.int64)
-    for r in rows:
-        counts[r["b"]] = r["n"]
+    for r in words.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        counts[r["bucket"]] = r["n"]
     return counts
 
 
+def common_words(words: DataFrame, total: int) -> dict[bytes, float]:
+    """Word -> ln n of the words that are scored in place.
+
+    Above one ``HOT_SHARE``-th of all occurrences any word, above one ``COMMON_SHARE``-th those
+    of at most ``COMMON_BYTES``: fewer than 1,000 and 100,000 words, whatever the corpus. None of
+    the others is hot, so these may be shuffled.
+    """
+    few = F.col("n") * HOT_SHARE > total
+    short = (F.col("n") * COMMON_SHARE > total) & (F.length("word") <= COMMON_BYTES)
+    rows = words.where(few | short).select("word", "n").collect()
+    return {bytes(r["word"]): float(np.log(r["n"])) for r in rows}
+
+
 def train(
     docs: DataFrame, rounds: int = 2, every: int = 8, rate: float = 0.1, batch: int = 1024,
     seed: int = 42,
@@ -175,17 +218,24 @@ def train(
     grows with the number of tasks, and is summed by Spark; the driver receives one
     model per round, of a size fixed by the constants above.
     """
-    model = Model(class_table(word_counts(docs)), fresh_weights(seed))
+    words = word_table(docs)
+    per_bucket = bucket_counts(words)
+    classes = class_table(per_bucket)
+    per_class = np.bincount(classes, per_bucket, CLASSES).astype(np.int64)
+    common = common_words(words, int(per_bucket.sum()))
+    weights = fresh_weights(seed)
     names = list(SHAPES)
     texts = docs.select(F.col("text").cast("string").alias("text"))
     for turn in range(rounds):
 
-        def fit(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
-            w = {k: v.copy() for k, v in model.weights.items()}
+        def fit(
+            batches: Iterator[pa.RecordBatch], turn: int = turn, start: dict = weights
+        ) -> Iterator[pa.RecordBatch]:
+            w = {k: v.copy() for k, v in start.items()}
             squares = {k: np.zeros_like(v) for k, v in w.items()}
             seen = 0
             for texts in _batches_of(batches):
-                stream, at, owner = _stream(texts, model.classes)
+                stream, at, owner = _stream(texts, classes)
                 place = at.astype(np.uint64) * np.uint64(2654435761) + np.uint64(turn)
                 chosen = at[mix(place) % np.uint64(every) == 0]
                 # Documents are mixed within a batch, so that a step sees many of them.
@@ -213,17 +263,42 @@ def train(
         for r in rows:
             flat[r["i"]] = r["v"]
         at = 0
-        averaged = {}
+        weights = {}
         for name, shape in SHAPES.items():
-            averaged[name] = flat[at:at + np.prod(shape)].reshape(shape)
+            weights[name] = flat[at:at + np.prod(shape)].reshape(shape)
             at += np.prod(shape)
-        model = Model(model.classes, averaged)
-    return model
+    return Model(classes, weights, words, common, per_class)
+
+
+def _rare_words(texts: DataFrame, common: dict[bytes, float]) -> DataFrame:
+    """(row, word, k): the words of every text that are not ``common``, with their occurrences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                part = whole.slice(start, 256)
+                rows, words, counts = [], [], []
+                for row, text in zip(part.column("row").to_pylist(), part.column("text")):
+                    found = Counter(
+                        w for w in (text.as_py() or "").encode().split() if w not in common
+                    )
+                    rows += [row] * len(found)
+                    words += found.keys()
+                    counts += found.values()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows, pa.int64()), pa.array(words, pa.binary()),
+                     pa.array(counts, pa.int64())], names=["row", "word", "k"])
+
+    return texts.mapInArrow(run, "row long, word binary, k long")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Add n_tokens, log_prob (the sum over all words of the log-probability of a word's class
-    given two words on either side) and mean_log_prob (NULL without words).
+    """Add n_tokens, log_prob (the sum over all words of the log-probability of the word given
+    two words on either side) and mean_log_prob (NULL without words).
+
+    The network gives the probability of the word's class, the counts of the training texts that
+    of the word in its class, n(word) / n(class); a word that they do not hold counts ``UNSEEN``
+    occurrences. Frequent words are looked up in place, all others by a join.
 
     A NULL text is empty: no tokens, log_prob 0. All rows and columns are kept, repeated rows
     too; a column that clashes with an added one is replaced.
@@ -232,24 +307,50 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     text_column = next(c for c in clean.columns if c.lower() == "text")
     schema = T.StructType([
         *clean.schema.fields, T.StructField("n_tokens", T.LongType()),
-        T.StructField("log_prob", T.DoubleType()), T.StructField("mean_log_prob", T.DoubleType()),
+        T.StructField("__base", T.DoubleType()),
     ])
+    classes, weights, common = model.classes, model.weights, model.common
+    log_counts = np.log(np.maximum(model.counts, UNSEEN))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 part = whole.slice(start, 256)
                 texts = [v.as_py() for v in part.column(text_column)]
-                stream, at, owner = _stream(texts, model.classes)
+                stream, at, owner = _stream(texts, classes)
                 n = np.bincount(owner, minlength=len(texts))
-                total = np.bincount(owner, log_probs(model.weights, stream, at), len(texts))
-                total = np.round(total.astype(np.float64), 4)  # no words at all: whole numbers
-                mean = [round(t / k, 6) if k else None for t, k in zip(total.tolist(), n.tolist())]
+                each = log_probs(weights, stream, at) - log_counts[stream[at]]
+                total = np.bincount(owner, each, len(texts)).astype(np.float64)
+                total += [sum(common.get(w, 0.0) for w in (t or "").encode().split()) for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(n.astype(np.int64)), pa.array(total),
-                     pa.array(mean, pa.float64())], names=schema.names)
+                    [*part.columns, pa.array(n.astype(np.int64)), pa.array(total)],
+                    names=schema.names)
 
-    return clean.mapInArrow(run, schema)
+    # Written with the number of the row, so that the rare words find their row again.
+    scored = materialize(
+        clean.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()),
+        "word-scores",
+    )
+    rare = _rare_words(
+        scored.select(F.col("__row").alias("row"), F.col(text_column).cast("string").alias("text")),
+        common,
+    )
+    known = F.coalesce(F.col("n").cast("double"), F.lit(UNSEEN))
+    sums = (
+        rare.join(model.words.select("word", "n"), "word", "left")
+        .groupBy(F.col("row").alias("__r"))
+        .agg(F.sum(F.round(F.log(known) * LOG_UNITS).cast("bigint") * F.col("k")).alias("__units"))
+    )
+    added = F.coalesce(F.col("__units"), F.lit(0)) / F.lit(float(LOG_UNITS))
+    return (
+        scored.join(sums, F.col("__row") == F.col("__r"), "left")
+        .withColumn("__total", F.round(F.col("__base") + added, 4))
+        .select(
+            *clean.columns, "n_tokens", F.col("__total").alias("log_prob"),
+            F.when(F.col("n_tokens") > 0, F.round(F.col("__total") / F.col("n_tokens"), 6))
+            .alias("mean_log_prob"),
+        )
+    )
 
 
 def pseudo_likelihood(docs: DataFrame, **parameters) -> DataFrame:

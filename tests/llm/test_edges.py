@@ -10,7 +10,7 @@ from quillmill.llm.linkgraph import judge_urls
 from quillmill.llm.mixing import temperature_mix
 from quillmill.llm.pii import sanitise
 from quillmill.llm.probminhash import drop_near_duplicates, near_duplicates
-from quillmill.llm.pseudo_likelihood import score, train
+from quillmill.llm.pseudo_likelihood import _stream, log_probs, score, train
 from quillmill.llm.sharding import shard_by_bytes
 from quillmill.llm.warc import archive_and_read
 from quillmill.session import scratch_path
@@ -203,6 +203,36 @@ def test_pseudo_likelihood(spark, docs, none):
     assert score(none, train(none)).count() == 0
 
 
+def test_pseudo_likelihood_is_that_of_the_word(spark):
+    from collections import Counter
+
+    import numpy as np
+
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{j % 50} tail{i}x{j}" for j in range(600)) + " end")
+            for i in range(100)] + [(100, None), (100, "a1 a1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = train(docs)
+    words = Counter(w for _, t in rows for w in (t or "").split())
+    assert {bytes(r["word"]).decode(): r["n"] for r in model.words.collect()} == words
+    assert b"a1" in model.common and b"tail1x1" not in model.common  # both ways of the look-up
+    held = [(1000, rows[0][1]), (1001, rows[0][1].replace("tail0x7", "a0")),
+            (1002, rows[0][1].replace("tail0x7 ", "never-seen ")), (1002, None)]
+    classes = {}
+    for w in words:
+        c = int(_stream([w], model.classes)[0][2])
+        classes[c] = classes.get(c, 0) + words[w]
+    for part in (rows, held):
+        got = score(spark.createDataFrame(part, "doc_id long, text string"), model).collect()
+        assert len(got) == len(part)
+        by = {(r["doc_id"], r["text"]): r for r in got}
+        for d, t in part:
+            stream, at, _ = _stream([t], model.classes)
+            want = log_probs(model.weights, stream, at).sum() + sum(
+                np.log(words.get(w, 0.5) / classes[c])
+                for w, c in zip((t or "").split(), stream[at].tolist()))
+            assert abs(by[d, t]["log_prob"] - want) < 0.02 and by[d, t]["n_tokens"] == len(at)
+
+
 def test_warc(spark):
     rows = [(3, "u", "same"), (1, None, "same"), (2, "a b", None), (4, "u", ""), (3, "u", "same"),
             (5, "u", "x" * 300_000), (None, "u", "same")]
