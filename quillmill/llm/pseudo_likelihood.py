@@ -45,7 +45,7 @@ class Model:
 
     ``words`` is the written table (word, bucket, n) of all words of the training texts,
     ``common`` the logarithms of the counts of the frequent ones, ``counts`` the occurrences
-    per class.
+    per class. ``trained`` is the number of positions trained on, one per round.
     """
 
     classes: np.ndarray
@@ -53,6 +53,7 @@ class Model:
     words: DataFrame | None = None
     common: dict[bytes, float] = field(default_factory=dict)
     counts: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES, np.int64))
+    trained: list[int] = field(default_factory=list)
 
 
 def fresh_weights(seed: int) -> dict[str, np.ndarray]:
@@ -117,6 +118,13 @@ def log_probs(w: dict[str, np.ndarray], stream: np.ndarray, at: np.ndarray) -> n
     return out
 
 
+def _sum_by(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sums of ``rows`` with equal ``at``, as an array of ``n`` rows."""
+    width = rows.shape[1]
+    cells = (at[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(cells, rows.ravel(), n * width).reshape(n, width).astype(np.float32)
+
+
 def train_step(
     w: dict[str, np.ndarray], squares: dict[str, np.ndarray], stream: np.ndarray, at: np.ndarray,
     rate: float,
@@ -130,13 +138,14 @@ def train_step(
     d_rows /= len(at)
     d_columns /= len(at)
     grads = {"row": hidden.T @ d_rows, "row_bias": d_rows.sum(0, keepdims=True),
-             "column": hidden.T @ d_columns, "column_bias": np.zeros((SIDE, SIDE), np.float32)}
-    np.add.at(grads["column_bias"], row, d_columns)
+             "column": hidden.T @ d_columns,
+             "column_bias": _sum_by(row, d_columns, SIDE)}
     d_hidden = (d_rows @ w["row"].T + d_columns @ w["column"].T) * (1 - hidden * hidden)
     grads["hidden"] = inputs.T @ d_hidden
     grads["bias"] = d_hidden.sum(0, keepdims=True)
-    grads["embed"] = np.zeros_like(w["embed"])
-    np.add.at(grads["embed"], around.ravel(), (d_hidden @ w["hidden"].T).reshape(-1, DIM))
+    grads["embed"] = _sum_by(
+        around.ravel(), (d_hidden @ w["hidden"].T).reshape(-1, DIM), CLASSES + 1
+    )
     for name, g in grads.items():
         squares[name] += g * g
         w[name] -= rate * g / (np.sqrt(squares[name]) + 1e-6)
@@ -157,6 +166,12 @@ def _batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str | None]]
         yield held
 
 
+def part_of(keys: np.ndarray, places: np.ndarray, every: int) -> np.ndarray:
+    """The part, of ``every``, of positions by the key of their text and their place in it."""
+    mixed = mix(keys.astype(np.uint64) + places.astype(np.uint64) * np.uint64(2654435761))
+    return (mixed % np.uint64(every)).astype(np.int64)
+
+
 def word_table(docs: DataFrame) -> DataFrame:
     """(word, bucket, n): every word of all texts and its occurrences, written once."""
 
@@ -207,16 +222,17 @@ def common_words(words: DataFrame, total: int) -> dict[bytes, float]:
 
 
 def train(
-    docs: DataFrame, rounds: int = 2, every: int = 8, rate: float = 0.1, batch: int = 1024,
+    docs: DataFrame, rounds: int = 2, every: int = 2, rate: float = 0.1, batch: int = 1024,
     seed: int = 42,
 ) -> Model:
     """Fit the network on all texts: in every round, each task trains on its own, then weights
     are averaged by the number of masked positions.
 
-    Word counts cover all words. One position in ``every`` is masked per round, chosen
-    by a hash of its place and the round, in every text of the corpus. What is gathered
-    grows with the number of tasks, and is summed by Spark; the driver receives one
-    model per round, of a size fixed by the constants above.
+    All positions of all texts are trained on: they are dealt into ``every`` parts by a
+    hash of the text and the place in it, wherever the text is stored, and a round takes the
+    next part. There are as many rounds as parts at least; ``every`` = 1 takes all positions
+    in every round. What is gathered grows with the number of tasks, and is summed by Spark;
+    the driver receives one model per round, of a size fixed by the constants above.
     """
     words = word_table(docs)
     per_bucket = bucket_counts(words)
@@ -226,7 +242,8 @@ def train(
     weights = fresh_weights(seed)
     names = list(SHAPES)
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    for turn in range(rounds):
+    trained = []
+    for turn in range(max(rounds, every)):
 
         def fit(
             batches: Iterator[pa.RecordBatch], turn: int = turn, start: dict = weights
@@ -236,8 +253,10 @@ def train(
             seen = 0
             for texts in _batches_of(batches):
                 stream, at, owner = _stream(texts, classes)
-                place = at.astype(np.uint64) * np.uint64(2654435761) + np.uint64(turn)
-                chosen = at[mix(place) % np.uint64(every) == 0]
+                keys = np.array([xxhash.xxh3_64_intdigest(t or "") for t in texts], np.uint64)
+                lengths = np.bincount(owner, minlength=len(texts))
+                places = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                chosen = at[part_of(keys[owner], places, every) == turn % every]
                 # Documents are mixed within a batch, so that a step sees many of them.
                 chosen = chosen[np.argsort(mix(chosen.astype(np.uint64) + np.uint64(turn)))]
                 for i in range(0, len(chosen), batch):
@@ -255,19 +274,21 @@ def train(
         rows = (
             texts.mapInArrow(fit, "i long, v long, n long").groupBy("i")
             .agg(weighted.alias("v"), F.sum("n").alias("n"))
-            .select("i", (F.col("v").cast("double") / F.col("n") / SCALE).alias("v")).collect()
+            .select("i", (F.col("v").cast("double") / F.col("n") / SCALE).alias("v"), "n")
+            .collect()
         )
         if not rows:
-            break
+            continue
         flat = np.zeros(sum(np.prod(s) for s in SHAPES.values()), np.float32)
         for r in rows:
             flat[r["i"]] = r["v"]
+        trained.append(rows[0]["n"])
         at = 0
         weights = {}
         for name, shape in SHAPES.items():
             weights[name] = flat[at:at + np.prod(shape)].reshape(shape)
             at += np.prod(shape)
-    return Model(classes, weights, words, common, per_class)
+    return Model(classes, weights, words, common, per_class, trained)
 
 
 def _rare_words(texts: DataFrame, common: dict[bytes, float]) -> DataFrame:

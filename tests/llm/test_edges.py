@@ -233,6 +233,16 @@ def test_pseudo_likelihood_is_that_of_the_word(spark):
             assert abs(by[d, t]["log_prob"] - want) < 0.02 and by[d, t]["n_tokens"] == len(at)
 
 
+def test_pseudo_likelihood_trains_on_every_position(spark):
+    rows = [(i, " ".join(f"w{i * j % 97}" for j in range(i))) for i in range(200)] + [(7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    total = sum(len((t or "").split()) for _, t in rows)
+    one, other = train(docs.coalesce(1)), train(docs.repartition(5, "doc_id"))
+    assert sum(one.trained) == total and one.trained == other.trained  # whatever the file layout
+    assert sum(train(docs, rounds=1, every=3).trained) == total
+    assert train(docs, every=1).trained == [total, total]
+
+
 def test_warc(spark):
     rows = [(3, "u", "same"), (1, None, "same"), (2, "a b", None), (4, "u", ""), (3, "u", "same"),
             (5, "u", "x" * 300_000), (None, "u", "same")]
