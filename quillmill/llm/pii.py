@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import whole_text, without
+from quillmill.operators.scale import salted_join
 from quillmill.session import materialize
 
 #: The kinds in the order in which spans are listed.
@@ -117,77 +116,123 @@ def _entity(kind: Column, value: Column) -> Column:
     )
 
 
-def _context(hits: DataFrame) -> DataFrame:
-    """(__key, entity, word, s, e): the whole words in the windows left and right of a span.
+def _part(kind: Column, value: Column) -> Column:
+    """What many values share: mail domain, first three numbers of an address, dialling code,
+    issuer of a card."""
+    return F.concat(
+        kind, F.lit("/"),
+        F.when(kind == "email", F.lower(F.substring_index(value, "@", -1)))
+        .when(kind == "ip", F.regexp_extract(value, r"^[0-9]+\.[0-9]+\.[0-9]+", 0))
+        .when(kind == "phone", F.regexp_extract(value, r"^\+([0-9]{1,3})", 1))
+        .otherwise(F.substring(_digits(value), 1, 6)),
+    )
 
-    Words that a base span touches are left out. Linear in spans: each brings at most two
-    windows, whatever else the document holds.
-    """
-    sides = []
-    for side in ("left", "right"):
-        words = hits.select(
-            "__key", "entity", "near", f"{side}_at",
-            F.explode(_spans(F.col(side), WORD)).alias("w"), F.length(side).alias("n"),
-            F.col(f"{side}_cut").alias("cut"),
-        )
-        # A word that touches a cut edge of the window may go on beyond it.
-        whole = ~F.col("cut") | (
-            (F.col("w.s") > 0) if side == "left" else (F.col("w.e") < F.col("n"))
-        )
-        sides.append(words.where(whole).select(
-            "__key", "entity", "near", F.lower("w.v").alias("word"),
-            (F.col("w.s") + F.col(f"{side}_at")).alias("s"),
-            (F.col("w.e") + F.col(f"{side}_at")).alias("e"),
-        ))
-    free = ~F.exists("near", lambda b: (b["s"] < F.col("e")) & (b["e"] > F.col("s")))
-    return sides[0].unionByName(sides[1]).where(free).drop("near")
+
+def _occurrences(found: DataFrame) -> DataFrame:
+    """(__key, word, s, e): the words of the whole texts that no base span touches."""
+    gaps = F.transform(F.split("t", WORD, -1), F.length)
+    words = F.regexp_extract_all("t", F.lit(WORD), F.lit(0))
+    each = F.zip_with(words, F.slice(gaps, F.lit(1), F.size(words)),
+                      lambda v, gap: F.struct(v.alias("v"), gap.alias("gap")))
+    so_far = Window.partitionBy("__key").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    length = F.length("w.v")
+    placed = found.select("__key", F.posexplode(each).alias("i", "w")).withColumn(
+        "e", F.sum(F.col("w.gap") + length).over(so_far).cast("int")
+    )
+    base = found.select("__key", F.explode("base").alias("b"))
+    both = placed.select("__key", F.lower("w.v").alias("word"), (F.col("e") - length).alias("s"), "e")
+    both = both.unionByName(
+        base.select("__key", F.lit(None).cast("string").alias("word"), "b.s", "b.e")
+    )
+    is_base = F.col("word").isNull()
+
+    def up_to(order: Column) -> Window:
+        return Window.partitionBy("__key").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+
+    # Spans that begin earlier must have ended, those that begin later must not have begun.
+    ended = F.max(F.when(is_base, F.col("e"))).over(up_to(F.col("s").asc()))
+    begins = F.min(F.when(is_base, F.col("s"))).over(up_to(F.col("s").desc()))
+    return (
+        both.withColumn("ended", ended).withColumn("begins", begins)
+        .where(~is_base & (F.coalesce("ended", "s") <= F.col("s"))
+               & (F.coalesce("begins", "e") >= F.col("e")))
+        .select("__key", "word", "s", "e")
+    )
 
 
 def disclosing_terms(
-    docs: DataFrame, context: DataFrame, min_documents: int, threshold: float, remove_at: float
-) -> DataFrame:
-    """(entity, word, disclosure, action) of the words that give an entity away.
+    docs: DataFrame, words: DataFrame, held: DataFrame, min_documents: int, threshold: float,
+    remove_at: float,
+) -> tuple[DataFrame, DataFrame]:
+    """(entity, word, disclosure, action) of the words that give an entity away, and the pairs
+    (__key, entity, word) they were chosen from.
+
+    ``words`` has the distinct (__key, word) of the documents with personal data, ``held`` their
+    distinct (__key, entity, part, kind).
 
     With p taken as the share of all documents, the disclosure of entity c by word t is
     PMI(c; t) / IC(c) = log(p(c,t) / (p(c) p(t))) / -log p(c): 1 if the word occurs only
-    with the entity, 0 if independent. p(c,t) counts documents with the word in a window
-    around the entity. Only pairs seen in ``min_documents`` documents are estimates at all.
+    with the entity, 0 if independent. p(c,t) counts documents that hold both, wherever.
+    Only pairs seen in ``min_documents`` documents are estimates at all.
     Words from ``threshold`` on are generalised, from ``remove_at`` on removed.
     """
     n_docs = max(1, docs.count())
-    pairs = context.select("__key", "entity", "word").distinct()
-    joint = (
-        pairs.groupBy("entity", "word").agg(F.count(F.lit(1)).alias("n_joint"))
-        .where(F.col("n_joint") >= min_documents)
+    total = F.lit(float(n_docs))
+    nodes = held.select("__key", F.explode(F.array("entity", "part", "kind")).alias("node")).distinct()
+    sizes = materialize(
+        nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n_node")), "pii-entities"
     )
-    joint = materialize(joint, "pii-joint")
-    entities = (
-        context.select("__key", "entity").distinct()
-        .groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    # Over all documents, counted before anything is shuffled.
+    every = docs.select(F.explode(F.array_distinct(F.transform(
+        F.regexp_extract_all(whole_text(), F.lit(WORD), F.lit(0)), F.lower))).alias("word"))
+    seen = materialize(
+        every.groupBy("word").agg(F.count(F.lit(1)).alias("n_word"))
+        .join(words.select("word").distinct(), "word"),
+        "pii-words",
     )
-    # Over all documents; the few candidate words are joined before anything is shuffled
-    # when they are small enough for the planner to send them to the tasks.
-    wanted = joint.select("word").distinct()
-    words = docs.select(
-        "__key",
-        F.explode(F.array_distinct(F.regexp_extract_all(F.lower(whole_text()), F.lit(WORD), F.lit(0))))
-        .alias("word"),
+    # No word can disclose more than log(N / n_word): the frequent ones are out, losing nothing.
+    most = sizes.join(
+        held.select(F.explode(F.array("entity", "part")).alias("node")).distinct(), "node", "left_semi"
+    ).where(F.col("n_node") < n_docs).agg(F.max("n_node")).first()[0] or 1
+
+    def can(n: Column) -> Column:
+        return F.log(total / F.col("n_word")) >= threshold * F.log(total / n) - 1e-6
+
+    kept = materialize(
+        salted_join(words, seen.where(can(F.lit(float(most)))), ["word"], ["__key"]), "pii-rare"
     )
-    seen = (
-        words.join(wanted, "word", "left_semi")
-        .groupBy("word").agg(F.count(F.lit(1)).alias("n_word"))
+    pairs = materialize(
+        kept.select("__key", "word").join(held.select("__key", "entity").distinct(), "__key"),
+        "pii-pairs",
     )
-    total = F.lit(float(n_docs))
-    content = -F.log(F.col("n_entity") / total)
-    pmi = F.log(F.col("n_joint") * total / (F.col("n_entity") * F.col("n_word")))
-    return (
-        joint.join(seen, "word").join(entities, "entity")
-        .withColumn("disclosure", F.when(content > 0, F.round(pmi / content, 9)).otherwise(0.0))
-        .where(F.col("disclosure") >= threshold)
-        .select("entity", "word", "disclosure",
-                F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise")
-                .alias("action"))
+    joint = materialize(
+        kept.select("__key", "word").join(nodes, "__key")
+        .groupBy("node", "word").agg(F.count(F.lit(1)).alias("n_joint")),
+        "pii-joint",
+    )
+    chain = held.select("entity", "part", "kind").distinct()
+
+    def level(name: str, *above: str) -> DataFrame:
+        return (
+            joint.join(chain.select(name, *above).distinct(), F.col("node") == F.col(name))
+            .select(name, *above, "word", F.col("n_joint").alias(f"j_{name}"))
+            .join(sizes.select(F.col("node").alias(name), F.col("n_node").alias(f"n_{name}")), name)
+        )
+
+    share = F.col("n_word") / total
+
+    def disclosure(p: Column, n: str) -> Column:
+        content = -F.log(F.col(n) / total)
+        return F.when(content > 0, F.round(F.log(p / share) / content, 9)).otherwise(0.0)
+
+    found = (
+        level("entity", "part").where(F.col("j_entity") >= min_documents).join(seen, "word")
+        .withColumn("disclosure", disclosure(F.col("j_entity") / F.col("n_entity"), "n_entity"))
     )
+    return found.where(F.col("disclosure") >= threshold).select(
+        "entity", "word", "disclosure",
+        F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise").alias("action"),
+    ), pairs
 
 
 ADDED = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "sanitised"]
@@ -195,7 +240,6 @@ ADDED = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "saniti
 
 def sanitise(
     docs: DataFrame,
-    window: int = 64,
     min_documents: int = 3,
     threshold: float = 0.8,
     remove_at: float = 0.95,
@@ -203,9 +247,9 @@ def sanitise(
     """Mark and replace personal data and the words that disclose it, in whole texts.
 
     Base spans are the matches of four patterns (email, ip, card, phone) that pass their
-    tests. Further spans of kind ``term`` are words near a base span which, by their
-    co-occurrence over all documents, disclose its value: see ``disclosing_terms``. They
-    are replaced in that place only. In ``sanitised`` a base span becomes ``<KIND>``, a
+    tests. Further spans of kind ``term`` are words anywhere in a document with a base span
+    which, by their co-occurrence over all documents, disclose its value: see
+    ``disclosing_terms``. They are replaced wherever they occur in that document. In ``sanitised`` a base span becomes ``<KIND>``, a
     generalised word ``<NUMBER>`` or ``<WORD>``, a removed word nothing; where spans of
     two kinds overlap, the one that starts first (then the longer) is replaced and the
     overlapping rest goes with it.
@@ -223,43 +267,29 @@ def sanitise(
                     F.xxhash64(whole_text()).cast("string"), F.crc32(whole_text()).cast("string")),
     )
     text = whole_text()
-    # At most this many spans begin within a window on one side: the shortest has five characters.
-    near = window // 5 * len(KINDS) + len(KINDS)
     found = materialize(
         keyed.select("__key", text.alias("t")).withColumn("base", base_spans(F.col("t")))
-        .where(F.size("base") > 0)
-        .withColumn("placed", F.array_sort(F.transform("base", lambda m: F.struct(
-            m["s"].alias("s"), m["e"].alias("e"), m["kind"].alias("kind"), m["v"].alias("v")))))
-        .select(
-            "__key", "base",
-            F.transform("placed", lambda m, i: F.struct(
-                _entity(m["kind"], m["v"]).alias("entity"), m["s"].alias("s"), m["e"].alias("e"),
-                F.substr("t", F.greatest(m["s"] - window, F.lit(0)) + 1,
-                         F.least(m["s"], F.lit(window))).alias("left"),
-                F.substr("t", m["e"] + 1, F.lit(window)).alias("right"),
-                (m["e"] + window < F.length("t")).alias("right_cut"),
-                F.transform(
-                    F.slice("placed", F.greatest(i + 1 - near, F.lit(1)), F.lit(2 * near + 1)),
-                    lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e")),
-                ).alias("near"),
-            )).alias("around"),
-        ),
+        .where(F.size("base") > 0).select("__key", "base", "t"),
         "pii-found",
     ).dropDuplicates(["__key"])
-    hits = found.select("__key", F.explode("around").alias("a")).select(
-        "__key", "a.near", "a.entity", "a.left", "a.right", "a.right_cut",
-        (F.col("a.s") > window).alias("left_cut"),
-        F.greatest(F.col("a.s") - window, F.lit(0)).alias("left_at"),
-        F.col("a.e").alias("right_at"),
+    held = materialize(
+        found.select("__key", F.explode("base").alias("b")).select(
+            "__key", _entity(F.col("b.kind"), F.col("b.v")).alias("entity"),
+            _part(F.col("b.kind"), F.col("b.v")).alias("part"), "b.kind",
+        ).distinct(),
+        "pii-held",
     )
-    context = materialize(_context(hits), "pii-context")
-    terms = materialize(
-        disclosing_terms(keyed, context, min_documents, threshold, remove_at), "pii-terms"
+    places = materialize(_occurrences(found), "pii-places")
+    words = materialize(places.select("__key", "word").distinct(), "pii-context")
+    terms, pairs = disclosing_terms(keyed, words, held, min_documents, threshold, remove_at)
+    terms = materialize(terms, "pii-terms")
+    disclosed = (
+        salted_join(pairs, terms, ["entity", "word"], ["__key"])
+        .groupBy("__key", "word")
+        .agg(F.max((F.col("action") == "remove").cast("int")).alias("remove"))
     )
     marked = (
-        context.join(terms, ["entity", "word"])
-        .groupBy("__key", "s", "e", "word")
-        .agg(F.max((F.col("action") == "remove").cast("int")).alias("remove"))
+        places.join(disclosed, ["__key", "word"])
         .groupBy("__key")
         .agg(F.sort_array(F.collect_list(F.struct(
             "s", "e",
@@ -316,8 +346,3 @@ def sanitise(
         .alias("spans"),
         folded.alias("sanitised"),
     )
-
-
-def threshold_of(n_joint: int, n_entity: int, n_word: int, n_docs: int) -> float:
-    """The disclosure of a pair, as a plain number (for tests and for choosing thresholds)."""
-    return math.log(n_joint * n_docs / (n_entity * n_word)) / -math.log(n_entity / n_docs)

@@ -164,6 +164,20 @@ def test_pii_terms_that_disclose(spark):
     assert got[100]["sanitised"] == rows[-1][1] and got[100]["spans"] == ""
 
 
+def test_pii_terms_in_whole_documents(spark):
+    far = "some words that lie in between and are in all of these documents " * 3
+    rows = [(i, f"Zork wrote {far}to ann@example.org and then {far}zork. x zorks") for i in range(6)]
+    rows += [(100 + i, f"somebody wrote {far}to and then x zorks") for i in range(60)]
+    rows += [(200, "a@b.example"), (200, "a@b.example")]  # an entity without a word around
+    got = {r["doc_id"]: r for r in sanitise(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(6):
+        at = [0, rows[i][1].index("zork.")]
+        assert got[i]["spans"].split(",")[1:] == [f"term:{s}:{s + 4}" for s in at]
+        assert got[i]["sanitised"] == f" wrote {far}to <EMAIL> and then {far}. x zorks"
+    assert got[100]["spans"] == "" and got[200]["spans"] == "email:0:11"
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo"), (1, 2, "bob", "yo"),
             (1, 3, None, None), (None, None, "ann", "x"), (2, 0, "system", "alone")]
