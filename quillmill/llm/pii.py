@@ -171,9 +171,11 @@ def disclosing_terms(
     distinct (__key, entity, part, kind).
 
     With p taken as the share of all documents, the disclosure of entity c by word t is
-    PMI(c; t) / IC(c) = log(p(c,t) / (p(c) p(t))) / -log p(c): 1 if the word occurs only
-    with the entity, 0 if independent. p(c,t) counts documents that hold both, wherever.
-    Only pairs seen in ``min_documents`` documents are estimates at all.
+    PMI(c; t) / IC(c) = log(p(t|c) / p(t)) / -log p(c): 1 if the word occurs only with the
+    entity, 0 if independent. Most values are too rare for p(t|c) to be a count: it is smoothed
+    by that of the part that values share (mail domain, prefix, dialling code), this by that of
+    the kind, and this by p(t); the coarser estimate counts as ``min_documents`` documents. A word
+    that discloses the part of a value discloses the value: the greater disclosure counts.
     Words from ``threshold`` on are generalised, from ``remove_at`` on removed.
     """
     n_docs = max(1, docs.count())
@@ -225,9 +227,20 @@ def disclosing_terms(
         content = -F.log(F.col(n) / total)
         return F.when(content > 0, F.round(F.log(p / share) / content, 9)).otherwise(0.0)
 
-    found = (
-        level("entity", "part").where(F.col("j_entity") >= min_documents).join(seen, "word")
-        .withColumn("disclosure", disclosure(F.col("j_entity") / F.col("n_entity"), "n_entity"))
+    def smoothed(name: str, prior: Column) -> Column:
+        return (F.col(f"j_{name}") + min_documents * prior) / (F.col(f"n_{name}") + min_documents)
+
+    parts = (
+        level("part", "kind").join(level("kind"), ["kind", "word"]).join(seen, "word")
+        .where(can(F.col("n_part")))
+        .withColumn("p_part", smoothed("part", smoothed("kind", share)))
+        .withColumn("by_part", disclosure(F.col("p_part"), "n_part"))
+        .select("part", "word", "n_word", "p_part", "by_part")
+    )
+    values = materialize(level("entity", "part"), "pii-values")
+    by_value = disclosure(smoothed("entity", F.col("p_part")), "n_entity")
+    found = salted_join(values, parts, ["part", "word"], ["entity"]).withColumn(
+        "disclosure", F.greatest(by_value, "by_part")
     )
     return found.where(F.col("disclosure") >= threshold).select(
         "entity", "word", "disclosure",

@@ -61,6 +61,43 @@ def pii_digest(text):
     return tuple(counts[k] for k in PII) + (hashlib.sha256(joined.encode()).hexdigest(),)
 
 
+def disclosed(rows, k=3, threshold=0.8):
+    """(doc_id, text) -> {doc_id: term spans} for distinct ids, without ips and cards."""
+    import math
+
+    words, held, docs = {}, {}, {}
+    for d, text in rows:
+        base = pii(text)
+        docs[d] = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"\w+", text)]
+        words[d] = {w for w, _, _ in docs[d]}
+        docs[d] = [x for x in docs[d] if all(x[2] <= s or x[1] >= e for _, s, e in base)]
+        held[d] = set()
+        for kind, s, e in base:
+            value = text[s:e].lower()
+            part = value.split("@")[1] if kind == "email" else re.match(r"\+(\d{1,3})", value)[1]
+            held[d].add(((kind, "value", re.sub(r"[^\w@.]", "", value)), (kind, "part", part), (kind,)))
+
+    def share(word, node):
+        has = [d for d in held if any(node in chain for chain in held[d])]
+        return sum(word in {w for w, _, _ in docs[d]} for d in has), len(has)
+
+    def score(word, chain):
+        p = overall = sum(word in w for w in words.values()) / len(rows)
+        best = 0.0
+        for node in reversed(chain):
+            joint, n = share(word, node)
+            p = (joint + k * p) / (n + k)
+            if len(node) > 1 and n < len(rows):
+                best = max(best, math.log(p / overall) / -math.log(n / len(rows)))
+        return best
+
+    out = {}
+    for d in docs:
+        terms = {w for w in {w for w, _, _ in docs[d]} if any(score(w, c) >= threshold for c in held[d])}
+        out[d] = [(s, e) for w, s, e in docs[d] if w in terms]
+    return out
+
+
 def quality(text):
     text = text or ""
     words = WORD.findall(text)

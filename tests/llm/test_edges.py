@@ -178,6 +178,19 @@ def test_pii_terms_in_whole_documents(spark):
     assert got[100]["spans"] == "" and got[200]["spans"] == "email:0:11"
 
 
+def test_pii_terms_of_rare_values(spark):
+    rows = [(i, f"zork and w{i} met u{i % 7} for p{i}@{'ab'[i % 2]}.example or +49 30 90182{i:02}")
+            for i in range(12)]
+    rows += [(50 + i, f"mail of ann@c{i % 3}.example on q{i % 2} by r{i}") for i in range(6)]
+    rows += [(100 + i, f"and met for w{i % 9 + 6} or u{i % 5}") for i in range(200)]
+    got = {r["doc_id"]: r["spans"].split(",") for r in sanitise(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute.disclosed(rows)
+    assert {d: sorted(s for s in spans if s.startswith("term:")) for d, spans in got.items()} == {
+        d: sorted(f"term:{s}:{e}" for s, e in want[d]) for d, _ in rows}
+    assert all(want[i] for i in range(12)) and not any(want[100 + i] for i in range(200))
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo"), (1, 2, "bob", "yo"),
             (1, 3, None, None), (None, None, "ann", "x"), (2, 0, "system", "alone")]
