@@ -365,9 +365,10 @@ def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
 
 
 def near_duplicates(
-    docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 32, rows: int = 6
+    docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 32, rows: int = 6,
+    digests: bool = False,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, class_size, kept.
+    """One row per row of ``docs``: doc_id, class_id, class_size, kept (and digest, if wanted).
 
     A class is a connected component of equal texts and of texts whose shingles of ``size``
     words (weights 1 + ln(count)) have a probability Jaccard of ``threshold`` or more.
@@ -413,14 +414,14 @@ def near_duplicates(
     named = rooted.join(
         rooted.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root"
     ).select("digest", "class_id")
-    return _labelled(members, materialize(named, "pmh-classes"))
+    return _labelled(members, materialize(named, "pmh-classes"), ["digest"] if digests else [])
 
 
-def _labelled(members: DataFrame, named: DataFrame) -> DataFrame:
+def _labelled(members: DataFrame, named: DataFrame, more: list[str]) -> DataFrame:
     """Class, size and the kept row. Equal texts of a crowd are counted before the join."""
     found = materialize(
         salted_join(members, named, ["digest"], ["doc_id"], "left")
-        .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
+        .select("doc_id", *more, F.coalesce("class_id", "doc_id").alias("class_id"),
                 F.col("digest").isNotNull().alias("grouped"),
                 F.monotonically_increasing_id().alias("row")),
         "pmh-labelled",
@@ -431,26 +432,27 @@ def _labelled(members: DataFrame, named: DataFrame) -> DataFrame:
     ).withColumn("grouped", F.lit(True))
     return salted_join(found, sizes, ["class_id", "grouped"], ["row"], "left").select(
         "doc_id", "class_id", F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"),
-        (~F.col("grouped") | (F.col("row") == F.col("first"))).alias("kept"),
+        (~F.col("grouped") | (F.col("row") == F.col("first"))).alias("kept"), *more,
     )
 
 
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all columns.
 
-    Several rows of one doc_id that are all alike to ``near_duplicates`` are told apart only
-    where there are any: those few are reduced to as many as it keeps.
+    Several rows of one doc_id are told apart by the digest of the text, only where some of them
+    go. Of rows equal in id and text at most one stays, whichever.
     """
     clean = without(docs, [])
     kept = materialize(
-        near_duplicates(clean, **parameters).where("kept").groupBy("doc_id")
-        .agg(F.count(F.lit(1)).alias("__kept")),
+        near_duplicates(clean, **parameters, digests=True).where("kept")
+        .groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("__n")),
         "pmh-kept",
     )
+    per_id = kept.groupBy("doc_id").agg(F.sum("__n").alias("__kept"))
     ids = clean.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"))
     # Only the ids that lose a row: fewer than those that stay, so the texts may stay in place.
     losing = materialize(
-        ids.join(kept, "doc_id", "left").where("coalesce(__kept, 0) < __rows")
+        ids.join(per_id, "doc_id", "left").where("coalesce(__kept, 0) < __rows")
         .select("doc_id", "__kept"),
         "pmh-losing",
     )
@@ -458,6 +460,15 @@ def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     several = losing.where("__kept > 0")
     if several.isEmpty():
         return simple
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    rest = clean.join(several, "doc_id").withColumn("__r", rank).where("__r <= __kept")
-    return simple.unionByName(rest.select(*clean.columns))
+    # Texts without words have no digest and resemble nothing: all of them stay.
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rest = clean.join(several.select("doc_id"), "doc_id").withColumn(
+        "__digest", F.when(has_words, F.unhex(F.md5(whole_text())))
+    )
+    pairs = kept.where("digest IS NOT NULL").select("doc_id", F.col("digest").alias("__digest"))
+    chosen = rest.join(pairs, ["doc_id", "__digest"], "left_semi").dropDuplicates(
+        ["doc_id", "__digest"]
+    )
+    return simple.unionByName(chosen.select(*clean.columns)).unionByName(
+        rest.where("__digest IS NULL").select(*clean.columns)
+    )

@@ -100,6 +100,14 @@ def test_near_duplicates(docs, none):
     assert near_duplicates(none).count() == 0 and drop_near_duplicates(none).count() == 0
 
 
+def test_rows_of_one_id_are_told_apart(spark):
+    other = " ".join(f"unlike{i}" for i in range(40))
+    rows = [(1, PROSE), (2, PROSE), (2, "z" + other), (2, "z" + other), (2, None), (2, " "), (3, other)]
+    got = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, PROSE), (2, "z" + other), (2, None), (2, " ")]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_crowd_of_near_copies_is_one_class(spark):
     words = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(words[:i] + ["new"] + words[i + 1:])) for i in range(200)]
