@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.llm.byte_bpe import decode, encode
 from quillmill.llm.cascade import cascade
 from quillmill.llm.chat import perspectives
 from quillmill.llm.common import table
 from quillmill.llm.decontaminate import decontaminate
+from quillmill.llm.infill import infill, restore
 from quillmill.llm.linkgraph import judge_urls
 from quillmill.llm.mixing import temperature_mix
 from quillmill.llm.pii import sanitise
 from quillmill.llm.probminhash import near_duplicates
 from quillmill.llm.pseudo_likelihood import pseudo_likelihood
+from quillmill.llm.ranked_search import search
 from quillmill.llm.sharding import shard_by_bytes
 from quillmill.llm.warc import archive_and_read
 from quillmill.session import scratch_path
@@ -156,3 +160,79 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select(
         "page_id", "host", "path", "rule", "verdict", "trust", "distrust"
     )
+
+
+@query("op11_counted_infill", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, 'null'))
+        AS h FROM documents),
+    u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS lines,
+        ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+        ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+    c AS (SELECT *, len(lines)::BIGINT AS n, CASE WHEN t = '' OR contains(t, '<P>')
+        OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+        WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+        least(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS a,
+        greatest(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS b FROM u),
+    p AS (SELECT *, array_to_string(lines[1:a], '') AS prefix,
+        array_to_string(lines[a + 1:b], '') AS middle,
+        array_to_string(lines[b + 1:n], '') AS suffix FROM c)
+SELECT doc_id, n, form,
+    CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t
+        WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+    sha256(t) AS restored_sha256
+FROM p
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = restore(infill(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+@query("op12_nra_search", r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term, r
+        FROM (SELECT *, row_number() OVER () AS r FROM documents)),
+    q AS MATERIALIZED (SELECT item_id, term, count(*) AS times FROM (SELECT item_id,
+        unnest(regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+    tf AS MATERIALIZED (SELECT r, doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+    s AS MATERIALIZED (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r),
+    a AS MATERIALIZED (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM s),
+    v AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+        FROM tf, a GROUP BY term, docs),
+    i AS (SELECT tf.r, tf.doc_id, tf.term, v.w * ((1000000000 * tf) // (1000 * tf
+        + 12 * (100 - 25 + (25 * n * docs) // terms))) AS impact
+        FROM tf JOIN s ON tf.r = s.r JOIN v ON tf.term = v.term, a
+        WHERE tf.term IN (SELECT term FROM q)),
+    g AS (SELECT item_id, r, doc_id, sum(times * impact)::BIGINT AS score
+        FROM q JOIN i ON q.term = i.term GROUP BY ALL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC,
+        doc_id NULLS FIRST)::INTEGER AS rank FROM g WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 20
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(
+        table(spark, sf_dir, "documents").select("doc_id", "text"),
+        table(spark, sf_dir, "benchmark").select("item_id", "text"),
+    )
+
+
+@query("op13_bpe_transducer")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = encode(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN
+    )
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decode(encoded, ranks).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
