@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -16,7 +17,7 @@ from quillmill.llm.common import without
 
 #: Bounds of the tables that a Python worker holds; a full one is emptied and filled anew.
 MAX_MOVES = 1 << 19
-MAX_PIECES = 1 << 17
+MAX_PIECES = 1 << 18
 MAX_VOCABULARY_BYTES = 64 << 20
 
 
@@ -45,10 +46,17 @@ class Transducer:
     each neighbouring pair is that of its own bytes, and a text has exactly one. That is a
     transducer that guesses tokens: it reads the bytes of a token, and may end it if the
     token may follow the one before. Its subsets are built when bytes first lead to them: a
-    state is the set of guesses still open, each with the bytes read of its token and what
-    matters of the token before. Exactly one guess ends at any place, so a move gives the
-    token that ends there. Guesses die within the bytes of the longest token; tokens that
-    all open guesses have in common are emitted (``settle``), every ``LOOKAHEAD`` bytes.
+    state is the set of guesses still open. Exactly one guess ends at any place, so a move
+    gives the token that ends there. Guesses die within the bytes of the longest token;
+    tokens that all open guesses have in common are emitted (``settle``), every
+    ``LOOKAHEAD`` bytes.
+
+    Two tokens may not follow each other if a last symbol of the left one and a first symbol
+    of the right one merge first: at a rank below the next growth of the left symbol, and
+    not above that of the right one, since of equal ranks the leftmost pair merges first. A
+    guess (barred, live, begun) holds what of this is still open after the bytes ``begun``:
+    per length of a first symbol the lowest rank at which it is taken away, and the last
+    symbols, with the rank of their growth, that longer first symbols could still join.
     """
 
     LOOKAHEAD = 256
@@ -56,33 +64,29 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_moves: int = MAX_MOVES):
         self.ranks, self.max_moves = ranks, max_moves
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.length = {rank: len(token) for token, rank in ranks.items()}
         self.open = {token[:i] for token in ranks for i in range(1, len(token))}
-        self._spines: dict[int, tuple] = {}
-        self._sides: dict[tuple, int] = {(): 0}  # right sides of tokens, numbered
-        self._side_list: list[tuple] = [()]
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._symbols: dict[int, tuple] = {}
+        self.bits = max(ranks.values()).bit_length()
         self._reset()
 
     def _reset(self) -> None:
-        #: 256 * state + byte -> (256 * next state, token that ends here)
-        self.moves: dict[int, tuple[int, int]] = {}
-        self.ways: list[tuple[tuple[int, bytes], ...]] = [((0, b""),)]
+        #: 256 * state + byte -> (next state, token that ends here) in one number
+        self.moves: dict[int, int] = {}
+        self.ways: list[tuple] = [(((), (), b""),)]
         self._numbers = {self.ways[0]: 0}
-        self._pairs.clear()
 
-    def _spine(self, token: int) -> tuple | None:
-        """What a token shows to its neighbours while it is merged from its bytes.
+    def symbols(self, token: int) -> tuple | None:
+        """First and last symbols of a token while it is merged from its bytes.
 
-        Left: its first symbols, each with the rank of the merge that ends it. Right: the
-        number of its right side, the last symbols that anything could be merged to, with
-        the same ranks. None for a token that merging its bytes does not give.
+        The first ones as {length: rank of the merge that ends it}, the last ones that
+        anything could be joined to as (symbol, rank). None for a token that merging its
+        bytes does not give.
         """
-        if token in self._spines:
-            return self._spines[token]
+        if token in self._symbols:
+            return self._symbols[token]
         text = self.tokens[token]
         parts = [text[i:i + 1] for i in range(len(text))]
-        left, right = [], []
+        first, last = {}, []
         while len(parts) > 1:
             rank, at = min(
                 (self.ranks.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1)
@@ -90,72 +94,62 @@ class Transducer:
             if rank == NEVER:
                 break
             if at == 0:
-                left.append((parts[0], rank))
+                first[len(parts[0])] = rank
             if at == len(parts) - 2:
-                right.append((parts[-1], rank))
+                last.append((parts[-1], rank))
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        if len(parts) > 1:
-            self._spines[token] = None
-        else:
-            side = tuple((s, r) for s, r in [*right, (text, NEVER)] if s in self.open)
-            if side not in self._sides:
-                self._sides[side] = len(self._side_list)
-                self._side_list.append(side)
-            self._spines[token] = ([*left, (text, NEVER)], self._sides[side])
-        return self._spines[token]
-
-    def may_follow(self, side: int, token: int) -> bool:
-        """Whether ``token`` after a token with this right side stays as it is.
-
-        It does unless a last symbol of one and a first one of the other merge first: at a
-        rank below the next growth of the left one, and not above that of the right one,
-        since of equal ranks the leftmost pair merges first.
-        """
-        known = self._pairs.get((side, token))
-        if known is None:
-            get, firsts = self.ranks.get, self._spine(token)[0]
-            known = True
-            for last, grows in self._side_list[side]:
-                for first, starts in firsts:
-                    rank = get(last + first)
-                    if rank is not None and rank < grows and rank <= starts:
-                        known = False
-            self._pairs[(side, token)] = known
-        return known
-
-    def _move(self, key: int) -> tuple[int, int]:
-        byte, ways, ended = bytes((key & 255,)), [], None
-        for side, begun in self.ways[key >> 8]:
-            grown = begun + byte
-            if grown in self.open:
-                ways.append((side, grown))
-            token = self.ranks.get(grown)
-            if token is not None and self._spine(token) and self.may_follow(side, token):
+        first[len(text)] = NEVER
+        last.append((text, NEVER))
+        self._symbols[token] = None if len(parts) > 1 else (
+            first, tuple((symbol, rank) for symbol, rank in last if symbol in self.open)
+        )
+        return self._symbols[token]
+
+    def _move(self, key: int) -> int:
+        byte, ways, ended, get = bytes((key & 255,)), [], None, self.ranks.get
+        for barred, live, begun in self.ways[key >> 8]:
+            begun += byte
+            token = get(begun)
+            goes_on = begun in self.open
+            if token is None and not goes_on:
+                continue
+            joins = [rank for last, grows in live
+                     if (rank := get(last + begun)) is not None and rank < grows]
+            if joins:
+                barred = (*barred, (len(begun), min(joins)))
+            if goes_on:
+                live = tuple((last, grows) for last, grows in live if last + begun in self.open)
+                ways.append((barred, live, begun))
+            known = token is not None and self.symbols(token)
+            if known and not any(rank <= known[0].get(size, -1) for size, rank in barred):
                 if ended is not None:
                     raise ValueError("the ranks are no merge table")
                 ended = token
         if ended is None:
             raise ValueError("the ranks are no merge table over all bytes")
-        state = (*ways, (self._spine(ended)[1], b""))
+        state = (*ways, ((), self.symbols(ended)[1], b""))
         number = self._numbers.get(state)
         if number is None:
             number = self._numbers[state] = len(self.ways)
             self.ways.append(state)
-        step = self.moves[key] = (number << 8, ended)
+        step = self.moves[key] = number << 8 + self.bits | ended
         return step
 
     def settle(self, ends: list[int], starts: set[int], out: list[int]) -> list[int]:
         """Emit the tokens before the place where all open guesses come from; the rest stays."""
+        tokens = self.tokens
         while len(starts) > 1:
             far = max(starts)
             starts.remove(far)
-            starts.add(far - self.length[ends[far - 1]])
+            starts.add(far - len(tokens[ends[far - 1]]))
         certain = at = starts.pop()
         emitted = []
         while at:
-            emitted.append(ends[at - 1])
-            at -= self.length[ends[at - 1]]
-        out += reversed(emitted)
+            token = ends[at - 1]
+            emitted.append(token)
+            at -= len(tokens[token])
+        emitted.reverse()
+        out += emitted
         return ends[certain:]
 
     def piece(self, text: bytes) -> list[int]:
@@ -165,42 +159,56 @@ class Transducer:
             return [whole]
         if len(self.moves) > self.max_moves:
             self._reset()
-        moves, move = self.moves.get, self._move
+        moves, move, bits, token_bits = self.moves.get, self._move, self.bits, (1 << self.bits) - 1
         state, ends, out = 0, [], []
         for at in range(0, len(text), self.LOOKAHEAD):
             for byte in text[at:at + self.LOOKAHEAD]:
-                state, token = moves(state + byte) or move(state + byte)
-                ends.append(token)
+                step = moves(state + byte)
+                if step is None:
+                    step = move(state + byte)
+                ends.append(step & token_bits)
+                state = step >> bits & -256
             if at + self.LOOKAHEAD < len(text):
-                starts = {len(ends) - len(begun) for _, begun in self.ways[state >> 8]}
+                starts = {len(ends) - len(begun) for _, _, begun in self.ways[state >> 8]}
                 ends = self.settle(ends, starts, out)
         self.settle(ends, {len(ends)}, out)
         return out
 
 
 class Encoder:
-    """Texts to token ids: cut by a pattern, each piece through the transducer."""
+    """Texts to token ids: cut by a pattern, each piece through the transducer.
+
+    The ids of the pieces met are kept as bytes, in two tables: a full one becomes the older
+    one, from which pieces that come again move back.
+    """
+
+    LONG = 1 << 20
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = MAX_PIECES):
         self.transducer = Transducer(ranks)
-        self.cut = regex.compile(pattern).finditer
-        self.known: dict[str, list[int]] = {}
+        self.cut = regex.compile(pattern)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.max_pieces = max_pieces
 
-    def extend(self, ids: array, text: str) -> None:
-        known, piece = self.known, self.transducer.piece
-        for found in self.cut(text):
-            word = found.group()
-            if not word:
-                continue
-            tokens = known.get(word)
-            if tokens is None:
-                tokens = piece(word.encode())
-                if len(word) <= 64:
-                    if len(known) >= self.max_pieces:
-                        known.clear()
-                    known[word] = tokens
-            ids.extend(tokens)
+    def _learn(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("i", self.transducer.piece(word.encode())).tobytes()
+        if len(word) <= 64:
+            if len(self.known) >= self.max_pieces:
+                self.older = dict(self.known)
+                self.known.clear()
+            self.known[word] = ids
+        return ids
+
+    def ids(self, text: str) -> bytes:
+        """The ids as 32-bit numbers."""
+        known, learn = self.known.get, self._learn
+        if len(text) <= self.LONG:
+            return b"".join([known(word) or learn(word) for word in self.cut.findall(text) if word])
+        words = (found.group() for found in self.cut.finditer(text))
+        return b"".join(known(word) or learn(word) for word in words if word)
 
 
 def _utf8_lead(byte: int) -> tuple[int, int, int] | None:
@@ -224,6 +232,8 @@ class StreamDecoder:
     def __init__(self, tokens: dict[int, bytes]):
         self.tokens = tokens
         self.moves: dict[tuple[bytes, int], tuple[str, bytes]] = {}
+        read = {token: self.read(b"", data) for token, data in tokens.items()}
+        self.whole = {token: text for token, (text, begun) in read.items() if not begun}
         self.begun = b""
 
     @staticmethod
@@ -250,7 +260,20 @@ class StreamDecoder:
                 out.append("�")
         return "".join(out), bytes(held)
 
-    def feed(self, ids) -> str:
+    def feed(self, ids: list[int]) -> str:
+        out = []
+        for at in range(0, len(ids), 512):
+            part = ids[at:at + 512]
+            if not self.begun:
+                # Nothing is open and every token is whole characters: no state to carry.
+                whole = list(map(self.whole.get, part))
+                if None not in whole:
+                    out += whole
+                    continue
+            out.append(self._step(part))
+        return "".join(out)
+
+    def _step(self, ids: list[int]) -> str:
         moves, begun, out = self.moves, self.begun, []
         for token in ids:
             step = moves.get((begun, token))
@@ -302,16 +325,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, rows_at_once: int = 5
         for whole in batches:
             for start in range(0, whole.num_rows, rows_at_once):
                 batch = whole.slice(start, rows_at_once)
-                ids, ends = array("i"), array("i", [0])
-                for value in batch.column(text_column):
-                    text = value.as_py()
-                    if text:
-                        encoder.extend(ids, text)
-                    ends.append(len(ids))
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.frombuffer(ends, np.int32)),
-                    pa.array(np.frombuffer(ids, np.int32) if ids else [], pa.int32()),
-                )
+                ids = [encoder.ids(value.as_py() or "") for value in batch.column(text_column)]
+                ends = np.cumsum([0, *map(len, ids)]) // 4
+                flat = np.frombuffer(b"".join(ids), np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=schema.names)
 
     return kept.mapInArrow(run, schema)
@@ -331,10 +348,11 @@ def decode(
             for start in range(0, whole.num_rows, rows_at_once):
                 batch = whole.slice(start, rows_at_once)
                 texts = []
-                for value in batch.column("ids"):
-                    ids = value.values
-                    text = decoder.feed(ids.to_pylist()) if ids is not None else ""
-                    texts.append(text + decoder.finish())
+                lists = batch.column("ids")
+                flat = lists.flatten().fill_null(-1).to_numpy()
+                ends = pc.list_value_length(lists).fill_null(0).to_numpy().cumsum()
+                for begin, end in zip([0, *ends[:-1]], ends):
+                    texts.append(decoder.feed(flat[begin:end].tolist()) + decoder.finish())
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(texts, pa.string())], names=schema.names
                 )
