@@ -117,13 +117,14 @@ def _entity(kind: Column, value: Column) -> Column:
 
 
 def _part(kind: Column, value: Column) -> Column:
-    """What many values share: mail domain, first three numbers of an address, dialling code,
-    issuer of a card."""
+    """What many values share: mail domain, first three numbers of an address, first three
+    digits of a telephone number, issuer of a card. A function of the entity, not of its
+    spelling."""
     return F.concat(
         kind, F.lit("/"),
         F.when(kind == "email", F.lower(F.substring_index(value, "@", -1)))
         .when(kind == "ip", F.regexp_extract(value, r"^[0-9]+\.[0-9]+\.[0-9]+", 0))
-        .when(kind == "phone", F.regexp_extract(value, r"^\+([0-9]{1,3})", 1))
+        .when(kind == "phone", F.substring(_digits(value), 1, 3))
         .otherwise(F.substring(_digits(value), 1, 6)),
     )
 
@@ -160,66 +161,83 @@ def _occurrences(found: DataFrame) -> DataFrame:
     )
 
 
+def _lower_share(j: Column, n: Column, z: float = 1.645) -> Column:
+    """The lower end of the Wilson interval of j of n (one-sided, 95 % by default)."""
+    p = j / n
+    spread = F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
+    return (p + z * z / (2 * n) - z * spread) / (1 + z * z / n)
+
+
 def disclosing_terms(
     docs: DataFrame, words: DataFrame, held: DataFrame, min_documents: int, threshold: float,
-    remove_at: float,
+    remove_at: float, min_joint: int, margin: float,
 ) -> tuple[DataFrame, DataFrame]:
     """(entity, word, disclosure, action) of the words that give an entity away, and the pairs
     (__key, entity, word) they were chosen from.
 
-    ``words`` has the distinct (__key, word) of the documents with personal data, ``held`` their
+    ``words`` has the distinct (__key, word) of the texts with personal data, ``held`` their
     distinct (__key, entity, part, kind).
 
     With p taken as the share of all documents, the disclosure of entity c by word t is
     PMI(c; t) / IC(c) = log(p(t|c) / p(t)) / -log p(c): 1 if the word occurs only with the
     entity, 0 if independent. Most values are too rare for p(t|c) to be a count: it is smoothed
-    by that of the part that values share (mail domain, prefix, dialling code), this by that of
+    by that of the part that values share (mail domain, prefix, first digits), this by that of
     the kind, and this by p(t); the coarser estimate counts as ``min_documents`` documents. A word
     that discloses the part of a value discloses the value: the greater disclosure counts.
     Words from ``threshold`` on are generalised, from ``remove_at`` on removed.
+
+    One meeting is no evidence, as every word of a text meets every value in it. A word
+    counts only if at some level (value, part or kind) it was met with in ``min_joint``
+    documents, and the lower confidence end of p(t|c) there is ``margin`` times p(t).
     """
     n_docs = max(1, docs.count())
     total = F.lit(float(n_docs))
-    nodes = held.select("__key", F.explode(F.array("entity", "part", "kind")).alias("node")).distinct()
+    levels = F.explode(F.array(*[
+        F.struct(F.lit(level).alias("level"), F.col(level).alias("node"),
+                 F.col(part).alias("part"), F.col("kind"))
+        for level, part in (("entity", "part"), ("part", "part"), ("kind", "kind"))
+    ])).alias("x")
+    nodes = held.select("__key", levels).select("__key", "x.*").distinct()
     sizes = materialize(
-        nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n_node")), "pii-entities"
+        nodes.groupBy("node").agg(
+            F.count(F.lit(1)).alias("n_node"), F.first("level").alias("level")), "pii-entities"
     )
     # Over all documents, counted before anything is shuffled.
     every = docs.select(F.explode(F.array_distinct(F.transform(
         F.regexp_extract_all(whole_text(), F.lit(WORD), F.lit(0)), F.lower))).alias("word"))
     seen = materialize(
         every.groupBy("word").agg(F.count(F.lit(1)).alias("n_word"))
-        .join(words.select("word").distinct(), "word"),
+        .where(F.col("n_word") >= min_joint)
+        .join(words.groupBy("word").agg(F.count(F.lit(1)).alias("__n"))
+              .where(F.col("__n") >= min_joint).select("word"), "word"),
         "pii-words",
     )
     # No word can disclose more than log(N / n_word): the frequent ones are out, losing nothing.
-    most = sizes.join(
-        held.select(F.explode(F.array("entity", "part")).alias("node")).distinct(), "node", "left_semi"
-    ).where(F.col("n_node") < n_docs).agg(F.max("n_node")).first()[0] or 1
+    most = sizes.where((F.col("level") != "kind") & (F.col("n_node") < n_docs)).agg(
+        F.max("n_node")).first()[0] or 1
 
     def can(n: Column) -> Column:
         return F.log(total / F.col("n_word")) >= threshold * F.log(total / n) - 1e-6
 
     kept = materialize(
-        salted_join(words, seen.where(can(F.lit(float(most)))), ["word"], ["__key"]), "pii-rare"
+        salted_join(words, seen.where(can(F.lit(float(most)))), ["word"], ["__key"])
+        .select("__key", "word"), "pii-rare"
     )
     pairs = materialize(
-        kept.select("__key", "word").join(held.select("__key", "entity").distinct(), "__key"),
-        "pii-pairs",
+        kept.join(held.select("__key", "entity").distinct(), "__key"), "pii-pairs"
     )
     joint = materialize(
-        kept.select("__key", "word").join(nodes, "__key")
-        .groupBy("node", "word").agg(F.count(F.lit(1)).alias("n_joint")),
+        kept.join(nodes, "__key").groupBy("level", "node", "part", "kind", "word")
+        .agg(F.count(F.lit(1)).alias("n_joint")),
         "pii-joint",
     )
-    chain = held.select("entity", "part", "kind").distinct()
 
     def level(name: str, *above: str) -> DataFrame:
-        return (
-            joint.join(chain.select(name, *above).distinct(), F.col("node") == F.col(name))
-            .select(name, *above, "word", F.col("n_joint").alias(f"j_{name}"))
-            .join(sizes.select(F.col("node").alias(name), F.col("n_node").alias(f"n_{name}")), name)
-        )
+        rows = materialize(joint.where(F.col("level") == name), f"pii-{name}")
+        return salted_join(rows, sizes.drop("level"), ["node"], ["word"]).select(
+            F.col("node").alias(f"__{name}"), *above, "word",
+            F.col("n_joint").alias(f"j_{name}"), F.col("n_node").alias(f"n_{name}"),
+        ).withColumnRenamed(f"__{name}", name)
 
     share = F.col("n_word") / total
 
@@ -230,18 +248,23 @@ def disclosing_terms(
     def smoothed(name: str, prior: Column) -> Column:
         return (F.col(f"j_{name}") + min_documents * prior) / (F.col(f"n_{name}") + min_documents)
 
+    def evident(name: str) -> Column:
+        j, n = F.col(f"j_{name}"), F.col(f"n_{name}")
+        return (j >= min_joint) & (_lower_share(j, n) >= margin * share)
+
     parts = (
         level("part", "kind").join(level("kind"), ["kind", "word"]).join(seen, "word")
         .where(can(F.col("n_part")))
         .withColumn("p_part", smoothed("part", smoothed("kind", share)))
         .withColumn("by_part", disclosure(F.col("p_part"), "n_part"))
-        .select("part", "word", "n_word", "p_part", "by_part")
+        .withColumn("evident", evident("part") | evident("kind"))
+        .select("part", "word", "n_word", "p_part", "by_part", "evident")
     )
     values = materialize(level("entity", "part"), "pii-values")
     by_value = disclosure(smoothed("entity", F.col("p_part")), "n_entity")
     found = salted_join(values, parts, ["part", "word"], ["entity"]).withColumn(
         "disclosure", F.greatest(by_value, "by_part")
-    )
+    ).where(F.col("evident") | evident("entity"))
     return found.where(F.col("disclosure") >= threshold).select(
         "entity", "word", "disclosure",
         F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise").alias("action"),
@@ -256,14 +279,17 @@ def sanitise(
     min_documents: int = 3,
     threshold: float = 0.8,
     remove_at: float = 0.95,
+    min_joint: int = 2,
+    margin: float = 2.0,
 ) -> DataFrame:
     """Mark and replace personal data and the words that disclose it, in whole texts.
 
     Base spans are the matches of four patterns (email, ip, card, phone) that pass their
     tests. Further spans of kind ``term`` are words anywhere in a document with a base span
     which, by their co-occurrence over all documents, disclose its value: see
-    ``disclosing_terms``. They are replaced wherever they occur in that document. In ``sanitised`` a base span becomes ``<KIND>``, a
-    generalised word ``<NUMBER>`` or ``<WORD>``, a removed word nothing; where spans of
+    ``disclosing_terms``. They are replaced wherever they occur in that document; a rare word
+    that was met in one document only discloses nothing. In ``sanitised`` a base span becomes
+    ``<KIND>``, a generalised word ``<NUMBER>`` or ``<WORD>``, a removed word nothing; where spans of
     two kinds overlap, the one that starts first (then the longer) is replaced and the
     overlapping rest goes with it.
 
@@ -279,12 +305,11 @@ def sanitise(
         F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
                     F.xxhash64(whole_text()).cast("string"), F.crc32(whole_text()).cast("string")),
     )
-    text = whole_text()
     found = materialize(
-        keyed.select("__key", text.alias("t")).withColumn("base", base_spans(F.col("t")))
-        .where(F.size("base") > 0).select("__key", "base", "t"),
+        keyed.select("__key", whole_text().alias("t")).withColumn("base", base_spans(F.col("t")))
+        .where(F.size("base") > 0).dropDuplicates(["__key"]).select("__key", "base", "t"),
         "pii-found",
-    ).dropDuplicates(["__key"])
+    )
     held = materialize(
         found.select("__key", F.explode("base").alias("b")).select(
             "__key", _entity(F.col("b.kind"), F.col("b.v")).alias("entity"),
@@ -292,17 +317,21 @@ def sanitise(
         ).distinct(),
         "pii-held",
     )
-    places = materialize(_occurrences(found), "pii-places")
-    words = materialize(places.select("__key", "word").distinct(), "pii-context")
-    terms, pairs = disclosing_terms(keyed, words, held, min_documents, threshold, remove_at)
+    words = materialize(_occurrences(found).select("__key", "word").distinct(), "pii-context")
+    terms, pairs = disclosing_terms(
+        clean, words, held, min_documents, threshold, remove_at, min_joint, margin
+    )
     terms = materialize(terms, "pii-terms")
-    disclosed = (
+    disclosed = materialize(
         salted_join(pairs, terms, ["entity", "word"], ["__key"])
         .groupBy("__key", "word")
-        .agg(F.max((F.col("action") == "remove").cast("int")).alias("remove"))
+        .agg(F.max((F.col("action") == "remove").cast("int")).alias("remove")),
+        "pii-disclosed",
     )
+    # Positions only of words that disclose, in the texts that hold them.
+    concerned = found.join(disclosed.select("__key").distinct(), "__key", "left_semi")
     marked = (
-        places.join(disclosed, ["__key", "word"])
+        _occurrences(concerned).join(disclosed, ["__key", "word"])
         .groupBy("__key")
         .agg(F.sort_array(F.collect_list(F.struct(
             "s", "e",

@@ -61,8 +61,8 @@ def pii_digest(text):
     return tuple(counts[k] for k in PII) + (hashlib.sha256(joined.encode()).hexdigest(),)
 
 
-def disclosed(rows, k=3, threshold=0.8):
-    """(doc_id, text) -> {doc_id: term spans} for distinct ids, without ips and cards."""
+def disclosed(rows, k=3, threshold=0.8, min_joint=2, margin=2.0, z=1.645):
+    """(doc_id, text) -> {doc_id: term spans} for distinct ids and texts, without ips and cards."""
     import math
 
     words, held, docs = {}, {}, {}
@@ -74,7 +74,8 @@ def disclosed(rows, k=3, threshold=0.8):
         held[d] = set()
         for kind, s, e in base:
             value = text[s:e].lower()
-            part = value.split("@")[1] if kind == "email" else re.match(r"\+(\d{1,3})", value)[1]
+            digits = re.sub(r"[^0-9]", "", value)
+            part = value.split("@")[1] if kind == "email" else digits[:3]
             held[d].add(((kind, "value", re.sub(r"[^\w@.]", "", value)), (kind, "part", part), (kind,)))
 
     def share(word, node):
@@ -83,13 +84,17 @@ def disclosed(rows, k=3, threshold=0.8):
 
     def score(word, chain):
         p = overall = sum(word in w for w in words.values()) / len(rows)
-        best = 0.0
+        best, evident = 0.0, False
         for node in reversed(chain):
             joint, n = share(word, node)
+            f = joint / n
+            low = (f + z * z / (2 * n) - z * math.sqrt(f * (1 - f) / n + (z / (2 * n)) ** 2)) / (
+                1 + z * z / n)
+            evident |= joint >= min_joint and low >= margin * overall
             p = (joint + k * p) / (n + k)
             if len(node) > 1 and n < len(rows):
                 best = max(best, math.log(p / overall) / -math.log(n / len(rows)))
-        return best
+        return best if evident else 0.0
 
     out = {}
     for d in docs:

@@ -199,6 +199,43 @@ def test_pii_terms_of_rare_values(spark):
     assert all(want[i] for i in range(12)) and not any(want[100 + i] for i in range(200))
 
 
+def test_pii_planted_words_are_found_and_rare_ones_stay(spark):
+    """Names next to values that several texts share, in prose with a tail of rare words."""
+    import random
+
+    draw = random.Random(4)
+    common = [f"common{i}" for i in range(400)]
+    rows, planted, rare = [], set(), set()
+    for i in range(600):
+        text = [draw.choice(common) for _ in range(40)]
+        text += [f"rare{i}x{j}" for j in range(5)]
+        if i < 150:
+            person = i % 30
+            text += [f"Name{person}", f"person{person}@host{person}.example", f"account{person}"]
+            planted |= {(i, f"name{person}"), (i, f"account{person}")}
+            rare |= {(i, f"rare{i}x{j}") for j in range(5)}
+        head = text[:1]
+        draw.shuffle(text)
+        rows.append((i, " ".join(head + text)))
+    found = set()
+    got = sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in got:
+        for span in r["spans"].split(","):
+            if span.startswith("term:"):
+                s, e = map(int, span.split(":")[1:])
+                found.add((r["doc_id"], r["text"][s:e].lower()))
+    assert len(found & planted) >= 0.9 * len(planted)
+    assert len(found & planted) >= 0.9 * len(found)
+    assert not found & rare
+
+
+def test_pii_spelling_of_a_number_does_not_part_it(spark):
+    rows = [(i, f"zork {'+44 20 7946 0958' if i % 2 else '+442079460958'} w{i}") for i in range(8)]
+    rows += [(100 + i, f"w{i % 8} and nothing else {i}") for i in range(80)]
+    got = sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all("term:0:4" in r["spans"] for r in got if r["doc_id"] < 8)
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo"), (1, 2, "bob", "yo"),
             (1, 3, None, None), (None, None, "ann", "x"), (2, 0, "system", "alone")]
