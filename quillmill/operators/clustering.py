@@ -22,8 +22,8 @@ from quillmill.operators.scale import salted_join
 from quillmill.session import materialize
 
 NOISE = -1
-HEADS = 256
-HEADS_GROWTH = 4
+HEADS = 8
+HEADS_GROWTH = 8
 #: Pivots are broadcast: at most this many vectors.
 PIVOTS = 256
 #: Rows of a block that one task compares with the block's heads at a time.
