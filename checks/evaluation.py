@@ -9,7 +9,9 @@ from checks.inputs import Tables, d, first, lit, n_words, strip, words
 from checks.registry import query
 from quillmill.functions import fixed
 from quillmill.functions.draws import draw
-from quillmill.operators import clustering, failures, judge, metrics, reports, scoring
+from quillmill.operators import (
+    clustering, failures, hierarchy, judge, layout, metrics, neighbours, reports, scoring,
+)
 from quillmill.plans.failures import failure_map
 from quillmill.plans.evaluation import evaluate
 from quillmill.sources import io
@@ -426,6 +428,83 @@ def _(t: Tables):
     )
 
 
+@query("neighbour_lists", """pairs AS (SELECT a.vec_id AS vec_id, b.vec_id AS neighbour,
+        list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d
+        FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbour)::INTEGER
+        AS place FROM pairs)
+    == SELECT vec_id, place, neighbour, round(d, 6) AS distance FROM numbered WHERE place <= 15""")
+def _(t: Tables):
+    points = t.table("embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    lists = neighbours.neighbour_lists(points)
+    return lists.select(F.col("id").alias("vec_id"), F.posexplode("list").alias("i", "x")).select(
+        "vec_id", (F.col("i") + 1).alias("place"), F.col("x.n").alias("neighbour"),
+        F.round("x.d", 6).alias("distance"))
+
+
+@query("fuzzy_edges", """unit AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    pairs AS (SELECT a.vec_id AS i, b.vec_id AS j,
+        1 - list_cosine_similarity(a.e, b.e) AS d FROM unit a JOIN unit b ON a.vec_id <> b.vec_id),
+    near AS MATERIALIZED (SELECT i, j, d - min(d) OVER (PARTITION BY i) AS gap FROM pairs
+        QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 15),
+    gaps AS MATERIALIZED (SELECT i, list(gap) AS gs FROM near GROUP BY i),
+    bisected(step, i, gs, low, high, sigma) AS (
+        SELECT 0, i, gs, 0.0::DOUBLE, 1e300::DOUBLE, 1.0::DOUBLE FROM gaps
+        UNION ALL
+        SELECT step + 1, i, gs, CASE WHEN over THEN low ELSE sigma END,
+            CASE WHEN over THEN sigma ELSE high END,
+            CASE WHEN over THEN (low + sigma) / 2 WHEN high = 1e300 THEN sigma * 2
+                ELSE (sigma + high) / 2 END
+        FROM (SELECT *, list_sum(list_transform(gs, lambda g: exp(-g / sigma))) > log2(len(gs)) AS over
+            FROM bisected WHERE step < 64)),
+    given AS (SELECT n.i, n.j, exp(-gap / sigma) AS w FROM near n JOIN bisected b
+        ON n.i = b.i AND b.step = 64),
+    joint AS (SELECT least(i, j) AS a, greatest(i, j) AS b, max(w) AS u,
+        CASE WHEN count(*) > 1 THEN min(w) ELSE 0 END AS v FROM given GROUP BY ALL)
+    == SELECT a, b, round(u + v - u * v, 4) AS weight FROM joint WHERE u + v - u * v > 0""")
+def _(t: Tables):
+    raw = F.col("embedding").cast("array<double>")
+    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda total, x: total + x * x))
+    points = t.table("embeddings").select(
+        F.col("vec_id").alias("id"), F.transform(raw, lambda x: x / norm).alias("vector"))
+    angles = neighbours.neighbour_lists(points).select("id", F.transform("list", lambda x: F.struct(
+        (x["d"] * x["d"] / 2).alias("d"), x["n"].alias("n"))).alias("list"))
+    return layout.fuzzy_edges(angles).select("a", "b", F.round("weight", 4).alias("weight"))
+
+
+@query("neighbour_layout")
+def _(t: Tables):
+    return layout.neighbour_layout(t.table("embeddings"), "vec_id", "embedding").select(
+        "vec_id", r4("x"), r4("y"))
+
+
+@query("spanning_tree", """v AS (SELECT vec_id, embedding::DOUBLE[] AS e,
+        row_number() OVER (ORDER BY vec_id) AS i FROM embeddings),
+    rows_of AS MATERIALIZED (SELECT a.i, list(list_distance(a.e, b.e) ORDER BY b.i) AS ds
+        FROM v a, v b GROUP BY a.i),
+    grown(step, best, w) AS (
+        SELECT 1, list_transform(ds, lambda x, i: CASE WHEN i = 1 THEN 1e300 ELSE x END), NULL::DOUBLE
+        FROM rows_of WHERE i = 1
+        UNION ALL
+        SELECT step + 1, list_transform(g.best, lambda x, i: CASE WHEN x = 1e300
+                OR i = list_position(g.best, list_min(g.best)) THEN 1e300 ELSE least(x, ds[i]) END),
+            list_min(g.best)
+        FROM grown g JOIN rows_of r ON r.i = list_position(g.best, list_min(g.best))
+        WHERE list_min(g.best) < 1e300)
+    == SELECT (row_number() OVER (ORDER BY w) - 1)::BIGINT AS rank, round(w, 6) AS w
+    FROM grown WHERE w IS NOT NULL""")
+def _(t: Tables):
+    points = t.table("embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return hierarchy.ranked(hierarchy.spanning_tree(points)).select("rank", F.round("w", 6).alias("w"))
+
+
+@query("hierarchical_clusters")
+def _(t: Tables):
+    return hierarchy.hierarchical_clusters(t.table("embeddings"), "vec_id", "embedding")
+
+
 CHAIN = """failed AS MATERIALIZED (SELECT sample_id, clause_type, prediction, reference,
         embedding::DOUBLE[] AS v FROM preds LEFT JOIN embeddings ON vec_id = sample_id
         WHERE model_tag = 'dpo' AND coalesce(bertscore_f1, 1) < 0.65),

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from quillmill.functions import fixed
 from quillmill.operators.clustering import NOISE, density_clusters, project_2d
 from quillmill.operators.failures import failure_points, label_clusters, select_failures
+from quillmill.operators.hierarchy import hierarchical_clusters
 from quillmill.session import materialize
 
 
 def failure_map(
     rows: DataFrame,
     vectors: DataFrame,
-    eps: float,
+    eps: float | None = None,
     id_col: str = "sample_id",
     vector_col: str = "embedding",
     min_size: int | None = None,
@@ -26,7 +27,8 @@ def failure_map(
     ``rows`` holds one model: id, clause_type, prediction, reference, bertscore_f1; ``vectors``
     has a vector per id. A failure without a vector stays in the map, as noise and without
     a position. Empty below ``min_failures`` failures; with fewer vectors than that, nothing
-    is projected. Only ids and vectors go through the clustering; the texts join at the end.
+    is projected. Without a radius ``eps`` the clusters are the most stable ones at any
+    density. Only ids and vectors go through the clustering; the texts join at the end.
     """
     failed = materialize(
         select_failures(rows).select(id_col, "clause_type", "prediction", "reference"), "failures"
@@ -40,7 +42,10 @@ def failure_map(
         )
     else:
         flat = project_2d(placed, id_col, vector_col)
-        groups = density_clusters(placed, id_col, vector_col, eps, min_size)
+        groups = (
+            hierarchical_clusters(placed, id_col, vector_col, min_size) if eps is None
+            else density_clusters(placed, id_col, vector_col, eps, min_size)
+        )
         clustered = failed.join(flat, id_col, "left").join(groups, id_col, "left").fillna(
             NOISE, ["cluster_id"]
         )
