@@ -12,7 +12,7 @@ from checks.registry import query
 from quillmill.functions import fixed
 from quillmill.functions.text import n_words as count_words
 from quillmill.functions.text import strip as strip_text
-from quillmill.operators import curate, dedup, perplexity, preference, prompts, sampling
+from quillmill.operators import curate, dedup, dedup_index, perplexity, preference, prompts, sampling
 from quillmill.sources import io
 from quillmill.session import materialize, scratch_path
 
@@ -309,6 +309,48 @@ def _(t: Tables):
     )
 
 
+@query("incremental_dedup", pair_sql() + """ == SELECT doc_id FROM documents
+    WHERE doc_id NOT IN (SELECT id FROM lost)""")
+def _(t: Tables):
+    path = scratch_path(t.spark, "dedup-index")
+    half = (t.documents.agg(F.max("doc_id")).first()[0] or 0) // 2
+    for batch in (F.col("doc_id") <= half, F.col("doc_id") > half):
+        dedup_index.append_batch(path, t.documents.where(batch), "doc_id", "lang", "text")
+    index = dedup_index.Index(t.spark, path)
+    return index.table("sets", index.versions()).select(F.col("id").alias("doc_id"))
+
+
+COMPONENTS = pair_sql() + """,
+    reach AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION
+        SELECT e.j, r.root FROM reach r JOIN (SELECT i, j FROM pairs UNION ALL
+            SELECT j, i FROM pairs) e ON e.i = r.id),
+    components AS MATERIALIZED (SELECT id AS doc_id, min(root) AS component FROM reach GROUP BY id)"""
+
+
+@query("similar_components", COMPONENTS + " == SELECT doc_id, component FROM components")
+def _(t: Tables):
+    return dedup.similar_components(t.documents, "doc_id", "lang", "text")
+
+
+@query("leak_free_split", COMPONENTS + """,
+    units AS (SELECT component, count(*) AS size, arg_min(source, doc_id) AS s,
+        md5('42|unit|c' || component) AS k FROM components JOIN documents USING (doc_id)
+        GROUP BY component),
+    quotas AS (SELECT s, greatest(1, floor(sum(size) * 0.15::DOUBLE)) AS test,
+        greatest(1, floor(sum(size) * 0.1::DOUBLE)) AS val FROM units GROUP BY s),
+    small AS (SELECT component, u.s, test, val, sum(size) OVER (PARTITION BY u.s ORDER BY k)
+        - size AS before FROM units u JOIN quotas q ON u.s = q.s WHERE size <= least(test, val)),
+    turns AS (SELECT *, min(CASE WHEN before >= test THEN before END) OVER (PARTITION BY s) AS turn
+        FROM small)
+    == SELECT doc_id, source, component, CASE WHEN before < test THEN 'test'
+        WHEN before < turn + val THEN 'val' ELSE 'train' END AS split
+    FROM components JOIN documents USING (doc_id) LEFT JOIN turns USING (component)""")
+def _(t: Tables):
+    grouped = dedup.similar_components(t.documents, "doc_id", "lang", "text")
+    rows = t.documents.select("doc_id", "source").join(grouped, "doc_id")
+    return sampling.leak_free_split(rows, "doc_id", "source", "component")
+
+
 @query("keep_first_minhash", pair_sql("source") + """ == SELECT doc_id
     FROM documents WHERE doc_id NOT IN (SELECT id FROM lost)""")
 def _(t: Tables):

@@ -25,6 +25,7 @@ from quillmill.functions import fixed
 from quillmill.functions.draws import draw, number
 from quillmill.functions.text import token_set
 from quillmill.operators import blocking
+from quillmill.operators.graph import component_roots
 from quillmill.operators.scale import null_safe_key, salted_join
 from quillmill.session import materialize
 
@@ -179,23 +180,26 @@ def _size_fits(threshold: float) -> Column:
     return small >= large * threshold - 1e-6
 
 
-def _payload(sets: DataFrame) -> DataFrame:
+def word_sets(sets: DataFrame) -> DataFrame:
     return sets.select("id", F.struct("stratum", "tokens").alias("value"))
 
 
 def _verified(pairs: DataFrame, payload: DataFrame, threshold: float) -> DataFrame:
     """(head, member, similarity) of the pairs that are similar; blocks are only hashes."""
+    return _similar(blocking.with_payload(pairs, payload, "value"), threshold)
+
+
+def _similar(pairs: DataFrame, threshold: float) -> DataFrame:
     return (
-        blocking.with_payload(pairs, payload, "value")
-        .where(F.col("a.stratum").eqNullSafe(F.col("b.stratum")))
+        pairs.where(F.col("a.stratum").eqNullSafe(F.col("b.stratum")))
         .withColumn("similarity", jaccard(F.col("a.tokens"), F.col("b.tokens")))
         .where(F.col("similarity") >= threshold)
         .select("head", "member", "similarity")
     )
 
 
-def _drop_similar(
-    entries: DataFrame, sets: DataFrame, threshold: float, per_block: int
+def drop_similar(
+    entries: DataFrame, sets: DataFrame, threshold: float, per_block: int = HEADS
 ) -> list[DataFrame]:
     """Ids that lose against a kept row, one frame per round.
 
@@ -207,7 +211,7 @@ def _drop_similar(
     active = materialize(blocking.without_singletons(entries, BLOCK), "blocks")
     involved = active.select("id").distinct()
     payload = materialize(
-        _payload(sets).join(involved, "id", "left_semi"), "block-sets"
+        word_sets(sets).join(involved, "id", "left_semi"), "block-sets"
     )
     dropped: list[DataFrame] = []
     while not active.isEmpty():
@@ -271,7 +275,7 @@ def kept_ids(
     )
     sets = materialize(keyed.drop("set_key").join(firsts, "id", "left_semi"), "sets")
     make = blocks or (lambda s: part_blocks(s, threshold))
-    rounds = _drop_similar(make(sets), sets, threshold, per_block)
+    rounds = drop_similar(make(sets), sets, threshold, per_block)
     kept = firsts.join(reduce(DataFrame.unionByName, rounds), "id", "left_anti") if rounds else firsts
     return kept.withColumnRenamed("id", id_col)
 
@@ -304,6 +308,116 @@ def flag_duplicates(
     ).withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
+def links_to_kept(
+    entries: DataFrame, payload: DataFrame, kept_entries: DataFrame, kept_payload: DataFrame,
+    threshold: float, earlier: bool = False, per_block: int = HEADS,
+) -> DataFrame:
+    """(member, head, similarity): the kept row of smallest id that each row resembles.
+
+    ``entries`` and ``kept_entries`` are (id, size, block), the payloads (id, value). In rounds,
+    rows are compared with the next kept rows of their blocks, in id order. A row leaves a
+    block once it resembles a kept row no later than those, so a crowd of near-copies is
+    compared with few heads however many a block has. ``earlier`` only admits kept rows of
+    smaller id; otherwise the two tables may use the same ids for different rows.
+    """
+    active = materialize(
+        entries.join(kept_entries.select("block").distinct(), BLOCK, "left_semi")
+        .select("id", "size", "block"), "link-rows")
+    standing = materialize(
+        kept_entries.join(active.select("block").distinct(), BLOCK, "left_semi")
+        .select("id", "size", "block"), "link-heads")
+    kept_value = kept_payload.select(F.col("id").alias("head"), F.col("value").alias("a"))
+    value = payload.select(F.col("id").alias("member"), F.col("value").alias("b"))
+    order = (F.col("h_id") < F.col("id")) if earlier else F.lit(True)
+    found: list[DataFrame] = []
+    while not standing.isEmpty():
+        leaders = materialize(blocking.heads(standing, BLOCK, per_block), "leaders")
+        pairs = blocking.head_pairs(active, leaders, BLOCK, order & _size_fits(threshold))
+        both = salted_join(pairs, kept_value, ["head"], ["member"]).join(value, "member")
+        found.append(materialize(_similar(both, threshold), "linked"))
+        best = _earliest(found)
+        turn = leaders.groupBy("block").agg(F.max("id").alias("_upto"))
+        left = active.join(best.select(F.col("member").alias("id"), "head"), "id", "left").join(
+            turn, BLOCK, "left")
+        active = materialize(
+            left.where(F.coalesce(F.col("head") > F.col("_upto"), F.lit(True)))
+            .select("id", "size", "block"), "link-rows")
+        standing = materialize(
+            standing.join(leaders.select("block", "id"), ["block", "id"], "left_anti")
+            .join(active.select("block").distinct(), BLOCK, "left_semi")
+            .select("id", "size", "block"), "link-heads")
+        per_block = min(per_block * HEADS_GROWTH, blocking.MAX_HEADS)
+    if not found:
+        kind = kept_entries.schema["id"].dataType.simpleString()
+        return active.limit(0).select(
+            F.col("id").alias("member"), F.lit(None).cast(kind).alias("head"),
+            F.lit(None).cast("double").alias("similarity"))
+    return _earliest(found)
+
+
+def _earliest(found: list[DataFrame]) -> DataFrame:
+    return (
+        reduce(DataFrame.unionByName, found).groupBy("member")
+        .agg(F.min(F.struct("head", "similarity")).alias("link")).select("member", "link.*")
+    )
+
+
+def similar_components(
+    df: DataFrame, id_col: str, stratum: str, text_col: str,
+    threshold: float = fixed.DEDUP_THRESHOLD, per_block: int = 8,
+) -> DataFrame:
+    """(id, component): rows linked by a chain of near-duplicates; named by the smallest id.
+
+    Unlike the links to kept rows this joins A and C of a chain A~B~C. Rows are compared
+    with the heads of their blocks, in rounds, unless one component holds both already; a
+    block of one component is closed, so a crowd closes after few heads.
+    """
+    keyed = token_sets(df, id_col, stratum, text_col)
+    keys = materialize(keyed.select("id", "stratum", "set_key"), "set-keys")
+    firsts = materialize(
+        keys.groupBy("stratum", "set_key").agg(F.min("id").alias("first")), "firsts")
+    sets = materialize(
+        keyed.drop("set_key").join(firsts.select(F.col("first").alias("id")), "id", "left_semi"), "sets")
+    active = materialize(
+        blocking.without_singletons(part_blocks(sets, threshold), BLOCK)
+        .select("id", "size", "block", F.col("id").alias("root")), "blocks")
+    payload = materialize(
+        word_sets(sets).join(active.select("id").distinct(), "id", "left_semi"), "block-sets")
+    roots = materialize(sets.select("id", F.col("id").alias("root")), "roots")
+    while not active.isEmpty():
+        leaders = materialize(blocking.heads(active, BLOCK, per_block), "heads")
+        pairs = blocking.head_pairs(
+            active, leaders, BLOCK, (F.col("h_root") != F.col("root")) & _size_fits(threshold))
+        near = _verified(pairs, payload, threshold)
+        links = materialize(
+            near.join(roots.select(F.col("id").alias("head"), F.col("root").alias("a")), "head")
+            .join(roots.select(F.col("id").alias("member"), F.col("root").alias("b")), "member")
+            .select("a", "b").distinct(), "links")
+        if not links.isEmpty():
+            moved = component_roots(links).select(F.col("node").alias("root"), F.col("root").alias("to"))
+            roots = materialize(
+                salted_join(roots, moved, ["root"], ["id"], "left")
+                .select("id", F.coalesce("to", "root").alias("root")), "roots")
+        left = materialize(
+            active.drop("root").join(leaders.select("block", "id"), ["block", "id"], "left_anti")
+            .join(roots, "id"), "blocks")
+        # What is left of a block is open while it holds two components, or one unlike its heads.
+        heads_of = leaders.select("block", "id").join(roots, "id").select("block", "root")
+        many = left.select("block", "root").unionByName(heads_of).groupBy("block").agg(
+            F.count_distinct("root").alias("n")).where(F.col("n") > 1).select("block")
+        active = materialize(
+            blocking.without_singletons(left.join(many, BLOCK, "left_semi"), BLOCK)
+            .select("id", "size", "block", "root"), "blocks")
+        per_block = min(per_block * HEADS_GROWTH, blocking.MAX_HEADS)
+    named = materialize(
+        firsts.join(roots.withColumnRenamed("id", "first"), "first")
+        .withColumn("_code", null_safe_key("stratum")).select("_code", "set_key", "root"), "named")
+    return salted_join(
+        materialize(keys.withColumn("_code", null_safe_key("stratum")).drop("stratum"), "keys"),
+        named, ["_code", "set_key"], ["id"],
+    ).select(F.col("id").alias(id_col), F.col("root").alias("component"))
+
+
 def duplicate_links(
     df: DataFrame,
     id_col: str,
@@ -331,22 +445,15 @@ def duplicate_links(
         blocking.without_singletons(part_blocks(sets, threshold), BLOCK), "blocks"
     )
     payload = materialize(
-        _payload(sets).join(entries.select("id").distinct(), "id", "left_semi"),
+        word_sets(sets).join(entries.select("id").distinct(), "id", "left_semi"),
         "block-sets",
     )
-    rounds = _drop_similar(entries, sets, threshold, HEADS)
+    rounds = drop_similar(entries, sets, threshold, HEADS)
     lost = reduce(DataFrame.unionByName, rounds) if rounds else payload.select("id").limit(0)
-    losing = entries.join(lost, "id", "left_semi")
-    standing = entries.join(lost, "id", "left_anti")
-    pairs = blocking.head_pairs(
-        losing, standing, BLOCK, (F.col("h_id") < F.col("id")) & _size_fits(threshold)
-    )
-    near = (
-        _verified(pairs, payload, threshold)
-        .groupBy("member")
-        .agg(F.min(F.struct("head", "similarity")).alias("link"))
-        .select(F.col("member").alias("first"), "link.head", "link.similarity")
-    )
+    near = links_to_kept(
+        entries.join(lost, "id", "left_semi"), payload,
+        entries.join(lost, "id", "left_anti"), payload, threshold, earlier=True,
+    ).select(F.col("member").alias("first"), "head", "similarity")
     # A copy resembles what its first copy resembles; failing that, the first copy itself.
     answers = firsts.join(near, "first", "left").withColumn("_code", null_safe_key("stratum"))
     copies = salted_join(

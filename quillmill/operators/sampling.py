@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import fixed
 from quillmill.functions.draws import draw_key
-from quillmill.operators.scale import key_cuts, null_safe_key
+from quillmill.operators.scale import key_cuts, null_safe_key, running_sum, salted_join
 from quillmill.session import materialize
 
 
@@ -51,6 +51,55 @@ def stratified_split(
     return placed.withColumn("split", split).drop("_key", "_code", "_test", "_val")
 
 
+def leak_free_split(
+    df: DataFrame,
+    id_col: str,
+    stratum: str,
+    component: str,
+    val_size: float = fixed.VAL_SIZE,
+    test_size: float = fixed.TEST_SIZE,
+    seed: int = fixed.SEED,
+) -> DataFrame:
+    """Adds ``split`` so that no ``component`` (rows that resemble each other) is in two splits.
+
+    The quotas per stratum are those of ``stratified_split``. Components count for the
+    stratum of their row of smallest id and are taken in the order of their draw: to test
+    while it holds fewer rows than its quota, then to val. One that is larger than the
+    quota of val or of test goes to train at once. So test, and val, exceed the quota by
+    less than one component, and fall short only if a stratum lacks small ones. Only one
+    row per component is sorted. A NULL component stands for the row alone.
+    """
+    code = F.coalesce(
+        F.concat(F.lit("c"), F.col(component).cast("string")),
+        F.concat(F.lit("r"), F.col(id_col).cast("string")), F.lit("-"))
+    keyed = df.withColumn("_unit", code)
+    units = materialize(
+        keyed.groupBy("_unit").agg(
+            F.count(F.lit(1)).alias("_size"),
+            F.min(F.struct(F.col(id_col).alias("i"), F.col(stratum).alias("s")))["s"].alias("_stratum"))
+        .withColumn("_key", draw_key(seed, "unit", F.col("_unit"))), "split-units")
+    sizes = units.groupBy("_stratum").agg(F.sum("_size").alias("n"))
+    quota = sizes.select(
+        null_safe_key("_stratum").alias("_code"),
+        F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(test_size))).alias("_test"),
+        F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(val_size))).alias("_val"))
+    placed = salted_join(
+        materialize(units.withColumn("_code", null_safe_key("_stratum")), "split-coded"), quota,
+        ["_code"], ["_key"])
+    fits = F.col("_size") <= F.least("_test", "_val")
+    small = running_sum(placed.where(fits), ["_stratum"], "_key", "_size", "_at")
+    # The unit that fills test may run over; val is filled from there.
+    filled = small.where(F.col("_at") >= F.col("_test")).groupBy("_code").agg(
+        F.min("_at").alias("_from"))
+    chosen = small.drop("total").join(filled, "_code", "left").select("_unit", F.when(
+        F.col("_at") < F.col("_test"), "test"
+    ).when(F.col("_at") < F.col("_from") + F.col("_val"), "val").otherwise("train").alias("split"))
+    decided = materialize(
+        placed.where(~fits).select("_unit", F.lit("train").alias("split")).unionByName(chosen),
+        "split-decided")
+    return salted_join(keyed, decided, ["_unit"], [id_col]).drop("_unit")
+
+
 def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int = fixed.SEED) -> DataFrame:
     """``n`` rows drawn without replacement, the same ones for the same ids.
 

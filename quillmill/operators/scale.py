@@ -155,6 +155,31 @@ def dense_index(
     )
 
 
+def running_sum(
+    df: DataFrame, group: list[str], key: str, value: str, out: str, digits: int = 3
+) -> DataFrame:
+    """Add ``out``, the sum of whole-number ``value`` over the earlier rows of the group.
+
+    Rows go by hexadecimal ``key``, which no two rows of a group share. ``total`` is that of
+    the group. As in ``dense_index``, the sort runs per leading digits of the key.
+    """
+    bucketed = df.withColumn("__bucket", F.substring(key, 1, digits)).withColumn(
+        "__code", null_safe_key(*group))
+    hist = bucketed.groupBy("__code", "__bucket").agg(F.sum(value).alias("__sum"))
+    whole = Window.partitionBy("__code")
+    upto = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = hist.select(
+        "__code", "__bucket", F.sum("__sum").over(whole).alias("total"),
+        (F.sum("__sum").over(upto) - F.col("__sum")).alias("__before"))
+    inside = Window.partitionBy("__code", "__bucket").orderBy(key).rowsBetween(
+        Window.unboundedPreceding, 0)
+    return (
+        bucketed.join(offsets, ["__code", "__bucket"])
+        .withColumn(out, F.col("__before") + F.sum(value).over(inside) - F.col(value))
+        .drop("__code", "__bucket", "__before")
+    )
+
+
 def exact_percentiles(df: DataFrame, value: str, percents: dict[str, float]) -> DataFrame:
     """One row of exact, linearly interpolated percentiles of whole numbers >= 0.
 
