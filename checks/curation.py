@@ -13,7 +13,7 @@ from quillmill.functions import fixed
 from quillmill.functions.text import n_words as count_words
 from quillmill.functions.text import strip as strip_text
 from quillmill.operators import curate, dedup, dedup_index, perplexity, preference, prompts, sampling
-from quillmill.sources import io
+from quillmill.sources import io, json_arrays
 from quillmill.session import materialize, scratch_path
 
 
@@ -60,6 +60,19 @@ def _(t: Tables):
     )
 
 
+@query(
+    "json_array_round_trip",
+    "SELECT sample_id, clause_type, md5(contract_text) AS text_md5, answer FROM samples",
+)
+def _(t: Tables):
+    path = scratch_path(t.spark, "arrays")
+    rows = t.samples.select("sample_id", "clause_type", "contract_text", "answer")
+    json_arrays.write_array(rows, path)
+    return json_arrays.read_arrays(t.spark, path, rows.schema).select(
+        "sample_id", "clause_type", F.md5("contract_text").alias("text_md5"), "answer"
+    )
+
+
 SPLIT_CTE = f"""
 ranked AS (SELECT *, row_number() OVER (PARTITION BY clause_type
     ORDER BY md5('42|split|' || sample_id), sample_id) AS rn,
@@ -316,8 +329,7 @@ def _(t: Tables):
     half = (t.documents.agg(F.max("doc_id")).first()[0] or 0) // 2
     for batch in (F.col("doc_id") <= half, F.col("doc_id") > half):
         dedup_index.append_batch(path, t.documents.where(batch), "doc_id", "lang", "text")
-    index = dedup_index.Index(t.spark, path)
-    return index.table("sets", index.versions()).select(F.col("id").alias("doc_id"))
+    return dedup_index.kept_rows(t.spark, path).select(F.col("id").alias("doc_id"))
 
 
 COMPONENTS = pair_sql() + """,

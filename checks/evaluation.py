@@ -646,6 +646,6 @@ def _(t: Tables):
 def _(t: Tables):
     scored = scoring.score_pairs(
         t.predictions, scoring.load_token_f1, [ID, TAG], "prediction", "reference",
-        "precision DOUBLE, recall DOUBLE, f1 DOUBLE",
+        "precision DOUBLE, recall DOUBLE, f1 DOUBLE", batch_rows=64,
     )
     return scored.select(ID, TAG, r4("precision"), r4("recall"), r4("f1"))

@@ -12,60 +12,16 @@ from quillmill.functions import fixed
 from quillmill.operators import dedup
 from quillmill.operators.scale import null_safe_key, salted_join
 from quillmill.session import materialize
+from quillmill.sources.versions import Versions
 
 
-class Index:
-    """Versions of (word sets, blocks) of the kept rows below ``path``.
-
-    A batch is written to a folder of its own and counts once the file of its version names
-    that folder. The file is only created if there is none, so of two writers one wins; the
-    other checks its batch again, against the winner's rows too. Folders that no version
-    names are ignored. A version file without a name is that of a writer that stopped in
-    between: an error, as it may still be at work.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _file(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def versions(self) -> list[str]:
-        """The folders of the committed batches, oldest first."""
-        fs, folder = self._file("versions")
-        if not fs.exists(folder):
-            return []
-        names = sorted(s.getPath().getName() for s in fs.listStatus(folder))
-        rows = self.spark.read.text(f"{self.path}/versions").select(
-            F.input_file_name().alias("file"), "value").collect()
-        named = {r["file"].rsplit("/", 1)[1]: r["value"] for r in rows}
-        if set(named) != set(names):
-            raise RuntimeError(f"unfinished version in {self.path}: {set(names) - set(named)}")
-        return [named[n] for n in names]
-
-    def commit(self, version: int, folder: str) -> bool:
-        """Whether ``folder`` became this version; False if another batch did before."""
-        fs, path = self._file(f"versions/{version:08d}")
-        if fs.exists(path):
-            return False
-        try:
-            out = fs.create(path, False)
-        except Exception:
-            if fs.exists(path):
-                return False
-            raise
-        out.write(bytearray(folder, "utf-8"))
-        out.close()
-        return True
-
-    def table(self, name: str, versions: list[str]) -> DataFrame | None:
-        paths = [f"{self.path}/data/{v}/{name}" for v in versions]
-        return self.spark.read.parquet(*paths) if paths else None
+def _table(index: Versions, name: str, versions: list[str]) -> DataFrame | None:
+    paths = [f"{index.folder(v)}/{name}" for v in versions]
+    return index.spark.read.parquet(*paths) if paths else None
 
 
 def check_batch(
-    index: Index, versions: list[str], batch: DataFrame, id_col: str, stratum: str, text_col: str,
+    index: Versions, versions: list[str], batch: DataFrame, id_col: str, stratum: str, text_col: str,
     threshold: float = fixed.DEDUP_THRESHOLD,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The kept rows of a batch: (id), their sets and their blocks.
@@ -80,7 +36,7 @@ def check_batch(
         keyed.join(materialize(firsts, "firsts"), "id", "left_semi")
         .withColumn("code", null_safe_key("stratum")), "sets")
     blocks = materialize(dedup.part_blocks(sets, threshold).select("id", "size", "block"), "blocks")
-    old_sets, old_blocks = index.table("sets", versions), index.table("blocks", versions)
+    old_sets, old_blocks = _table(index, "sets", versions), _table(index, "blocks", versions)
     if old_sets is not None:
         same = sets.join(old_sets.select("code", "set_key"), ["code", "set_key"], "left_semi").select("id")
         near = dedup.links_to_kept(
@@ -104,18 +60,24 @@ def append_batch(
 
     Batches one after another keep what one pass over all of them in that order would: ids
     count inside a batch, and a batch comes after all earlier ones. Every batch must use the
-    same threshold.
+    same threshold. If another batch is committed meanwhile, this one is checked again.
     """
-    index = Index(batch.sparkSession, path)
+    index = Versions(batch.sparkSession, path)
     while True:
-        versions = index.versions()
+        versions = index.names()
         _, sets, blocks = check_batch(index, versions, batch, id_col, stratum, text_col, threshold)
         folder = uuid.uuid4().hex
-        sets.write.parquet(f"{index.path}/data/{folder}/sets")
-        blocks.write.parquet(f"{index.path}/data/{folder}/blocks")
+        sets.write.parquet(f"{index.folder(folder)}/sets")
+        blocks.write.parquet(f"{index.folder(folder)}/blocks")
         if index.commit(len(versions), folder):
-            kept = index.table("sets", [folder])
-            return kept.select(F.col("id").alias(id_col))
+            return index.read("sets", folder).select(F.col("id").alias(id_col))
+        index.discard(folder)
+
+
+def kept_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(id, stratum, tokens, set_key, code) of all kept rows of the index at ``path``."""
+    index = Versions(spark, path)
+    return _table(index, "sets", index.names())
 
 
 def resembled(
@@ -123,17 +85,17 @@ def resembled(
     threshold: float = fixed.DEDUP_THRESHOLD,
 ) -> DataFrame:
     """(id, kept_id, similarity): for rows that resemble the index, the kept row of smallest id."""
-    index = Index(rows.sparkSession, path)
-    versions = index.versions()
+    index = Versions(rows.sparkSession, path)
+    versions = index.names()
     keyed = materialize(dedup.token_sets(rows, id_col, stratum, text_col), "rows")
     nothing = keyed.limit(0).select(
         F.col("id").alias(id_col), F.col("id").alias("kept_id"), F.lit(1.0).alias("similarity"))
     if not versions:
         return nothing
-    old = index.table("sets", versions)
+    old = _table(index, "sets", versions)
     blocks = materialize(dedup.part_blocks(keyed, threshold).select("id", "size", "block"), "blocks")
     near = dedup.links_to_kept(
-        blocks, dedup.word_sets(keyed), index.table("blocks", versions), dedup.word_sets(old), threshold)
+        blocks, dedup.word_sets(keyed), _table(index, "blocks", versions), dedup.word_sets(old), threshold)
     coded = materialize(keyed.select("id", null_safe_key("stratum").alias("code"), "set_key"), "codes")
     same = salted_join(
         coded, old.groupBy("code", "set_key").agg(F.min("id").alias("head")), ["code", "set_key"], ["id"],

@@ -9,8 +9,11 @@ from quillmill.operators.curate import flatten_qa
 from quillmill.operators.dedup import deduplicate
 from quillmill.operators.perplexity import filter_by_perplexity
 from quillmill.operators.prompts import format_as_instruction
+from quillmill.operators.reports import dataset_card
 from quillmill.operators.sampling import stratified_split
-from quillmill.session import materialize
+from quillmill.session import materialize, run_scope
+from quillmill.sources.io import SPLITS
+from quillmill.sources.versions import Versions
 
 
 def curate(
@@ -31,3 +34,17 @@ def curate(
     )
     clean = materialize(filter_by_perplexity(distinct, id_col, "contract_text"), "clean")
     return stratified_split(format_as_instruction(clean), id_col, "clause_type")
+
+
+def publish_curation(records: DataFrame, path: str, dataset: str, **options) -> str:
+    """Curate ``records`` and publish the splits and their card below ``path``, together.
+
+    Readers (``Versions(spark, path).read("train")``) see the last complete version: a run that
+    fails leaves the one before. All intermediates belong to the run and are removed at its
+    end, whether it fails or not. Returns the folder of the version.
+    """
+    spark = records.sparkSession
+    with run_scope(spark):
+        curated = materialize(curate(records, **options), "curated")
+        parts = {s: curated.where(curated["split"] == s).drop("split") for s in SPLITS}
+        return Versions(spark, path).publish({**parts, "card": dataset_card(curated, dataset)})

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,9 +40,33 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_RUN: contextvars.ContextVar[str | None] = contextvars.ContextVar("quillmill_run", default=None)
+
+
+@contextlib.contextmanager
+def run_scope(spark: SparkSession) -> Iterator[str]:
+    """A run that owns what it writes: all intermediates of the block, removed at its end.
+
+    DataFrames made inside read those files, so their results must be written (or
+    collected) before the block ends. A run inside a run is part of the outer one.
+    """
+    if _RUN.get():
+        yield _RUN.get()
+        return
+    folder = f"{shared_dir(spark)}/quillmill/run-{uuid.uuid4().hex}"
+    token = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, never used path below the shared folder."""
-    return f"{shared_dir(spark)}/quillmill/{name}-{uuid.uuid4().hex}"
+    """A new, never used path below the shared folder, or that of the run (``run_scope``)."""
+    folder = _RUN.get() or f"{shared_dir(spark)}/quillmill"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmill.sources.versions import hadoop_file
+
 QA_SCHEMA = (
     "sample_id BIGINT, context STRING, question STRING, answers STRUCT<text: ARRAY<STRING>>"
 )
@@ -75,6 +82,47 @@ def reuse_or_compute(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fingerprint(
+    spark: SparkSession, inputs: list[str], schema: T.StructType, parameters: dict
+) -> str:
+    """A digest of the input files (path, length, time of change), schema and parameters."""
+    files = []
+    for path in inputs:
+        fs, top = hadoop_file(spark, path)
+        found = fs.listFiles(top, True)
+        while found.hasNext():
+            status = found.next()
+            name = status.getPath().toString()
+            if not any(part.startswith((".", "_")) for part in name.split("/")[-1:]):
+                files.append([name, status.getLen(), status.getModificationTime()])
+    known = json.dumps([sorted(files), json.loads(schema.json()), parameters], sort_keys=True)
+    return hashlib.sha256(known.encode()).hexdigest()
+
+
+def reuse_result(
+    spark: SparkSession, path: str, inputs: list[str], parameters: dict, schema: str | T.StructType,
+    compute: Callable[[], DataFrame],
+) -> DataFrame:
+    """The stored result of these inputs and parameters, computed if there is none.
+
+    Results lie in ``path/<fingerprint>``. A changed input, schema or parameter (values that
+    JSON can hold) has another fingerprint, so a stale result is never returned. A result
+    is written aside and renamed once complete; of two writers the later one drops its
+    copy, and what a crashed one left is ignored.
+    """
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    name = fingerprint(spark, inputs, schema, parameters)
+    fs, done = hadoop_file(spark, f"{path}/{name}")
+    if not fs.exists(done):
+        aside = f"{path}/_writing-{uuid.uuid4().hex}"
+        compute().write.parquet(aside)
+        _, written = hadoop_file(spark, aside)
+        if fs.exists(done) or not fs.rename(written, done):
+            fs.delete(written, True)
+    return spark.read.schema(schema).parquet(f"{path}/{name}")
+
+
 def metric_rows(metrics: DataFrame, key: str, run: Column | None = None) -> DataFrame:
     """(key, metric, value): the numeric columns as rows, NULLs left out."""
     numeric = [

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmill.operators import dedup, dedup_index
 from quillmill.operators.sampling import leak_free_split
 from quillmill.session import scratch_path
+from quillmill.sources.versions import Versions, hadoop_file
 
 SCHEMA = "id long, stratum string, text string"
 
@@ -103,8 +104,7 @@ def test_of_two_writers_one_wins_and_the_other_checks_again(spark, rows, monkeyp
     monkeypatch.setattr(dedup_index, "check_batch", slow)
     add(path, frame(spark, rows[120:]))
     assert calls == [1, 2]
-    index = dedup_index.Index(spark, path)
-    got = sorted(r["id"] for r in index.table("sets", index.versions()).collect())
+    got = sorted(r["id"] for r in dedup_index.kept_rows(spark, path).collect())
     assert got == greedy(rows)
 
 
@@ -114,11 +114,10 @@ def test_unfinished_batches(spark, rows):
     frame(spark, rows).write.parquet(f"{path}/data/left-behind/sets")  # no version names it
     got = add(path, frame(spark, rows[60:]))
     assert got == [i for i in greedy(rows) if i >= 60]
-    index = dedup_index.Index(spark, path)
-    fs, file = index._file("versions/00000002")
+    fs, file = hadoop_file(spark, f"{path}/versions/00000002")
     fs.create(file, False).close()
     with pytest.raises(RuntimeError):
-        index.versions()
+        Versions(spark, path).names()
 
 
 def test_components(spark, rows):
