@@ -13,7 +13,8 @@ from quillmill.operators import (
     clustering, failures, hierarchy, judge, layout, metrics, neighbours, reports, scoring,
 )
 from quillmill.plans.failures import failure_map
-from quillmill.plans.evaluation import evaluate
+from quillmill.plans.evaluation import evaluate, result_documents
+from quillmill.session import scratch_path
 from quillmill.sources import io
 
 TAG, ID = "model_tag", "sample_id"
@@ -291,6 +292,31 @@ def _(t: Tables):
     return _rounded(evaluation(t))
 
 
+def stored_results(t: Tables):
+    """The result documents, written as JSON and read again."""
+    documents = result_documents(_rounded(evaluation(t)), t.predictions, confidences(t))
+    path = scratch_path(t.spark, "results")
+    io.write_documents(documents, path)
+    return io.read_documents(t.spark, path, documents.schema)
+
+
+@query("result_bins", METRICS + """ == SELECT model_tag, n_test, ece, round(bin / 10, 2) AS bin_lower,
+    round((bin + 1) / 10, 2) AS bin_upper, round_even(accuracy, 3) AS accuracy,
+    round_even(confidence, 3) AS confidence, count FROM metrics JOIN bins USING (model_tag)""")
+def _(t: Tables):
+    return stored_results(t).select(TAG, "n_test", "ece", F.explode("bin_stats").alias("b")).select(
+        TAG, "n_test", "ece", "b.*")
+
+
+@query("result_classes", METRICS + """ == SELECT model_tag, hallucination_rate, clause_type,
+    round_even(avg((ra = pa)::INT), 3) AS accuracy FROM flags JOIN metrics USING (model_tag)
+    GROUP BY ALL""")
+def _(t: Tables):
+    return stored_results(t).select(
+        TAG, "hallucination_rate",
+        F.explode("clause_accuracy_by_type").alias("clause_type", "accuracy"))
+
+
 _metric_names = [
     "n_test", "bertscore_precision", "bertscore_recall", "bertscore_f1", "bertscore_f1_std",
     "clause_presence_accuracy", "hallucination_rate", "grounded_rate", "contradiction_rate",
@@ -568,6 +594,30 @@ def _(t: Tables):
     )
 
 
+@query("card_document", SPLIT_CTE + "," + LENGTHS + """ == SELECT 'documents' AS dataset,
+    count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER (WHERE split = 'val') AS val,
+    count(*) FILTER (WHERE split = 'test') AS test, count(*) AS total,
+    (SELECT string_agg(clause_type || '=' || n, ';' ORDER BY clause_type) FROM (
+        SELECT clause_type, count(*) AS n FROM samples GROUP BY clause_type)) AS classes,
+    (SELECT round_even(avg(a), 1) FROM lens) AS answer_mean,
+    (SELECT round_even(quantile_cont(a, 0.5), 1) FROM lens) AS answer_median,
+    (SELECT round_even(quantile_cont(a, 0.95), 1) FROM lens) AS answer_p95,
+    (SELECT round_even(avg(c), 1) FROM lens) AS context_mean,
+    (SELECT round_even(quantile_cont(c, 0.5), 1) FROM lens) AS context_median FROM split_rows""")
+def _(t: Tables):
+    card, path = reports.dataset_card(split_rows(t), "documents"), scratch_path(t.spark, "card")
+    io.write_documents(card, path)
+    read = io.read_documents(t.spark, path, card.schema)
+    entry = lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))
+    return read.select(
+        "dataset", "splits.*",
+        F.array_join(F.transform(F.array_sort(F.map_entries("clause_distribution")), entry), ";")
+        .alias("classes"),
+        *[F.col(f"answer_length_stats.{x}").alias(f"answer_{x}") for x in ("mean", "median", "p95")],
+        *[F.col(f"context_length_stats.{x}").alias(f"context_{x}") for x in ("mean", "median")],
+    )
+
+
 @query("class_distribution", """counts AS (SELECT clause_type, count(*) AS count FROM samples
     GROUP BY clause_type) == SELECT clause_type, count,
     round(100 * count / (SELECT sum(count) FROM counts), 4) AS percent,

@@ -14,15 +14,20 @@ Candidates come from one of two blockings, and every candidate is verified:
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmill.functions import fixed
-from quillmill.functions.draws import draw, number
+from quillmill.functions.draws import number
 from quillmill.functions.text import token_set
 from quillmill.operators import blocking
 from quillmill.operators.graph import component_roots
@@ -33,6 +38,7 @@ BLOCK = ["block"]
 HEADS = 64
 HEADS_GROWTH = 4
 PRIME = 4_294_967_311  # smallest prime above 2^32
+CELLS = 1 << 20
 
 
 # --- word sets ----------------------------------------------------------------------
@@ -129,24 +135,51 @@ def minhash_signatures(
 ) -> DataFrame:
     """(id, stratum, size, signature): per permutation the least (a * h + b) mod PRIME.
 
-    h is the word's 32-bit draw; a < 2^30 keeps a * h + b inside 64 bits. One minimum per
-    permutation over the exploded words stays in generated code and is combined before
-    the shuffle. Rows without words have no signature.
+    h is the word's 32-bit draw; a < 2^30 keeps a * h + b inside 64 bits. A signature follows
+    from its row alone, so nothing is shuffled: Arrow batches go through numpy, ``CELLS``
+    numbers at a time, and each word is hashed once a batch. (As an aggregate per permutation
+    this is too wide for generated code.) Rows without words have no signature.
     """
-    hashed = sets.select("id", "stratum", F.explode("tokens").alias("token")).select(
-        "id", "stratum", draw(seed, "word", F.col("token")).alias("h")
-    )
-    least = [
-        F.min(
-            (F.col("h") * F.lit(number(seed, "slope", i) % 2**30 + 1).cast("bigint")
-             + F.lit(number(seed, "shift", i)).cast("bigint")) % F.lit(PRIME)
-        ).alias(f"p{i}")
-        for i in range(num_perm)
-    ]
-    return hashed.groupBy("id", "stratum").agg(F.count(F.lit(1)).alias("size"), *least).select(
-        "id", "stratum", F.col("size").cast("int").alias("size"),
-        F.array(*[f"p{i}" for i in range(num_perm)]).alias("signature"),
-    )
+    slopes = np.array([number(seed, "slope", i) % 2**30 + 1 for i in range(num_perm)], np.int64)
+    shifts = np.array([number(seed, "shift", i) for i in range(num_perm)], np.int64)
+    schema = T.StructType([
+        sets.schema["id"], sets.schema["stratum"], T.StructField("size", T.IntegerType()),
+        T.StructField("signature", T.ArrayType(T.LongType())),
+    ])
+    step = max(1, CELLS // num_perm)
+
+    def least(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        out = np.full((len(starts), num_perm), PRIME, np.int64)
+        for at in range(0, len(hashes), step):
+            part = (hashes[at:at + step, None] * slopes + shifts) % PRIME
+            row = np.searchsorted(starts, at, "right") - 1  # the row that the part begins in
+            inside = starts[row + 1:np.searchsorted(starts, at + step)] - at
+            low = np.minimum.reduceat(part, np.r_[0, inside].astype(int))
+            out[row:row + len(low)] = np.minimum(out[row:row + len(low)], low)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 1000):
+                batch = whole.slice(begin, 1000)
+                batch = batch.filter(pc.greater(pc.list_value_length(batch.column("tokens")), 0))
+                if not batch.num_rows:
+                    continue
+                words = batch.column("tokens").flatten().dictionary_encode()
+                known = np.array([
+                    int(hashlib.md5(f"{seed}|word|{w}".encode()).hexdigest()[:8], 16)
+                    for w in words.dictionary.to_pylist()], np.int64)
+                sizes = pc.list_value_length(batch.column("tokens")).to_numpy()
+                starts = np.cumsum(sizes) - sizes
+                values = least(known[words.indices.to_numpy()], starts)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id"), batch.column("stratum"), pa.array(sizes, pa.int32()),
+                     pa.ListArray.from_arrays(
+                         pa.array(np.arange(len(sizes) + 1) * num_perm, pa.int32()),
+                         pa.array(values.ravel()))],
+                    names=schema.names)
+
+    return sets.select("id", "stratum", "tokens").mapInArrow(run, schema)
 
 
 def band_blocks(signed: DataFrame, bands: int = 20, rows: int = 6) -> DataFrame:

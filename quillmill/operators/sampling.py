@@ -116,8 +116,17 @@ def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int = fixed.SEED) ->
 
 
 def first_rows(df: DataFrame, id_col: str, n: int) -> DataFrame:
-    """The ``n`` rows of smallest id."""
-    return df.orderBy(id_col).limit(n)
+    """The ``n`` rows of smallest id.
+
+    Only ids are sorted, ``n`` per task; the rows stay where they are. Rows that share an id,
+    NULL too, count one by one: of those of the last id as many are taken as are missing.
+    """
+    first = df.select(F.struct(id_col).alias("k")).orderBy("k").limit(n)
+    last = first.agg(F.max("k").alias("k"), F.count(F.lit(1)).alias("n"))
+    ends = first.join(F.broadcast(last.select("k")), "k").agg(F.count(F.lit(1))).first()[0]
+    edge = last.select("k").scalar()
+    below, at = df.where(F.struct(id_col) < edge), df.where(F.struct(id_col) == edge)
+    return below.unionByName(at.limit(ends))
 
 
 def recombine(parts: dict[str, DataFrame]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from quillmill.functions import fixed
 from quillmill.operators.curate import flatten_qa
-from quillmill.operators.dedup import deduplicate
+from quillmill.operators.dedup import kept_ids
 from quillmill.operators.perplexity import filter_by_perplexity
 from quillmill.operators.prompts import format_as_instruction
 from quillmill.operators.reports import dataset_card
@@ -26,14 +26,19 @@ def curate(
     """Flatten, drop near-duplicates per class, drop perplexity outliers, format, split.
 
     The unigram table is that of the survivors of deduplication, so that step is first.
-    Each of the two filters reads its input several times and gets it written once.
+    The samples are written once, as each step reads them again; the steps hand on ids, by
+    which the rows are picked from there. Ids of ``records`` are distinct.
     """
     samples = materialize(flatten_qa(records, id_col, min_words, max_words), "samples")
-    distinct = materialize(
-        deduplicate(samples, id_col, "clause_type", "contract_text", threshold), "distinct"
+    kept = materialize(
+        kept_ids(samples, id_col, "clause_type", "contract_text", threshold), "kept"
     )
-    clean = materialize(filter_by_perplexity(distinct, id_col, "contract_text"), "clean")
-    return stratified_split(format_as_instruction(clean), id_col, "clause_type")
+    distinct = samples.join(kept, id_col, "left_semi")
+    clean = materialize(
+        filter_by_perplexity(distinct, id_col, "contract_text").select(id_col), "clean"
+    )
+    rows = format_as_instruction(samples.join(clean, id_col, "left_semi"))
+    return stratified_split(rows, id_col, "clause_type")
 
 
 def publish_curation(records: DataFrame, path: str, dataset: str, **options) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmill.operators.judge import judge_summary
 from quillmill.operators.metrics import (
-    TAG, calibration_error, grounding_rates, presence_accuracy, similarity_summary,
+    TAG, calibration_error, grounding_rates, presence_accuracy, reliability_bins, similarity_summary,
 )
 
 
@@ -41,3 +41,24 @@ def evaluate(
     for part in parts:
         table = table.join(part, TAG, "left")
     return table
+
+
+def result_documents(
+    table: DataFrame, rows: DataFrame, confidences: DataFrame
+) -> DataFrame:
+    """The metric rows of ``evaluate`` with what is nested in a result: per-class presence
+    accuracy (``clause_accuracy_by_type``) and ``bin_stats``, non-empty bins in order.
+
+    Both are bounded by the classes and bins of a model; predictions stay a table of their own.
+    """
+    by_class = (
+        presence_accuracy(rows).where(F.col("overall") == 0).groupBy(TAG)
+        .agg(F.map_from_entries(F.sort_array(F.collect_list(
+            F.struct("clause_type", "accuracy")))).alias("clause_accuracy_by_type"))
+    )
+    bins = (
+        reliability_bins(confidences).groupBy(TAG)
+        .agg(F.sort_array(F.collect_list(F.struct(
+            "bin_lower", "bin_upper", "accuracy", "confidence", "count"))).alias("bin_stats"))
+    )
+    return table.join(by_class, TAG, "left").join(bins, TAG, "left")
