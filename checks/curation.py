@@ -14,6 +14,7 @@ from quillmill.functions.text import n_words as count_words
 from quillmill.functions.text import strip as strip_text
 from quillmill.operators import curate, dedup, dedup_index, perplexity, preference, prompts, sampling
 from quillmill.sources import io, json_arrays
+from quillmill.plans.preferences import validation_pairs
 from quillmill.session import materialize, scratch_path
 
 
@@ -608,6 +609,19 @@ def _(t: Tables):
     )
 
 
+VAL_PAIRS = (SPLIT_CTE + ", val_rows AS (SELECT sample_id, clause_type, prompt, answer"
+             " FROM split_rows WHERE split = 'val'), "
+             + PAIRS.replace("FROM formatted", "FROM val_rows").replace("FROM samples", "FROM val_rows"))
+
+
+@query("validation_pairs", VAL_PAIRS + """ == SELECT sample_id, strategy, md5(prompt) AS prompt_md5,
+    chosen, rejected FROM pairs""")
+def _(t: Tables):
+    return validation_pairs(split_rows(t)).select(
+        "sample_id", "strategy", F.md5("prompt").alias("prompt_md5"), "chosen", "rejected"
+    )
+
+
 @query("pair_report", PAIRS + """ == SELECT strategy, count(*) AS pairs,
     round(count(*) / (SELECT count(*) FROM pairs), 4) AS share,
     round(avg((rejected = chosen)::INT), 4) AS unchanged_share FROM pairs GROUP BY strategy""")

@@ -420,7 +420,34 @@ def _(t: Tables):
 # --- embeddings ---------------------------------------------------------------------------
 
 
-@query("project_2d")
+POWER = """{name}(step, v) AS (
+        SELECT 0, list_transform(c[1], lambda x, i: (i % 7 + 1)::DOUBLE) FROM {matrix}
+        UNION ALL
+        SELECT step + 1, list_transform(raw, lambda x: x / sqrt(list_dot_product(raw, raw)))
+        FROM (SELECT step, list_transform(c, lambda row: list_dot_product(row, v)) AS raw
+            FROM {name}, {matrix} WHERE step < 3000)),
+    {name}_axis AS MATERIALIZED (SELECT list_transform(v, lambda x: x * CASE
+            WHEN list_max(v) >= -list_min(v) THEN 1 ELSE -1 END) AS v,
+        list_dot_product(list_transform(c, lambda row: list_dot_product(row, v)), v) AS length
+        FROM {name}, {matrix} WHERE step = 3000)"""
+
+
+@query("project_2d", """flat AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x,
+        generate_subscripts(embedding, 1) AS k FROM embeddings),
+    means AS (SELECT k, avg(x) AS m FROM flat GROUP BY k),
+    moved AS MATERIALIZED (SELECT vec_id, k, x - m AS x FROM flat JOIN means USING (k)),
+    cells AS (SELECT a.k AS i, b.k AS j, sum(a.x * b.x) AS s FROM moved a JOIN moved b
+        ON a.vec_id = b.vec_id GROUP BY a.k, b.k),
+    lines AS (SELECT i, list(s ORDER BY j) AS row FROM cells GROUP BY i),
+    one AS MATERIALIZED (SELECT list(row ORDER BY i) AS c FROM lines),
+    """ + POWER.format(name="first_power", matrix="one") + """,
+    two AS MATERIALIZED (SELECT list_transform(c, lambda row, i: list_transform(row, lambda x, j:
+        x - length * v[i] * v[j])) AS c FROM one, first_power_axis),
+    """ + POWER.format(name="second_power", matrix="two") + """,
+    vectors AS (SELECT vec_id, list(x ORDER BY k) AS e FROM moved GROUP BY vec_id),
+    shift AS (SELECT list(m ORDER BY k) AS m FROM means)
+    == SELECT vec_id, round(list_dot_product(e, a.v), 4) AS x, round(list_dot_product(e, b.v), 4) AS y
+    FROM vectors, first_power_axis a, second_power_axis b""")
 def _(t: Tables):
     return clustering.project_2d(t.table("embeddings"), "vec_id", "embedding").select(
         "vec_id", r4("x"), r4("y")
