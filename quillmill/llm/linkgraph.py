@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import without
+from quillmill.operators.scale import salted_join
 from quillmill.session import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -80,24 +81,28 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(
-    edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20
+    edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: int = UNIT // 10_000
 ) -> DataFrame:
     """(host, trust, distrust) by two personalised PageRanks at once.
 
-    ``seeds`` has (host, kind) with kind trust or distrust, one row per pair. Trust flows from
-    a host to the hosts it links to, in proportion to the links; distrust flows backwards, from
-    a host to those that link to it. Every seed receives ``UNIT`` * (1 - damping) per round. Scores
-    are whole numbers rounded down edge by edge, so sums do not depend on the order of
-    rows; after ``rounds`` rounds, or as soon as nothing changes, scores are final. What
-    reaches a host without a further edge stays there.
+    ``seeds`` has (host, kind, weight) with kind trust or distrust and a weight of 0 to 1, one
+    row per pair. Trust flows from a host to the hosts it links to, in proportion to the links;
+    distrust flows backwards, from a host to those that link to it. A seed receives ``UNIT`` *
+    (1 - damping) * weight per round. Scores are whole numbers rounded down edge by edge, so
+    sums do not depend on the order of rows. What reaches a host without a further edge
+    stays there.
+
+    Scores only grow. What all of them may still gain is at most the growth of the last
+    round times damping / (1 - damping); rounds go on until that is no more than
+    ``tolerance``, so no score is further from its limit than that.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("total"))
     flows = materialize(
-        edges.join(out, "src").select(
+        salted_join(edges, out, ["src"], ["dst"]).select(
             F.lit("trust").alias("kind"), F.col("src").alias("from"), F.col("dst").alias("to"),
             (F.col("n") / F.col("total")).alias("share"),
-        ).unionByName(edges.join(into, "dst").select(
+        ).unionByName(salted_join(edges, into, ["dst"], ["src"]).select(
             F.lit("distrust").alias("kind"), F.col("dst").alias("from"), F.col("src").alias("to"),
             (F.col("n") / F.col("total")).alias("share"),
         )),
@@ -105,26 +110,24 @@ def propagate(
     )
     given = materialize(
         seeds.select("kind", F.col("host").alias("node"),
-                     F.lit(round(UNIT * (1 - damping))).cast("bigint").alias("score")),
+                     F.floor(F.col("weight") * round(UNIT * (1 - damping))).cast("bigint")
+                     .alias("score")).where("score > 0"),
         "link-seeds",
     )
-    state = given
-    for _ in range(0 if flows.isEmpty() else rounds):
-        moved = (
-            flows.join(
-                state.select("kind", F.col("node").alias("from"), "score"), ["kind", "from"]
-            )
-            .select("kind", F.col("to").alias("node"),
-                    F.floor(F.col("score") * F.col("share") * damping).cast("bigint").alias("score"))
-        )
-        after = materialize(
+    state, mass = given, given.agg(F.sum("score")).first()[0] or 0
+    while mass and not flows.isEmpty():
+        # A host with many links is spread over salts; each pair sums before the shuffle.
+        moved = salted_join(
+            flows, state.select("kind", F.col("node").alias("from"), "score"), ["kind", "from"], ["to"]
+        ).select("kind", F.col("to").alias("node"),
+                 F.floor(F.col("score") * F.col("share") * damping).cast("bigint").alias("score"))
+        state = materialize(
             given.unionByName(moved).groupBy("kind", "node").agg(F.sum("score").alias("score"))
             .where("score > 0"),
             "link-scores",
         )
-        settled = after.exceptAll(state).isEmpty()
-        state = after
-        if settled:
+        before, mass = mass, state.agg(F.sum("score")).first()[0]
+        if (mass - before) * damping / (1 - damping) <= tolerance:
             break
     return state.groupBy(F.col("node").alias("host")).agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0)).alias("trust"),
@@ -136,15 +139,18 @@ def judge_urls(
     pages: DataFrame,
     rules: list[tuple[str, str, str]] | None = None,
     damping: float = 0.85,
-    rounds: int = 20,
+    tolerance: int = UNIT // 10_000,
     min_distrust: int = UNIT // 100,
 ) -> DataFrame:
     """Judge every url of ``pages`` (url, html, ...): by the longest rule, else by its host.
 
-    Hosts of whose pages more than half are allowed by a rule are trusted seeds, those with more
-    than half blocked are distrusted seeds. Scores spread over the links between hosts, see
+    A host is a seed of trust by the share of its pages that a rule allows, and one of distrust
+    by the share that a rule blocks. Scores spread over the links between hosts, see
     ``propagate``. A page without a rule is blocked if its host's distrust is at least
     ``min_distrust`` and exceeds its trust, else allowed; a host without any score is allowed.
+    What a host has as a seed counts in its own verdict only if it comes from more than half
+    of its pages: a host with a few blocked pages is not blocked by them, but hosts that link
+    to it are judged by them.
 
     Adds host, path, rule (host and path of the rule, else NULL), verdict, trust and distrust.
     A NULL url, or one without ``://``, has an empty host and path, fits no rule and is
@@ -163,13 +169,24 @@ def judge_urls(
              F.count_if(F.col("__rule.action") == "allow").alias("allowed"),
              F.count_if(F.col("__rule.action") == "block").alias("blocked"))
     )
-    seeds = counts.select("host", F.when(F.col("allowed") * 2 > F.col("n"), "trust").when(
-        F.col("blocked") * 2 > F.col("n"), "distrust").alias("kind")).where("kind IS NOT NULL")
+    share = {"trust": F.col("allowed") / F.col("n"), "distrust": F.col("blocked") / F.col("n")}
+    seeds = counts.select("host", F.explode(F.array(*[
+        F.struct(F.lit(kind).alias("kind"), weight.alias("weight")) for kind, weight in share.items()
+    ])).alias("x")).select("host", "x.*").where("weight > 0")
+    scores = propagate(materialize(host_edges(pages), "link-edges"), seeds, damping, tolerance)
+    minor = {
+        kind: F.when(F.coalesce(weight, F.lit(0.0)) <= 0.5, F.floor(
+            F.coalesce(weight, F.lit(0.0)) * round(UNIT * (1 - damping))).cast("bigint")).otherwise(0)
+        for kind, weight in share.items()
+    }
+    judged = {kind: F.col(kind) - own for kind, own in minor.items()}
     scores = materialize(
-        propagate(materialize(host_edges(pages), "link-edges"), seeds, damping, rounds),
+        scores.join(counts, "host", "left").select(
+            F.col("host").alias("__h"), "trust", "distrust",
+            ((judged["distrust"] >= min_distrust) & (judged["distrust"] > judged["trust"])).alias("bad")),
         "host-scores",
-    ).withColumnRenamed("host", "__h")
-    bad = (F.col("distrust") >= min_distrust) & (F.col("distrust") > F.col("trust"))
+    )
+    bad = F.coalesce("bad", F.lit(False))
     return parts.join(scores, F.col("__host") == F.col("__h"), "left").select(
         *clean.columns, F.col("__host").alias("host"), F.col("__path").alias("path"),
         F.col("__rule.rule").alias("rule"),
