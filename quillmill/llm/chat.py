@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import numbered, without
+from quillmill.llm.common import numbered
+from quillmill.operators.scale import null_safe_key, salted_join
+from quillmill.session import materialize
 
 START, END = "<|im_start|>", "<|im_end|>\n"
+OWN_HEAD = START + "assistant\n"
+
+
+def seen_head(who: Column, system: tuple[str, ...]) -> Column:
+    """The head of a turn that is not the participant's own."""
+    name = F.regexp_replace(F.coalesce(who, F.lit("unknown")), r"[<>|\s]", "_")
+    shown = F.when(F.coalesce(who.isin(*system), F.lit(False)), F.lit("system")).otherwise(
+        F.concat(F.lit("user name="), name))
+    return F.concat(F.lit(START), shown, F.lit("\n"))
 
 
 def perspectives(
@@ -43,37 +54,49 @@ def perspectives(
         F.col(speaker).cast("string").alias("who"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("said"),
     )
-    parts = (
-        numbered(base, ["c"], ["t", "who", "said"], [], "chat-turns")
-        .withColumn("part", F.expr(f"__idx div {turns_per_row}"))
-        .groupBy("c", "part")
-        .agg(F.sort_array(F.collect_list(F.struct("__idx", "who", "said"))).alias("turns"))
+    placed = numbered(base, ["c"], ["t", "who", "said"], [], "chat-turns").select(
+        null_safe_key("c").alias("code"), "c", F.expr(f"__idx div {turns_per_row}").alias("part"),
+        "__idx", "who", "said",
     )
-    people = (
-        base.where(F.col("who").isNotNull() & ~F.col("who").isin(*system))
-        .select(F.col("c").alias("pc"), F.col("who").alias("participant")).distinct()
+    # Where a part begins in the rendering of a participant follows from lengths alone: those
+    # of its turns as others see them, and what the heads of the participant's own turns differ.
+    mine = F.coalesce(F.col("who").isNotNull() & ~F.col("who").isin(*system), F.lit(False))
+    lengths = materialize(
+        placed.groupBy("code", "part", "who").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(F.length(seen_head(F.col("who"), system)) + F.length("said") + len(END))
+            .alias("length"),
+        ).select("*", (F.col("n") * (len(OWN_HEAD) - F.length(seen_head(F.col("who"), system))))
+                 .alias("own")),
+        "chat-lengths",
     )
-    each = parts.join(people, F.col("c").eqNullSafe(F.col("pc")))
-
-    def head(t: Column, own: Column) -> Column:
-        name = F.regexp_replace(F.coalesce(t["who"], F.lit("unknown")), r"[<>|\s]", "_")
-        return F.concat(
-            F.lit(START),
-            F.when(own, F.lit("assistant"))
-            .when(F.coalesce(t["who"].isin(*system), F.lit(False)), F.lit("system"))
-            .otherwise(F.concat(F.lit("user name="), name)),
-            F.lit("\n"),
-        )
+    whole = materialize(
+        lengths.groupBy("code", "part").agg(F.sum("length").alias("length")), "chat-parts")
+    people = lengths.where(mine).select("code", F.col("who").alias("participant")).distinct()
+    sized = salted_join(whole, people, ["code"], ["part"]).join(
+        lengths.where(mine).select("code", "part", F.col("who").alias("participant"), "own"),
+        ["code", "part", "participant"], "left",
+    ).withColumn("length", (F.col("length") + F.coalesce("own", F.lit(0))).cast("bigint"))
+    offsets = numbered(
+        sized.select("code", "participant", "part", "length"), ["code", "participant"], ["part"],
+        ["length"], "chat-offsets",
+    ).select("code", "part", "participant", F.col("__before_length").cast("bigint").alias("char_start"))
+    parts = placed.groupBy("code", "part").agg(
+        F.first("c").alias("c"),
+        F.sort_array(F.collect_list(F.struct("__idx", "who", "said"))).alias("turns"),
+    )
+    # A part is bounded, whatever the dialogue, and so is what any key joins here.
+    each = parts.join(offsets, ["code", "part"])
 
     def render(t: Column) -> Column:
         own = F.coalesce(t["who"] == F.col("participant"), F.lit(False))
         return F.struct(
-            head(t, own).alias("head"), F.concat(t["said"], F.lit(END)).alias("body"),
+            F.when(own, F.lit(OWN_HEAD)).otherwise(seen_head(t["who"], system)).alias("head"), F.concat(t["said"], F.lit(END)).alias("body"),
             own.alias("own"),
         )
 
     rendered = each.select(
-        "c", "participant", "part", F.size("turns").alias("n"),
+        "c", "participant", "part", "char_start", F.size("turns").alias("n"),
         F.expr("turns[0].__idx").alias("first_turn"), F.transform("turns", render).alias("r"),
     )
     # Parts are of bounded length, so this fold is bounded too.
@@ -93,18 +116,12 @@ def perspectives(
         ),
     )
     local = rendered.select(
-        "c", "participant", "part", "n", "first_turn",
+        "c", "participant", "part", "char_start", "n", "first_turn",
         F.array_join(F.transform("r", lambda t: F.concat(t["head"], t["body"])), "")
         .alias("rendered"),
         spans.alias("spans"),
     )
-    earlier = Window.partitionBy("c", "participant").orderBy("part").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    placed = local.withColumn(
-        "char_start", F.coalesce(F.sum(F.col("spans.at")).over(earlier), F.lit(0))
-    )
-    return placed.select(
+    return local.select(
         F.col("c").alias(conv), "participant", F.col("part").cast("int").alias("part"),
         "first_turn", F.col("n").alias("n_turns"), "char_start", "rendered",
         F.array_join(

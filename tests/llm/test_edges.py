@@ -253,6 +253,25 @@ def test_perspectives(spark):
     assert perspectives(empty).count() == 0
 
 
+def test_perspectives_of_long_turns_and_hot_dialogues(spark):
+    rows = [(7, i, f"p{i % 3}", ("x" * 50_000 if i == 5 else f"turn {i} €"), "en") for i in range(700)]
+    rows += [(8, 0, "p0", "hi", "de"), (8, 1, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part string")
+    got = perspectives(df, turns_per_row=64).collect()
+    for p in range(3):
+        mine = sorted((r["part"], r) for r in got if r["conv_id"] == 7 and r["participant"] == f"p{p}")
+        whole = "".join(r["rendered"] for _, r in mine)
+        at = 0
+        for i, (part, r) in enumerate(mine):
+            assert (part, r["char_start"], r["first_turn"]) == (i, at, 64 * i)
+            at += len(r["rendered"])
+        spans = [s.split(":") for _, r in mine for s in r["mask"].split(",") if s]
+        assert [whole[int(a):int(b)] for a, b in spans] == [
+            t + "<|im_end|>\n" for c, i, who, t, _ in rows if c == 7 and who == f"p{p}"]
+    assert [r["rendered"] for r in got if r["conv_id"] == 8] == [
+        "<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=unknown\n<|im_end|>\n"]
+
+
 def test_pseudo_likelihood(spark, docs, none):
     import random
 
