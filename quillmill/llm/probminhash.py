@@ -413,24 +413,29 @@ def near_duplicates(
     rooted = _with_roots(nodes.select("digest", "doc_id", "node"), "node", roots)
     named = rooted.join(
         rooted.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root"
-    ).select("digest", "class_id")
+    ).select("digest", "class_id", "root")
     return _labelled(members, materialize(named, "pmh-classes"), ["digest"] if digests else [])
 
 
 def _labelled(members: DataFrame, named: DataFrame, more: list[str]) -> DataFrame:
-    """Class, size and the kept row. Equal texts of a crowd are counted before the join."""
+    """Class, size and the kept row. Equal texts of a crowd are counted before the join.
+
+    Classes are told apart by ``root``: two of them have one name if unlike rows share an id.
+    """
     found = materialize(
         salted_join(members, named, ["digest"], ["doc_id"], "left")
         .select("doc_id", *more, F.coalesce("class_id", "doc_id").alias("class_id"),
+                # A row without words is alone, whatever the number of such rows.
+                F.coalesce("root", -1 - F.monotonically_increasing_id()).alias("root"),
                 F.col("digest").isNotNull().alias("grouped"),
                 F.monotonically_increasing_id().alias("row")),
         "pmh-labelled",
     )
-    sizes = found.where("grouped").groupBy("class_id").agg(
+    sizes = found.where("grouped").groupBy("root").agg(
         F.count(F.lit(1)).alias("class_size"),
         F.min(F.when(F.col("doc_id") == F.col("class_id"), F.col("row"))).alias("first"),
-    ).withColumn("grouped", F.lit(True))
-    return salted_join(found, sizes, ["class_id", "grouped"], ["row"], "left").select(
+    )
+    return salted_join(found, sizes, ["root"], ["row"], "left").select(
         "doc_id", "class_id", F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"),
         (~F.col("grouped") | (F.col("row") == F.col("first"))).alias("kept"), *more,
     )
