@@ -1,6 +1,5 @@
 """Neighbour lists, spanning tree and stable clusters against plain Python."""
 
-import math
 
 import numpy as np
 import pytest
@@ -8,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmill.operators import hierarchy
 from quillmill.operators.neighbours import neighbour_lists
+from quillmill.plans.failures import failure_map
 
 
 def frame(spark, vectors, ids=None, parts=3):
@@ -189,3 +189,18 @@ def test_edges(spark):
     got = hierarchy.hierarchical_clusters(
         spark.createDataFrame(one, "id bigint, vector array<double>"), "id", "vector").collect()
     assert {r["id"]: r["cluster_id"] for r in got} == {i: i % 2 for i in range(40)}
+
+
+def test_failure_map_without_a_radius(spark):
+    rows = spark.createDataFrame(
+        [(i, "A" if i < 6 else "B", "wrong [incomplete]", "right", 0.1 if i < 12 else 0.9)
+         for i in range(20)],
+        "sample_id long, clause_type string, prediction string, reference string, bertscore_f1 double",
+    )
+    vectors = spark.createDataFrame(
+        [(i, [float(i < 5), float(i >= 5), 0.01 * i]) for i in range(20) if i != 11],
+        "sample_id long, embedding array<double>",
+    )
+    points = {r.sample_id: r for r in failure_map(rows, vectors).collect()}
+    assert sorted(points) == list(range(12))
+    assert [points[i].cluster_id for i in range(12)] == [0] * 5 + [5] * 6 + [-1]
