@@ -20,16 +20,19 @@ from quillmill.session import materialize
 SIDE = 32  # a class is a pair (row, column) of a SIDE x SIDE table
 CLASSES = SIDE * SIDE
 OWN = 768  # classes that hold a single bucket of words
-BUCKETS = 1 << 16
+BUCKETS = 1 << 16  # so that a bucket is two bytes
 CONTEXT = (-2, -1, 1, 2)
 PAD = CLASSES  # the class beyond either end of a document
 DIM, HIDDEN = 16, 32
-SLICE = 32_768  # positions per numpy call
+STEEPEST = 40  # scores of rows and columns are held within this, so that none overflows
+SLICE = 4_096  # positions per numpy call
 SCALE = 1 << 24  # parameters are averaged as whole numbers of this unit
-LOG_UNITS = 1_000_000_000  # logarithms of counts are summed by Spark as whole numbers of this unit
+LOG_UNITS = 1_000_000_000  # logarithms are summed by Spark as whole numbers of this unit
 HOT_SHARE, COMMON_SHARE, COMMON_BYTES = 1_000, 100_000, 64  # see ``common_words``
 UNSEEN = 0.5  # occurrences of a word that the training texts do not hold
 DISTINCT = 200_000  # words that a task counts before it hands them on
+TRAINER_WORDS, TRAINERS = 1 << 21, 4_096  # see ``train``
+HELD = 1 << 17  # words that a trainer mixes with each other
 
 SHAPES = {
     "embed": (CLASSES + 1, DIM), "hidden": (len(CONTEXT) * DIM, HIDDEN), "bias": (1, HIDDEN),
@@ -43,7 +46,7 @@ ADDED = ["n_tokens", "log_prob", "mean_log_prob"]
 class Model:
     """``classes`` maps a bucket of words to its class; ``weights`` are the network.
 
-    ``words`` is the written table (word, bucket, n) of all words of the training texts,
+    ``words`` is the written table (hash, word, n) of all words of the training texts,
     ``common`` the logarithms of the counts of the frequent ones, ``counts`` the occurrences
     per class. ``trained`` is the number of positions trained on, one per round.
     """
@@ -80,20 +83,27 @@ def class_table(counts: np.ndarray) -> np.ndarray:
     return table
 
 
-def _stream(texts: list[str | None], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of all texts with two pads around each, the places of words, their text."""
-    docs = [classes[buckets(t)] for t in texts]
+def _joined(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of all documents with two pads around each, the places of words, their document."""
     pad = np.full(2, PAD)
     stream = np.concatenate([x for d in docs for x in (pad, d)] + [pad])
     lengths = np.array([len(d) for d in docs], np.int64)
     owner = np.repeat(np.arange(len(docs)), lengths)
     starts = np.concatenate([[0], np.cumsum(lengths + 2)[:-1]]) + 2
-    places = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    return stream, places + np.repeat(starts, lengths), owner
+    return stream, _places(lengths) + np.repeat(starts, lengths), owner
+
+
+def _places(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each of the documents of these lengths."""
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def _stream(texts: list[str | None], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _joined([classes[buckets(t)] for t in texts])
 
 
 def _forward(w: dict[str, np.ndarray], stream: np.ndarray, at: np.ndarray) -> tuple:
-    """Log-probabilities of the rows and columns of the classes at ``at``, and what led there.
+    """Scores of the rows and columns of the classes at ``at``, and what led there.
 
     Both sides are seen, the word itself is masked: it is in no input of its own prediction.
     """
@@ -104,25 +114,33 @@ def _forward(w: dict[str, np.ndarray], stream: np.ndarray, at: np.ndarray) -> tu
     rows = hidden @ w["row"] + w["row_bias"]
     columns = hidden @ w["column"] + w["column_bias"][row]
     for x in (rows, columns):
-        x -= x.max(axis=1, keepdims=True)
-        x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+        np.clip(x, -STEEPEST, STEEPEST, out=x)
     return around, inputs, hidden, row, column, rows, columns
 
 
+def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    e = np.exp(x)
+    return e, e @ np.ones(x.shape[1], x.dtype)
+
+
 def log_probs(w: dict[str, np.ndarray], stream: np.ndarray, at: np.ndarray) -> np.ndarray:
     out = np.empty(len(at), np.float64)
     for i in range(0, len(at), SLICE):
         *_, row, column, rows, columns = _forward(w, stream, at[i:i + SLICE])
         n = np.arange(len(row))
-        out[i:i + SLICE] = rows[n, row] + columns[n, column]
+        out[i:i + SLICE] = (
+            rows[n, row] - np.log(_exponentials(rows)[1])
+            + columns[n, column] - np.log(_exponentials(columns)[1])
+        )
     return out
 
 
-def _sum_by(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """The sums of ``rows`` with equal ``at``, as an array of ``n`` rows."""
-    width = rows.shape[1]
-    cells = (at[:, None] * width + np.arange(width)).ravel()
-    return np.bincount(cells, rows.ravel(), n * width).reshape(n, width).astype(np.float32)
+def _sum_by(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``at`` and the sums of the ``rows`` of each."""
+    order = np.argsort(at, kind="stable")
+    sorted_at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_at[1:] != sorted_at[:-1]]))
+    return sorted_at[first], np.add.reduceat(rows[order], first, axis=0)
 
 
 def train_step(
@@ -132,38 +150,31 @@ def train_step(
     """One Adagrad step on the mean negative log-probability at ``at``."""
     around, inputs, hidden, row, column, rows, columns = _forward(w, stream, at)
     n = np.arange(len(at))
-    d_rows, d_columns = np.exp(rows), np.exp(columns)
-    d_rows[n, row] -= 1
-    d_columns[n, column] -= 1
-    d_rows /= len(at)
-    d_columns /= len(at)
-    grads = {"row": hidden.T @ d_rows, "row_bias": d_rows.sum(0, keepdims=True),
-             "column": hidden.T @ d_columns,
-             "column_bias": _sum_by(row, d_columns, SIDE)}
+    slopes = []
+    for x, target in ((rows, row), (columns, column)):
+        slope, total = _exponentials(x)
+        slope /= total[:, None]
+        slope[n, target] -= 1
+        slope /= np.float32(len(at))
+        slopes.append(slope)
+    d_rows, d_columns = slopes
+    one_hot = np.eye(SIDE, dtype=np.float32)[row]
     d_hidden = (d_rows @ w["row"].T + d_columns @ w["column"].T) * (1 - hidden * hidden)
-    grads["hidden"] = inputs.T @ d_hidden
-    grads["bias"] = d_hidden.sum(0, keepdims=True)
-    grads["embed"] = _sum_by(
-        around.ravel(), (d_hidden @ w["hidden"].T).reshape(-1, DIM), CLASSES + 1
-    )
-    for name, g in grads.items():
-        squares[name] += g * g
-        w[name] -= rate * g / (np.sqrt(squares[name]) + 1e-6)
-
-
-def _batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str | None]]:
-    """Texts in lists of at most a few million characters (or one text)."""
-    held, size = [], 0
-    for batch in batches:
-        for value in batch.column("text"):
-            text = value.as_py()
-            held.append(text)
-            size += len(text or "")
-            if size >= 1 << 20:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
+    everywhere = slice(None)
+    grads = {
+        "row": (everywhere, hidden.T @ d_rows),
+        "row_bias": (everywhere, d_rows.sum(0, keepdims=True)),
+        "column": (everywhere, hidden.T @ d_columns),
+        "column_bias": (everywhere, one_hot.T @ d_columns),
+        "hidden": (everywhere, inputs.T @ d_hidden),
+        "bias": (everywhere, d_hidden.sum(0, keepdims=True)),
+        "embed": _sum_by(
+            around.ravel().astype(np.int16), (d_hidden @ w["hidden"].T).reshape(-1, DIM)
+        ),
+    }
+    for name, (where, g) in grads.items():
+        squares[name][where] += g * g
+        w[name][where] -= np.float32(rate) * g / (np.sqrt(squares[name][where]) + np.float32(1e-6))
 
 
 def part_of(keys: np.ndarray, places: np.ndarray, every: int) -> np.ndarray:
@@ -172,38 +183,56 @@ def part_of(keys: np.ndarray, places: np.ndarray, every: int) -> np.ndarray:
     return (mixed % np.uint64(every)).astype(np.int64)
 
 
-def word_table(docs: DataFrame) -> DataFrame:
-    """(word, bucket, n): every word of all texts and its occurrences, written once."""
+def encode(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two tables from one reading of the texts, both written once.
 
-    def rows(found: Counter) -> pa.RecordBatch:
-        at = [xxhash.xxh3_64_intdigest(w) % BUCKETS for w in found]
+    (hash, word, n): every word of all texts and its occurrences. (key, found): a digest of
+    text and doc_id, and the bucket of every word of the text, two bytes each.
+    """
+    identity = [F.col(c).cast("string") for c in docs.columns if c.lower() in ("text", "doc_id")]
+    texts = docs.select(F.xxhash64(*identity).alias("key"), F.col("text").cast("string").alias("text"))
+    schema = "key long, found binary, hash long, word binary, n long"
+
+    def rows(keys: list, found: list, words: Counter) -> pa.RecordBatch:
+        n = len(keys)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(found), pa.binary()), pa.array(at, pa.int64()),
-             pa.array(list(found.values()), pa.int64())], names=["word", "bucket", "n"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Counter()
-        for texts in _batches_of(batches):
-            for text in texts:
-                found.update((text or "").encode().split())
-            if len(found) > DISTINCT:
-                yield rows(found)
-                found = Counter()
-        if found:
-            yield rows(found)
-
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(
-        count, "word binary, bucket long, n long"
-    )
-    return materialize(
-        counted.groupBy("word", "bucket").agg(F.sum("n").alias("n")), "word-counts"
+            [pa.array(keys + [None] * len(words), pa.int64()),
+             pa.array(found + [None] * len(words), pa.binary()),
+             pa.array([None] * n + hashes.view(np.int64).tolist(), pa.int64()),
+             pa.array([None] * n + list(words), pa.binary()),
+             pa.array([None] * n + list(words.values()), pa.int64())],
+            names=["key", "found", "hash", "word", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Counter()
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                part = whole.slice(start, 256)
+                texts = [v.as_py() for v in part.column("text")]
+                for text in texts:
+                    words.update((text or "").encode().split())
+                full = len(words) > DISTINCT
+                yield rows(part.column("key").to_pylist(),
+                           [buckets(t).astype("<u2").tobytes() for t in texts],
+                           words if full else Counter())
+                if full:
+                    words = Counter()
+        if words:
+            yield rows([], [], words)
+
+    written = materialize(texts.mapInArrow(run, schema), "word-buckets")
+    words = (
+        written.where("word IS NOT NULL").groupBy("hash", "word").agg(F.sum("n").alias("n"))
     )
+    return materialize(words, "word-counts"), written.where("found IS NOT NULL").select("key", "found")
 
 
 def bucket_counts(words: DataFrame) -> np.ndarray:
     """Occurrences per bucket of words over all texts: a vector of fixed length."""
     counts = np.zeros(BUCKETS, np.int64)
-    for r in words.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    bucket = F.col("hash").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")
+    for r in words.groupBy(bucket).agg(F.sum("n").alias("n")).collect():
         counts[r["bucket"]] = r["n"]
     return counts
 
@@ -222,26 +251,33 @@ def common_words(words: DataFrame, total: int) -> dict[bytes, float]:
 
 
 def train(
-    docs: DataFrame, rounds: int = 2, every: int = 2, rate: float = 0.1, batch: int = 1024,
+    docs: DataFrame, rounds: int = 2, every: int = 2, rate: float = 0.1, batch: int = 2048,
     seed: int = 42,
 ) -> Model:
-    """Fit the network on all texts: in every round, each task trains on its own, then weights
-    are averaged by the number of masked positions.
+    """Fit the network on all texts: in every round, each trainer trains on its own, then
+    weights are averaged by the number of masked positions.
 
     All positions of all texts are trained on: they are dealt into ``every`` parts by a
-    hash of the text and the place in it, wherever the text is stored, and a round takes the
-    next part. There are as many rounds as parts at least; ``every`` = 1 takes all positions
-    in every round. What is gathered grows with the number of tasks, and is summed by Spark;
-    the driver receives one model per round, of a size fixed by the constants above.
+    hash of the text and the place in it, and a round takes the next part. There are as many
+    rounds as parts at least; ``every`` = 1 takes all positions in every round.
+
+    Texts are dealt to trainers by a digest of text and doc_id and read in its order, one
+    trainer per ``TRAINER_WORDS`` words of the corpus (``TRAINERS`` at most, which then read
+    more each). The model is thus a function of the corpus, wherever its rows are stored;
+    rows equal in text and doc_id are interchangeable. (Scores may differ in the last digit,
+    as single-precision products round by their height.) Models are summed by Spark; the
+    driver receives one per round, of a size fixed by the constants above.
     """
-    words = word_table(docs)
+    words, encoded = encode(docs)
     per_bucket = bucket_counts(words)
+    total = int(per_bucket.sum())
     classes = class_table(per_bucket)
     per_class = np.bincount(classes, per_bucket, CLASSES).astype(np.int64)
-    common = common_words(words, int(per_bucket.sum()))
+    common = common_words(words, total)
     weights = fresh_weights(seed)
     names = list(SHAPES)
-    texts = docs.select(F.col("text").cast("string").alias("text"))
+    trainers = min(TRAINERS, 1 + total // TRAINER_WORDS)
+    dealt = encoded.repartition(trainers, "key").sortWithinPartitions("key")
     trained = []
     for turn in range(max(rounds, every)):
 
@@ -251,11 +287,9 @@ def train(
             w = {k: v.copy() for k, v in start.items()}
             squares = {k: np.zeros_like(v) for k, v in w.items()}
             seen = 0
-            for texts in _batches_of(batches):
-                stream, at, owner = _stream(texts, classes)
-                keys = np.array([xxhash.xxh3_64_intdigest(t or "") for t in texts], np.uint64)
-                lengths = np.bincount(owner, minlength=len(texts))
-                places = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            for keys, docs in _held(batches):
+                stream, at, owner = _joined([classes[d] for d in docs])
+                places = _places(np.array([len(d) for d in docs], np.int64))
                 chosen = at[part_of(keys[owner], places, every) == turn % every]
                 # Documents are mixed within a batch, so that a step sees many of them.
                 chosen = chosen[np.argsort(mix(chosen.astype(np.uint64) + np.uint64(turn)))]
@@ -272,7 +306,7 @@ def train(
         # Whole numbers: the average does not depend on the order in which tasks end.
         weighted = F.sum(F.col("v").cast("decimal(20,0)") * F.col("n").cast("decimal(18,0)"))
         rows = (
-            texts.mapInArrow(fit, "i long, v long, n long").groupBy("i")
+            dealt.mapInArrow(fit, "i long, v long, n long").groupBy("i")
             .agg(weighted.alias("v"), F.sum("n").alias("n"))
             .select("i", (F.col("v").cast("double") / F.col("n") / SCALE).alias("v"), "n")
             .collect()
@@ -291,60 +325,80 @@ def train(
     return Model(classes, weights, words, common, per_class, trained)
 
 
-def _rare_words(texts: DataFrame, common: dict[bytes, float]) -> DataFrame:
-    """(row, word, k): the words of every text that are not ``common``, with their occurrences."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                part = whole.slice(start, 256)
-                rows, words, counts = [], [], []
-                for row, text in zip(part.column("row").to_pylist(), part.column("text")):
-                    found = Counter(
-                        w for w in (text.as_py() or "").encode().split() if w not in common
-                    )
-                    rows += [row] * len(found)
-                    words += found.keys()
-                    counts += found.values()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows, pa.int64()), pa.array(words, pa.binary()),
-                     pa.array(counts, pa.int64())], names=["row", "word", "k"])
-
-    return texts.mapInArrow(run, "row long, word binary, k long")
-
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Keys and buckets of texts, in lists of about ``HELD`` words (or one text).
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+    Where a list ends depends on the order of the texts only, not on the batches.
+    """
+    keys, docs, size = [], [], 0
+    for whole in batches:
+        for key, found in zip(whole.column("key").to_pylist(), whole.column("found")):
+            keys.append(key)
+            docs.append(np.frombuffer(found.as_buffer(), "<u2"))
+            size += len(docs[-1])
+            if size >= HELD:
+                yield np.array(keys, np.int64).view(np.uint64), docs
+                keys, docs, size = [], [], 0
+    if docs:
+        yield np.array(keys, np.int64).view(np.uint64), docs
+
+
+def score(docs: DataFrame, model: Model, with_text: bool = True) -> DataFrame:
     """Add n_tokens, log_prob (the sum over all words of the log-probability of the word given
     two words on either side) and mean_log_prob (NULL without words).
 
     The network gives the probability of the word's class, the counts of the training texts that
     of the word in its class, n(word) / n(class); a word that they do not hold counts ``UNSEEN``
-    occurrences. Frequent words are looked up in place, all others by a join.
+    occurrences. Frequent words are looked up in place, all others by a join on a 64-bit hash.
 
     A NULL text is empty: no tokens, log_prob 0. All rows and columns are kept, repeated rows
-    too; a column that clashes with an added one is replaced.
+    too (without the text, unless ``with_text``); a column that clashes with an added one is
+    replaced.
     """
     clean = without(docs, ADDED)
     text_column = next(c for c in clean.columns if c.lower() == "text")
+    kept = [f for f in clean.schema.fields if with_text or f.name != text_column]
     schema = T.StructType([
-        *clean.schema.fields, T.StructField("n_tokens", T.LongType()),
-        T.StructField("__base", T.DoubleType()),
+        *kept, T.StructField("n_tokens", T.LongType()), T.StructField("__units", T.LongType()),
+        T.StructField("__rare", T.ArrayType(T.LongType())),
+        T.StructField("__times", T.ArrayType(T.LongType())),
     ])
-    classes, weights, common = model.classes, model.weights, model.common
+    names = [f.name for f in kept]
+    classes, weights = model.classes, model.weights
     log_counts = np.log(np.maximum(model.counts, UNSEEN))
+    hashes = np.fromiter(
+        map(xxhash.xxh3_64_intdigest, model.common), np.uint64, len(model.common))
+    order = np.argsort(hashes)
+    # One entry beyond the last, so that a search always ends on one.
+    hashes = np.append(hashes[order], np.uint64(0))
+    logs = np.append(np.array(list(model.common.values()), np.float64)[order], 0.0)
+    n_common = len(model.common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 part = whole.slice(start, 256)
-                texts = [v.as_py() for v in part.column(text_column)]
-                stream, at, owner = _stream(texts, classes)
-                n = np.bincount(owner, minlength=len(texts))
+                found = [word_hashes(v.as_py()) for v in part.column(text_column)]
+                stream, at, owner = _joined(
+                    [classes[(h % np.uint64(BUCKETS)).astype(np.int64)] for h in found])
+                n = np.bincount(owner, minlength=len(found))
                 each = log_probs(weights, stream, at) - log_counts[stream[at]]
-                total = np.bincount(owner, each, len(texts)).astype(np.float64)
-                total += [sum(common.get(w, 0.0) for w in (t or "").encode().split()) for t in texts]
+                every = np.concatenate(found)
+                spot = np.searchsorted(hashes[:n_common], every)
+                common = (spot < n_common) & (hashes[spot] == every)
+                each += np.where(common, logs[spot], 0.0)
+                total = np.bincount(owner, each, len(found)).astype(np.float64)
+                rare, times = [], []
+                for h, is_common in zip(found, np.split(common, np.cumsum(n)[:-1])):
+                    word, k = np.unique(h[~is_common], return_counts=True)
+                    rare.append(word.view(np.int64))
+                    times.append(k)
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rare])]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(n.astype(np.int64)), pa.array(total)],
+                    [*[part.column(c) for c in names], pa.array(n.astype(np.int64)),
+                     pa.array(np.round(total * LOG_UNITS).astype(np.int64)),
+                     pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rare), pa.int64())),
+                     pa.ListArray.from_arrays(ends, pa.array(np.concatenate(times), pa.int64()))],
                     names=schema.names)
 
     # Written with the number of the row, so that the rare words find their row again.
@@ -352,28 +406,28 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         clean.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()),
         "word-scores",
     )
-    rare = _rare_words(
-        scored.select(F.col("__row").alias("row"), F.col(text_column).cast("string").alias("text")),
-        common,
-    )
-    known = F.coalesce(F.col("n").cast("double"), F.lit(UNSEEN))
+    units = F.round(F.log(F.col("n").cast("double")) * LOG_UNITS).cast("bigint")
+    known = model.words.groupBy("hash").agg(F.sum("n").alias("n")).select("hash", units.alias("units"))
+    unseen = F.lit(round(float(np.log(UNSEEN)) * LOG_UNITS))
+    rare = scored.select(
+        F.col("__row").alias("row"), F.explode(F.arrays_zip("__rare", "__times")).alias("w")
+    ).select("row", F.col("w.__rare").alias("hash"), F.col("w.__times").alias("k"))
     sums = (
-        rare.join(model.words.select("word", "n"), "word", "left")
-        .groupBy(F.col("row").alias("__r"))
-        .agg(F.sum(F.round(F.log(known) * LOG_UNITS).cast("bigint") * F.col("k")).alias("__units"))
+        rare.join(known, "hash", "left").groupBy(F.col("row").alias("__r"))
+        .agg(F.sum(F.coalesce("units", unseen) * F.col("k")).alias("__more"))
     )
-    added = F.coalesce(F.col("__units"), F.lit(0)) / F.lit(float(LOG_UNITS))
+    total = (F.col("__units") + F.coalesce("__more", F.lit(0))) / F.lit(float(LOG_UNITS))
     return (
         scored.join(sums, F.col("__row") == F.col("__r"), "left")
-        .withColumn("__total", F.round(F.col("__base") + added, 4))
+        .withColumn("__total", F.round(total, 4))
         .select(
-            *clean.columns, "n_tokens", F.col("__total").alias("log_prob"),
+            *names, "n_tokens", F.col("__total").alias("log_prob"),
             F.when(F.col("n_tokens") > 0, F.round(F.col("__total") / F.col("n_tokens"), 6))
             .alias("mean_log_prob"),
         )
     )
 
 
-def pseudo_likelihood(docs: DataFrame, **parameters) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, with_text: bool = True, **parameters) -> DataFrame:
     """Train on ``docs`` and score them; see ``train`` and ``score``."""
-    return score(docs, train(docs, **parameters))
+    return score(docs, train(docs, **parameters), with_text)

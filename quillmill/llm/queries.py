@@ -142,7 +142,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_pseudo_likelihood")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudo_likelihood(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudo_likelihood(docs, with_text=False).select(
         "doc_id", "n_tokens", "log_prob", "mean_log_prob"
     )
 

@@ -334,6 +334,24 @@ def test_pseudo_likelihood_trains_on_every_position(spark):
     assert train(docs, every=1).trained == [total, total]
 
 
+def test_pseudo_likelihood_does_not_depend_on_the_file_layout(spark, monkeypatch):
+    from quillmill.llm import pseudo_likelihood as module
+
+    monkeypatch.setattr(module, "TRAINER_WORDS", 5_000)  # several trainers on a small corpus
+    rows = [(i, " ".join(f"w{(i * j + j * j) % 211}" for j in range(i + 20))) for i in range(200)]
+    rows += [(7, None), (8, ""), (9, rows[9][1]), (9, rows[9][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    models, scores = [], []
+    for dealt in (docs.coalesce(1), docs.repartition(3), docs.repartition(8, "text")):
+        models.append(train(dealt))
+        scores.append(sorted(map(tuple, score(dealt, models[-1], with_text=False).collect()), key=str))
+    assert len(scores[0]) == len(rows)
+    for model, got in zip(models[1:], scores[1:]):
+        assert all((model.weights[k] == models[0].weights[k]).all() for k in model.weights)
+        for one, other in zip(scores[0], got):  # matrix products of other heights round otherwise
+            assert one[:2] == other[:2] and abs(one[2] - other[2]) < 1e-3
+
+
 def test_warc(spark):
     rows = [(3, "u", "same"), (1, None, "same"), (2, "a b", None), (4, "u", ""), (3, "u", "same"),
             (5, "u", "x" * 300_000), (None, "u", "same")]
