@@ -28,9 +28,9 @@ STEEPEST = 40  # scores of rows and columns are held within this, so that none o
 SLICE = 4_096  # positions per numpy call
 SCALE = 1 << 24  # parameters are averaged as whole numbers of this unit
 LOG_UNITS = 1_000_000_000  # logarithms are summed by Spark as whole numbers of this unit
-HOT_SHARE, COMMON_SHARE, COMMON_BYTES = 1_000, 100_000, 64  # see ``common_words``
+HOT_SHARE, COMMON_SHARE, COMMON_BYTES, COMMON_TIMES = 1_000, 1_000_000, 64, 16  # see ``common_words``
 UNSEEN = 0.5  # occurrences of a word that the training texts do not hold
-DISTINCT = 200_000  # words that a task counts before it hands them on
+DISTINCT = 1_000_000  # words that a task counts before it hands them on
 TRAINER_WORDS, TRAINERS = 1 << 21, 4_096  # see ``train``
 HELD = 1 << 17  # words that a trainer mixes with each other
 
@@ -183,26 +183,35 @@ def part_of(keys: np.ndarray, places: np.ndarray, every: int) -> np.ndarray:
     return (mixed % np.uint64(every)).astype(np.int64)
 
 
+def packed(found: np.ndarray) -> bytes:
+    """Numbers below 65,536 in two bytes each, compressed, behind their number of bytes."""
+    raw = found.astype("<u2").tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(found: bytes) -> np.ndarray:
+    size = int.from_bytes(found[:8], "little")
+    return np.frombuffer(pa.decompress(found[8:], size, "zstd", asbytes=True), "<u2")
+
+
 def encode(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two tables from one reading of the texts, both written once.
 
     (hash, word, n): every word of all texts and its occurrences. (key, found): a digest of
-    text and doc_id, and the bucket of every word of the text, two bytes each.
+    text and doc_id, and the ``packed`` buckets of the words of the text.
     """
     identity = [F.col(c).cast("string") for c in docs.columns if c.lower() in ("text", "doc_id")]
     texts = docs.select(F.xxhash64(*identity).alias("key"), F.col("text").cast("string").alias("text"))
-    schema = "key long, found binary, hash long, word binary, n long"
+    schema = "key long, found binary, word binary, n long"
 
     def rows(keys: list, found: list, words: Counter) -> pa.RecordBatch:
         n = len(keys)
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         return pa.RecordBatch.from_arrays(
             [pa.array(keys + [None] * len(words), pa.int64()),
              pa.array(found + [None] * len(words), pa.binary()),
-             pa.array([None] * n + hashes.view(np.int64).tolist(), pa.int64()),
              pa.array([None] * n + list(words), pa.binary()),
              pa.array([None] * n + list(words.values()), pa.int64())],
-            names=["key", "found", "hash", "word", "n"])
+            names=["key", "found", "word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Counter()
@@ -213,19 +222,24 @@ def encode(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 for text in texts:
                     words.update((text or "").encode().split())
                 full = len(words) > DISTINCT
-                yield rows(part.column("key").to_pylist(),
-                           [buckets(t).astype("<u2").tobytes() for t in texts],
+                yield rows(part.column("key").to_pylist(), [packed(buckets(t)) for t in texts],
                            words if full else Counter())
                 if full:
                     words = Counter()
         if words:
             yield rows([], [], words)
 
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("word").to_pylist()
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashes.view(np.int64)), *batch.columns], names=["hash", "word", "n"])
+
     written = materialize(texts.mapInArrow(run, schema), "word-buckets")
-    words = (
-        written.where("word IS NOT NULL").groupBy("hash", "word").agg(F.sum("n").alias("n"))
-    )
-    return materialize(words, "word-counts"), written.where("found IS NOT NULL").select("key", "found")
+    words = written.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n"))
+    words = materialize(words.mapInArrow(hashed, "hash long, word binary, n long"), "word-counts")
+    return words, written.where("found IS NOT NULL").select("key", "found")
 
 
 def bucket_counts(words: DataFrame) -> np.ndarray:
@@ -240,12 +254,15 @@ def bucket_counts(words: DataFrame) -> np.ndarray:
 def common_words(words: DataFrame, total: int) -> dict[bytes, float]:
     """Word -> ln n of the words that are scored in place.
 
-    Above one ``HOT_SHARE``-th of all occurrences any word, above one ``COMMON_SHARE``-th those
-    of at most ``COMMON_BYTES``: fewer than 1,000 and 100,000 words, whatever the corpus. None of
-    the others is hot, so these may be shuffled.
+    Above one ``HOT_SHARE``-th of all occurrences any word; above one ``COMMON_SHARE``-th those
+    of at most ``COMMON_BYTES`` that occur ``COMMON_TIMES``: fewer than 1,000 and 1,000,000
+    words, whatever the corpus. None of the others is hot, so these may be shuffled.
     """
     few = F.col("n") * HOT_SHARE > total
-    short = (F.col("n") * COMMON_SHARE > total) & (F.length("word") <= COMMON_BYTES)
+    short = (
+        (F.col("n") * COMMON_SHARE > total) & (F.col("n") >= COMMON_TIMES)
+        & (F.length("word") <= COMMON_BYTES)
+    )
     rows = words.where(few | short).select("word", "n").collect()
     return {bytes(r["word"]): float(np.log(r["n"])) for r in rows}
 
@@ -334,7 +351,7 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[
     for whole in batches:
         for key, found in zip(whole.column("key").to_pylist(), whole.column("found")):
             keys.append(key)
-            docs.append(np.frombuffer(found.as_buffer(), "<u2"))
+            docs.append(unpacked(found.as_py()))
             size += len(docs[-1])
             if size >= HELD:
                 yield np.array(keys, np.int64).view(np.uint64), docs
