@@ -6,6 +6,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from fractions import Fraction
 
 import ahocorasick
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmill.llm.common import numbered, whole_text, without
+from quillmill.llm.probminhash import mix, shingles, word_hashes
 from quillmill.session import materialize
 
 ADDED = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hit_spans"]
@@ -101,17 +103,21 @@ def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[dict[str, i
     return [{"start": places[a][0], "end": places[b - 1][1]} for a, b in ranges]
 
 
-def item_blocks(benchmark: DataFrame, max_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in blocks of at most ``max_bytes`` of text (or one item), one at a time."""
+def stored_items(benchmark: DataFrame, max_bytes: int) -> DataFrame:
+    """(item, text, block): the items in blocks of at most ``max_bytes`` of text (or one item)."""
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"),
         whole_text().alias("text"),
     ).distinct().withColumn("size", F.octet_length("text").cast("bigint"))
-    placed = materialize(
+    return materialize(
         numbered(items, [], ["item", "text"], ["size"], "benchmark")
         .withColumn("block", F.expr(f"__before_size div {max_bytes}")),
         "benchmark-blocks",
     )
+
+
+def item_blocks(placed: DataFrame) -> Iterator[list[tuple[str, str]]]:
+    """The items of ``stored_items`` block by block, one at a time."""
     blocks = placed.agg(F.max("block")).first()[0]
     for block in range(0 if blocks is None else blocks + 1):
         rows = placed.where(F.col("block") == block).select("item", "text").collect()
@@ -119,12 +125,81 @@ def item_blocks(benchmark: DataFrame, max_bytes: int) -> Iterator[list[tuple[str
             yield [(r["item"], r["text"]) for r in rows]
 
 
+def window_bits(words: list[bytes], length: int, bits: int) -> np.ndarray:
+    """The four places of every window of ``length`` words in a filter of ``bits`` (a power of 2)."""
+    if not length or len(words) < length:
+        return np.zeros((0, 4), np.int64)
+    hashes = word_hashes(b" ".join(words).decode("utf-8", "surrogateescape"))
+    first = mix(shingles(hashes, length) + np.uint64(length))
+    second = mix(first)
+    low = np.uint64(0xFFFFFFFF)
+    places = (first & low, first >> np.uint64(32), second & low, second >> np.uint64(32))
+    return (np.stack(places, axis=1) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def window_filter(placed: DataFrame, size: int, most_bits: int) -> tuple[np.ndarray, list[int]]:
+    """A bitmap that holds all windows of all items, and the lengths of windows.
+
+    About 64 bits per window and ``most_bits`` at most, whatever the benchmark: a fuller bitmap
+    lets more texts through and loses none. Spark fills it in pieces of 65,536 bits.
+    """
+
+    def lengths_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.array([len(folded_words(t.as_py())) for t in batch.column("text")], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(n, size)), pa.array(np.maximum(n - size + 1, 1))],
+                names=["length", "n"])
+
+    found = (
+        placed.select("text").mapInArrow(lengths_of, "length long, n long").where("length > 0")
+        .groupBy("length").agg(F.sum("n").alias("n")).collect()
+    )
+    lengths = sorted(r["length"] for r in found)
+    wanted = 64 * sum(r["n"] for r in found)
+    bits = min(most_bits, max(1 << 16, 1 << (wanted - 1).bit_length() if wanted else 0))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text"):
+                words = folded_words(text.as_py())
+                at = np.unique(window_bits(words, min(size, len(words)), bits))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at >> 16), pa.array(at & 0xFFFF)], names=["piece", "bit"])
+
+    def piece(rows: pa.Table) -> pa.Table:
+        held = np.zeros(1 << 16, np.uint8)
+        held[rows.column("bit").to_numpy()] = 1
+        return pa.table({"piece": rows.column("piece").slice(0, 1),
+                         "held": pa.array([np.packbits(held).tobytes()], pa.binary())})
+
+    pieces = (
+        placed.select("text").mapInArrow(places, "piece long, bit long").distinct()
+        .groupBy("piece").applyInArrow(piece, "piece long, held binary")
+    )
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for r in pieces.toLocalIterator():
+        bitmap[r["piece"] * 8192:(r["piece"] + 1) * 8192] = np.frombuffer(r["held"], np.uint8)
+    return bitmap, lengths
+
+
+def may_hold(words: list[bytes], bitmap: np.ndarray, lengths: list[int]) -> bool:
+    """Whether a window of one of the ``lengths`` is in the bitmap; never a false no."""
+    for length in lengths:
+        at = window_bits(words, length, len(bitmap) * 8)
+        inside = (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+        if inside.all(axis=1).any():
+            return True
+    return False
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
     window: int = 13,
     share: float = 0.05,
     max_block_bytes: int = 512 << 10,
+    most_filter_bits: int = 1 << 30,
 ) -> DataFrame:
     """Mark the words of ``docs`` that lie in a passage of a benchmark item.
 
@@ -135,15 +210,17 @@ def decontaminate(
     text), items_sha256, ``hit_spans`` (code points of the original text) and
     ``contaminated``: n_hit > 0 and n_hit >= share * n_words.
 
-    Benchmarks beyond ``max_block_bytes`` are scanned block by block, each
-    with its own automaton, so that no task holds more than one; the hits of a document are then
+    A benchmark beyond ``max_block_bytes`` has an automaton per block, so that no task holds
+    more than one. The texts are then read once through a bitmap of all windows (at most
+    ``most_filter_bits``, broadcast), and only those that may hold one are written and
+    scanned with the automaton of each block; the hits of a document are
     united by (doc_id, text). A NULL text has no words; a NULL item id is listed as "null";
     repeated items count once. Every row is returned, repeated ones too, with all columns; a
     column that clashes with an added one is replaced.
     """
     clean = without(docs, ADDED)
     text_column = next(c for c in clean.columns if c.lower() == "text")
-    per_thousand = round(share * 1000)
+    least = Fraction(str(share))
     hit = T.ArrayType(T.StructType([T.StructField("start", T.LongType()),
                                     T.StructField("end", T.LongType())]))
     schema = T.StructType([
@@ -158,7 +235,7 @@ def decontaminate(
         listed = sorted(items)
         n_hit = sum(b - a for a, b in ranges)
         return (len(words), n_hit, len(listed), hashlib.sha256(",".join(listed).encode()).hexdigest(),
-                n_hit > 0 and 1000 * n_hit >= per_thousand * len(words), listed,
+                n_hit > 0 and n_hit * least.denominator >= least.numerator * len(words), listed,
                 original_spans(text, ranges) if ranges else [])
 
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()),
@@ -168,7 +245,8 @@ def decontaminate(
         extra = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
         return pa.RecordBatch.from_arrays([*columns, *extra], names=schema.names)
 
-    blocks = item_blocks(benchmark, max_block_bytes)
+    placed = stored_items(benchmark, max_block_bytes)
+    blocks = item_blocks(placed)
     first, second = next(blocks, []), next(blocks, None)
 
     if second is None:
@@ -192,6 +270,21 @@ def decontaminate(
         "|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), whole_text())))
     hits_schema = "__key string, ranges array<struct<start: long, end: long>>, items array<string>"
 
+    bitmap, lengths = window_filter(placed, window, most_filter_bits)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [may_hold(folded_words(v.as_py()), shared.value, lengths)
+                    for v in batch.column("__text")]
+            yield batch.filter(pa.array(held, pa.bool_()))
+
+    texts = materialize(
+        keyed.select("__key", whole_text().alias("__text"))
+        .mapInArrow(candidates, "__key string, __text string").distinct(),
+        "benchmark-candidates",
+    )
+
     def scan_block(items: list[tuple[str, str]]) -> DataFrame:
         token = uuid.uuid4().hex
 
@@ -209,15 +302,14 @@ def decontaminate(
                     [pa.array(keys, pa.string()), pa.array(ranges, arrow_hit),
                      pa.array(ids, pa.list_(pa.string()))], names=["__key", "ranges", "items"])
 
-        rows = keyed.select("__key", whole_text().alias("__text"))
-        return materialize(rows.mapInArrow(run, hits_schema), "benchmark-hits")
+        return materialize(texts.mapInArrow(run, hits_schema), "benchmark-hits")
 
     found = scan_block(first).unionByName(scan_block(second))
     for items in blocks:
         found = found.unionByName(scan_block(items))
-    # Repeated rows give equal hits: one of them is enough, and a block names each item once.
+    # Repeated rows were scanned as one.
     united = (
-        found.distinct().groupBy("__key")
+        found.groupBy("__key")
         .agg(F.flatten(F.collect_list("ranges")).alias("__ranges"),
              F.flatten(F.collect_list("items")).alias("__items"))
     )

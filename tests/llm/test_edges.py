@@ -381,3 +381,47 @@ def test_links_spread_trust_and_distrust(spark):
     assert by[2]["trust"] == int(by[1]["trust"] * 0.85) and by[5]["trust"] > 0 and by[6]["host"] == ""
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert judge_urls(empty).count() == 0
+
+
+def test_a_wide_benchmark_reads_the_documents_as_often_as_two_blocks(spark):
+    import random
+
+    draw = random.Random(3)
+    items = [(f"i{k}", " ".join(f"w{draw.randrange(400)}" for _ in range(draw.choice([1, 5, 13, 40]))))
+             for k in range(120)] + [("none", None), ("blank", " .")]
+    rows = []
+    for i in range(150):
+        words = [f"v{draw.randrange(300)}" for _ in range(60)]
+        if i % 5 == 0:
+            words[20:20] = draw.choice(items[:120])[1].split()
+        rows.append((i, " ".join(words) + " é."))
+    rows += [(150, None), (0, rows[0][1]), (151, "x")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    read = []
+    for size in (2_000, 200):
+        count = spark.sparkContext.accumulator(0)
+
+        def counted(batches, count=count):
+            for batch in batches:
+                count.add(batch.num_rows)
+                yield batch
+
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        docs = docs.mapInArrow(counted, docs.schema)
+        for bits in (1 << 30, 1 << 16):
+            got = decontaminate(docs, bench, max_block_bytes=size, most_filter_bits=bits).collect()
+            assert len(got) == len(rows)
+            for r in got:
+                assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == \
+                    brute.contamination(r["text"], items)
+        read.append(count.value)
+    assert read[0] == read[1] == 4 * len(rows)  # two bitmaps: once to choose, once to mark
+
+
+def test_small_shares_are_kept_whole(spark):
+    rows = [(1, " ".join(f"v{i}" for i in range(3_999)) + " w0"), (2, "v1 w0")]
+    bench = spark.createDataFrame([("a", "w0")], "item_id string, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for share, want in ((0.0004, [False, True]), (0.00025, [True, True])):
+        got = decontaminate(docs, bench, share=share).orderBy("doc_id").collect()
+        assert [r["contaminated"] for r in got] == want
