@@ -23,6 +23,22 @@ def test_salted_join_equals_a_plain_join(spark, how):
     )
 
 
+@pytest.mark.parametrize("side", ["left", "right"])
+def test_salted_join_leaves_a_column_salts_alone(spark, side):
+    left = spark.range(300).select("id", F.lit(7).alias("k"))
+    right = spark.range(7, 8).select(F.col("id").alias("k"))
+    if side == "left":
+        left = left.withColumn("salts", F.col("id") % 3)
+    else:
+        right = right.withColumn("salts", F.lit(2).cast("long"))
+    salted = scale.salted_join(left, right, ["k"], ["id"], max_keys=10, min_rows=1)
+    assert "_salts" in salted._jdf.queryExecution().analyzed().toString()  # k is hot
+    plain = left.join(right, ["k"])
+    assert sorted(map(tuple, salted.select(plain.columns).collect())) == sorted(
+        map(tuple, plain.collect())
+    )
+
+
 def test_heavy_keys_are_few_and_salted_by_share(spark):
     df = spark.range(1000).select(
         F.when(F.col("id") < 400, F.lit(-1)).otherwise(F.col("id")).alias("k")
