@@ -64,11 +64,20 @@ def head_pairs(
     return materialize(pairs.repartition(tasks, "member"), "pairs")
 
 
-def with_payload(pairs: DataFrame, payload: DataFrame, value: str) -> DataFrame:
-    """Attach ``value`` of both rows as ``a`` (head) and ``b`` (member).
+def with_payload(
+    pairs: DataFrame, payload: DataFrame, value: str, members: DataFrame | None = None
+) -> DataFrame:
+    """Attach ``value`` of both rows as ``a`` (head) and ``b`` (member, of ``members`` if given).
 
-    A head may have a third of all rows as members: its payload is repeated per salt.
+    A head may have a third of all rows as members: its payload is repeated per salt. The
+    ids are written first, so that of few pairs they are broadcast and the rest of the
+    payload is not shuffled.
     """
-    members = payload.select(F.col("id").alias("member"), F.col(value).alias("b"))
-    leaders = payload.select(F.col("id").alias("head"), F.col(value).alias("a"))
-    return salted_join(pairs, leaders, ["head"], ["member"]).join(members, "member")
+    def of(rows: DataFrame, name: str, as_: str) -> DataFrame:
+        ids = materialize(pairs.select(F.col(name).alias("id")).distinct(), f"{name}-ids")
+        return rows.join(ids, "id", "left_semi").select(
+            F.col("id").alias(name), F.col(value).alias(as_))
+
+    leaders = of(payload, "head", "a")
+    return salted_join(pairs, leaders, ["head"], ["member"]).join(
+        of(payload if members is None else members, "member", "b"), "member")

@@ -35,10 +35,13 @@ from quillmill.operators.scale import null_safe_key, salted_join
 from quillmill.session import materialize
 
 BLOCK = ["block"]
-HEADS = 64
+#: Heads of a first round: each near-copy of a head moves that head's word set once.
+HEADS = 2
 HEADS_GROWTH = 4
 PRIME = 4_294_967_311  # smallest prime above 2^32
 CELLS = 1 << 20
+#: Words per long of a sketch, before its length is rounded up to a power of two.
+SKETCHED = 64
 
 
 # --- word sets ----------------------------------------------------------------------
@@ -217,6 +220,74 @@ def word_sets(sets: DataFrame) -> DataFrame:
     return sets.select("id", F.struct("stratum", "tokens").alias("value"))
 
 
+def sketches(payload: DataFrame) -> DataFrame:
+    """(id, words, sketch): the parity of the words that fall on each bit, of (id, value).
+
+    Two sketches differ in no more bits than the sets do in words. Lengths are powers of two,
+    about a bit per word or two, and a longer sketch folds into one of half its length.
+    """
+    schema = T.StructType([
+        payload.schema["id"], T.StructField("words", T.IntegerType()),
+        T.StructField("sketch", T.ArrayType(T.LongType())),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 1000):
+                batch = whole.slice(begin, 1000)
+                hashes = batch.column("hashes").flatten().to_numpy().view(np.uint64)
+                sizes = pc.fill_null(pc.list_value_length(batch.column("hashes")), 0).to_numpy()
+                longs = 2 ** np.ceil(np.log2(np.maximum(sizes / SKETCHED, 1))).astype(np.int64)
+                ends = np.cumsum(longs)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                at = (hashes >> np.uint64(6)).astype(np.int64) & (longs[row] - 1)
+                bits = np.zeros(longs.sum(), np.uint64)
+                np.bitwise_xor.at(
+                    bits, (ends - longs)[row] + at, np.uint64(1) << (hashes & np.uint64(63)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id"), pa.array(sizes, pa.int32()),
+                     pa.ListArray.from_arrays(
+                         pa.array(np.r_[0, ends], pa.int32()), pa.array(bits.view(np.int64)))],
+                    names=schema.names)
+
+    hashed = payload.select("id", F.transform("value.tokens", lambda t: F.xxhash64(t)).alias("hashes"))
+    return materialize(hashed.mapInArrow(run, schema), "sketches")
+
+
+def _may_be_similar(threshold: float) -> Column:
+    """False only where the sketches show that the sets differ in too many words."""
+    length = F.least(F.size("a_sketch"), F.size("b_sketch"))
+
+    def folded(sketch: str) -> Column:
+        halves = F.zip_with(
+            F.slice(sketch, F.lit(1), length), F.slice(sketch, length + 1, length),
+            lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(sketch) > length, halves).otherwise(F.col(sketch))
+
+    differ = F.aggregate(
+        F.zip_with(folded("a_sketch"), folded("b_sketch"), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.lit(0), lambda total, x: total + x)
+    most = (F.col("a_words") + F.col("b_words")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    far = F.greatest(F.size("a_sketch"), F.size("b_sketch")) > 2 * length
+    return far | (differ <= most)
+
+
+def screened(pairs: DataFrame, heads: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """The (head, member) that may be similar by their ``sketches``; no similar pair is lost.
+
+    Blocks also hold pairs that share a few frequent words; those go before a word set moves.
+    """
+    a, b = (
+        side.select(F.col("id").alias(name), F.col("words").alias(f"{short}_words"),
+                    F.col("sketch").alias(f"{short}_sketch"))
+        for side, name, short in ((heads, "head", "a"), (members, "member", "b")))
+    both = salted_join(pairs, a, ["head"], ["member"]).join(b, "member")
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(
+        both.where(_may_be_similar(threshold)).select("head", "member").repartition(tasks, "member"),
+        "screened")
+
+
 def _verified(pairs: DataFrame, payload: DataFrame, threshold: float) -> DataFrame:
     """(head, member, similarity) of the pairs that are similar; blocks are only hashes."""
     return _similar(blocking.with_payload(pairs, payload, "value"), threshold)
@@ -242,10 +313,8 @@ def drop_similar(
     The smallest undecided id is always decided, so the loop ends.
     """
     active = materialize(blocking.without_singletons(entries, BLOCK), "blocks")
-    involved = active.select("id").distinct()
-    payload = materialize(
-        word_sets(sets).join(involved, "id", "left_semi"), "block-sets"
-    )
+    payload = word_sets(sets)
+    drawn = sketches(payload)
     dropped: list[DataFrame] = []
     while not active.isEmpty():
         leaders = blocking.heads(active, BLOCK, per_block)
@@ -253,7 +322,7 @@ def drop_similar(
             active, leaders, BLOCK, (F.col("h_id") < F.col("id")) & _size_fits(threshold)
         )
         similar = materialize(
-            _verified(pairs, payload, threshold)
+            _verified(screened(pairs, drawn, drawn, threshold), payload, threshold)
             .select("head", "member"),
             "similar",
         )
@@ -359,14 +428,14 @@ def links_to_kept(
     standing = materialize(
         kept_entries.join(active.select("block").distinct(), BLOCK, "left_semi")
         .select("id", "size", "block"), "link-heads")
-    kept_value = kept_payload.select(F.col("id").alias("head"), F.col("value").alias("a"))
-    value = payload.select(F.col("id").alias("member"), F.col("value").alias("b"))
+    sketched, kept_sketched = sketches(payload), sketches(kept_payload)
     order = (F.col("h_id") < F.col("id")) if earlier else F.lit(True)
     found: list[DataFrame] = []
     while not standing.isEmpty():
         leaders = materialize(blocking.heads(standing, BLOCK, per_block), "leaders")
         pairs = blocking.head_pairs(active, leaders, BLOCK, order & _size_fits(threshold))
-        both = salted_join(pairs, kept_value, ["head"], ["member"]).join(value, "member")
+        both = blocking.with_payload(
+            screened(pairs, kept_sketched, sketched, threshold), kept_payload, "value", payload)
         found.append(materialize(_similar(both, threshold), "linked"))
         best = _earliest(found)
         turn = leaders.groupBy("block").agg(F.max("id").alias("_upto"))
@@ -397,7 +466,7 @@ def _earliest(found: list[DataFrame]) -> DataFrame:
 
 def similar_components(
     df: DataFrame, id_col: str, stratum: str, text_col: str,
-    threshold: float = fixed.DEDUP_THRESHOLD, per_block: int = 8,
+    threshold: float = fixed.DEDUP_THRESHOLD, per_block: int = HEADS,
 ) -> DataFrame:
     """(id, component): rows linked by a chain of near-duplicates; named by the smallest id.
 
@@ -414,14 +483,14 @@ def similar_components(
     active = materialize(
         blocking.without_singletons(part_blocks(sets, threshold), BLOCK)
         .select("id", "size", "block", F.col("id").alias("root")), "blocks")
-    payload = materialize(
-        word_sets(sets).join(active.select("id").distinct(), "id", "left_semi"), "block-sets")
+    payload = word_sets(sets)
+    drawn = sketches(payload)
     roots = materialize(sets.select("id", F.col("id").alias("root")), "roots")
     while not active.isEmpty():
         leaders = materialize(blocking.heads(active, BLOCK, per_block), "heads")
         pairs = blocking.head_pairs(
             active, leaders, BLOCK, (F.col("h_root") != F.col("root")) & _size_fits(threshold))
-        near = _verified(pairs, payload, threshold)
+        near = _verified(screened(pairs, drawn, drawn, threshold), payload, threshold)
         links = materialize(
             near.join(roots.select(F.col("id").alias("head"), F.col("root").alias("a")), "head")
             .join(roots.select(F.col("id").alias("member"), F.col("root").alias("b")), "member")
@@ -477,10 +546,7 @@ def duplicate_links(
     entries = materialize(
         blocking.without_singletons(part_blocks(sets, threshold), BLOCK), "blocks"
     )
-    payload = materialize(
-        word_sets(sets).join(entries.select("id").distinct(), "id", "left_semi"),
-        "block-sets",
-    )
+    payload = word_sets(sets)
     rounds = drop_similar(entries, sets, threshold, HEADS)
     lost = reduce(DataFrame.unionByName, rounds) if rounds else payload.select("id").limit(0)
     near = links_to_kept(

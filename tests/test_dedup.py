@@ -161,3 +161,43 @@ def test_report_counts_rows(spark):
     got = {(r.stratum, r.total): (r.rows, r.kept, r.removed)
            for r in dedup.dedup_report(flags, "stratum").collect()}
     assert got == {("a", 0): (2, 1, 1), ("b", 0): (1, 1, 0), (None, 1): (3, 2, 1)}
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.6, 0.85])
+def test_the_screen_loses_no_similar_pair(spark, threshold):
+    rng = random.Random(5)
+    rows = random_rows(5)
+    for k in range(12):  # long sets, whose sketches differ in length
+        base = words(f"l{k}_", rng.choice([60, 64, 66, 120, 130, 250, 260]))
+        rows += [(1000 + 9 * k + j, "long", mutated(rng, base + words(f"x{k}{j}_", rng.randrange(9)), 3 * j))
+                 for j in range(9)]
+    df = spark.createDataFrame(rows, SCHEMA).where(F.trim("text") != "")
+    payload = dedup.word_sets(dedup.token_sets(df, "id", "stratum", "text"))
+    text = {i: (s, set(t.split())) for i, s, t in rows if t.strip()}
+    every = [(i, j) for i in text for j in text if i < j and text[i][0] == text[j][0]]
+    drawn = dedup.sketches(payload)
+    left = {tuple(r) for r in dedup.screened(
+        spark.createDataFrame(every, "head bigint, member bigint"), drawn, drawn, threshold).collect()}
+    near = {(i, j) for i, j in every
+            if len(text[i][1] & text[j][1]) / len(text[i][1] | text[j][1]) >= threshold}
+    assert near <= left and near
+    if threshold == 0.85:
+        assert len(left) < 0.5 * len(every)
+
+
+def test_unlike_rows_of_a_block_do_not_move_word_sets(spark, monkeypatch):
+    """Rows that share one frequent word per part meet in blocks; few of them are verified."""
+    verified = []
+    inner = dedup._verified
+
+    def counting(pairs, payload, threshold):
+        verified.append(pairs.count())
+        return inner(pairs, payload, threshold)
+
+    monkeypatch.setattr(dedup, "_verified", counting)
+    n = 60
+    rows = [(i, "a", " ".join(words("shared", 20) + words(f"own{i}_", 40))) for i in range(n)]
+    one_block = lambda sets: sets.select(
+        "id", F.size("tokens").alias("size"), F.lit(7).cast("long").alias("block"))
+    assert kept(spark, rows, blocks=one_block) == list(range(n))
+    assert sum(verified) < n  # all pairs: 1,770
