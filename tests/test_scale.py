@@ -186,6 +186,25 @@ def test_pivot_cells_lose_no_link(spark, monkeypatch, pivots):
     assert clusters(spark, points, 1.0, min_size=2) == [r if sizes[r] > 1 else -1 for r in want]
 
 
+@pytest.mark.parametrize("eps", [0.9, 1.15, 1.3])  # few links, one large component, one in all
+def test_points_that_cells_do_not_part_are_compared_in_tiles(spark, monkeypatch, eps):
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(400, 24))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    vectors = points.astype(np.float32).astype(float)
+    near = np.sqrt(((vectors[:, None] - vectors[None]) ** 2).sum(2)) <= eps
+    want = np.arange(400)
+    while True:
+        lower = np.array([want[near[i]].min() for i in range(400)])
+        if (lower == want).all():
+            break
+        want = lower
+    sizes = np.bincount(want, minlength=400)
+    monkeypatch.setattr(clustering, "TILE", 60)
+    monkeypatch.setattr(clustering, "_links", None)  # cells would copy every point many times
+    assert clusters(spark, points, eps, min_size=2) == [r if sizes[r] > 1 else -1 for r in want]
+
+
 def test_rows_without_a_finite_vector_are_noise(spark):
     df = spark.createDataFrame(
         [(1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 2.0])],
