@@ -19,12 +19,9 @@ MAX_HEADS = 512
 
 
 def without_singletons(entries: DataFrame, block: list[str]) -> DataFrame:
-    """Entries of blocks that still hold two or more rows."""
-    live = (
-        entries.groupBy(*block).agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > 1).drop("_rows")
-    )
-    return entries.join(live, block, "left_semi")
+    """Entries of blocks that still hold two or more rows; each entry is shuffled once."""
+    rows = F.count(F.lit(1)).over(Window.partitionBy(*block))
+    return entries.withColumn("_rows", rows).where(F.col("_rows") > 1).drop("_rows")
 
 
 def heads(entries: DataFrame, block: list[str], per_block: int) -> DataFrame:

@@ -38,6 +38,8 @@ BLOCK = ["block"]
 #: Heads of a first round: each near-copy of a head moves that head's word set once.
 HEADS = 2
 HEADS_GROWTH = 4
+#: Differing words from which on the slack has room for the parts of one word.
+MANY = 40
 PRIME = 4_294_967_311  # smallest prime above 2^32
 CELLS = 1 << 20
 #: Words per long of a sketch, before its length is rounded up to a power of two.
@@ -87,47 +89,76 @@ def part_blocks(sets: DataFrame, threshold: float) -> DataFrame:
     (where its smaller partner may be). H differing words, and ``slack`` parts without
     words, leave an equal part with words among H + 1 + slack. A row with more empty
     parts than that also blocks on its first words in hash order, as does any partner
-    that could share only empty parts with it; similar sets share one of those. The groups
-    end with the largest set, which is looked up first: ``sets`` should be stored.
+    that could share only empty parts with it; similar sets share one of those. From ``MANY``
+    differing words on, a part of one word counts as empty: if the word is frequent, unlike
+    rows meet in its block, and more the more rows there are. The groups
+    end with the largest set, which is looked up first: ``sets`` should be stored. Blocks
+    follow from a row alone, so nothing is shuffled for them.
     """
     largest = sets.agg(F.max(F.size("tokens"))).first()[0]
     groups = size_groups(threshold, max(1, largest or 1))
-    lows = F.array(*[F.lit(low) for low, _ in groups])
-    differ = F.array(*[F.lit(most) for _, most in groups])
-    own = F.size(F.filter(lows, lambda low: low <= F.col("size")))
-    rows = (
-        sets.select(
-            "id",
-            F.xxhash64("stratum").alias("scope"),
-            F.size("tokens").alias("size"),
-            F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"),
-        )
-        .where(F.col("size") > 0)
-        .withColumn("group", F.explode(F.array(own, own - 1)))
-        .where(F.col("group") >= 1)
-        .withColumn("most", F.get(differ, F.col("group") - 1))
-        .where(F.col("most") > 0)
-        .withColumn("slack", F.lit(1) + F.floor(F.col("most") / 10).cast("int"))
-        .withColumn("parts", F.col("most") + 1 + F.col("slack"))
-    )
-    key = ["id", "size", "scope", "group"]
-    # A sum per part: numbers only, combined before the shuffle, at most ``parts`` per row.
-    by_part = (
-        rows.select(*key, "parts", F.explode("hashes").alias("hash"))
-        .groupBy(*key, F.pmod("hash", F.col("parts")).alias("part"))
-        .agg(F.bit_xor("hash").alias("content"))
-        .select("id", "size", F.xxhash64("scope", "group", "part", "content").alias("block"))
-    )
-    filled = F.size(F.array_distinct(
-        F.transform("hashes", lambda h: F.pmod(h, F.col("parts")))
-    ))
-    prefix_len = F.col("size") - F.ceil(F.col("size") * threshold - 1e-6).cast("int") + 1
-    by_first = (
-        rows.where(F.col("parts") - filled > F.col("slack"))
-        .select(*key, F.explode(F.slice(F.sort_array("hashes"), 1, prefix_len)).alias("hash"))
-        .select("id", "size", F.xxhash64("scope", "group", F.lit("first"), "hash").alias("block"))
-    )
-    return by_part.unionByName(by_first)
+    lows = np.array([low for low, _ in groups])
+    differ = np.array([most for _, most in groups])
+    schema = T.StructType([
+        sets.schema["id"], T.StructField("size", T.IntegerType()),
+        T.StructField("block", T.LongType()),
+    ])
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        """64 bits that depend on all bits of x, one to one."""
+        x = x + np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    def of_group(hashes: np.ndarray, sizes: np.ndarray, scopes: np.ndarray,
+                 group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, block) of the rows in their size group ``group``, if there is such a group."""
+        most = np.where(group >= 1, differ[np.maximum(group, 1) - 1], 0)
+        parts = np.where(most > 0, most + 2 + most // 10, 0)
+        ends = np.cumsum(parts)
+        used = parts > 0
+        row = np.repeat(np.arange(len(sizes)), np.where(used, sizes, 0))
+        mine = hashes[np.repeat(used, sizes)]
+        at = (ends - parts)[row] + mine % parts[row]
+        content = np.zeros(parts.sum(), np.int64)
+        np.bitwise_xor.at(content, at, mine)
+        whose = np.repeat(np.arange(len(sizes)), parts)
+        full = np.bincount(at, minlength=len(content)) >= np.where(most >= MANY, 2, 1)[whose]
+        filled = np.flatnonzero(full)
+        owner = whose[filled]
+        base = mixed(mixed(scopes) + group.astype(np.uint64))
+        by_part = mixed(mixed(base[owner] + (filled - (ends - parts)[owner] + 1).astype(np.uint64))
+                        ^ content[filled].view(np.uint64))
+        empty = parts - np.bincount(owner, minlength=len(sizes))
+        short = used & (empty > 1 + most // 10)
+        which = np.repeat(short, sizes)
+        row, mine = np.repeat(np.arange(len(sizes)), sizes)[which], hashes[which]
+        order = np.lexsort((mine, row))
+        row, mine = row[order], mine[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        first = rank < (sizes - np.ceil(sizes * threshold - 1e-6).astype(np.int64) + 1)[row]
+        by_first = mixed(mixed(base[row[first]]) ^ mine[first].view(np.uint64))
+        return np.r_[owner, row[first]], np.r_[by_part, by_first]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 1000):
+                batch = whole.slice(begin, 1000)
+                hashes = batch.column("hashes").flatten().to_numpy()
+                sizes = pc.list_value_length(batch.column("hashes")).to_numpy().astype(np.int64)
+                scopes = batch.column("scope").to_numpy().view(np.uint64)
+                own = np.searchsorted(lows, sizes, "right")
+                for group in (own, own - 1):
+                    row, block = of_group(hashes, sizes, scopes, group)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("id").take(pa.array(row)), pa.array(sizes[row], pa.int32()),
+                         pa.array(block.view(np.int64))], names=schema.names)
+
+    hashed = sets.where(F.size("tokens") > 0).select(
+        "id", F.xxhash64("stratum").alias("scope"),
+        F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"))
+    return hashed.mapInArrow(run, schema)
 
 
 # --- blocks: MinHash ------------------------------------------------------------------

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmill.operators import blocking, dedup
+from quillmill.session import materialize
 
 SCHEMA = "id bigint, stratum string, text string"
 
@@ -201,3 +202,39 @@ def test_unlike_rows_of_a_block_do_not_move_word_sets(spark, monkeypatch):
         "id", F.size("tokens").alias("size"), F.lit(7).cast("long").alias("block"))
     assert kept(spark, rows, blocks=one_block) == list(range(n))
     assert sum(verified) < n  # all pairs: 1,770
+
+
+def test_blocks_are_made_without_a_shuffle_and_shuffled_once(spark):
+    df = spark.createDataFrame(random_rows(3), SCHEMA)
+    sets = materialize(dedup.token_sets(df, "id", "stratum", "text"), "sets")
+    entries = dedup.part_blocks(sets, 0.85)
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(entries)
+    assert plan(blocking.without_singletons(entries, ["block"])).count("Exchange") == 1
+
+
+def test_long_unlike_rows_with_frequent_words_seldom_meet(spark):
+    rng = random.Random(8)
+    rows = [(i, "a", " ".join(words("the", 60) + [f"u{i}_{k}" for k in range(rng.randrange(240, 280))]))
+            for i in range(60)]
+    rows.append((60, "a", " ".join(rows[0][2].split()[:-20] + words("new", 20))))
+    sets = materialize(
+        dedup.token_sets(spark.createDataFrame(rows, SCHEMA), "id", "stratum", "text"), "sets")
+    met = {}
+    for r in dedup.part_blocks(sets, 0.85).collect():
+        met.setdefault(r.block, set()).add(r.id)
+    pairs = {(i, j) for ids in met.values() for i in ids for j in ids if i < j}
+    assert (0, 60) in pairs
+    assert len(pairs) < 60 * 59 / 8  # by parts of one word, most pairs meet
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.85])
+def test_long_similar_rows_meet_at_the_threshold(spark, threshold):
+    rng = random.Random(4)
+    rows, most = [], (1 - threshold) / (1 + threshold)
+    for k in range(40):
+        n = rng.randrange(220, 600)
+        base = words(f"k{k}_", n)
+        out = int(n * most)  # so many words replaced: similarity just above the threshold
+        rows += [(2 * k, "a", " ".join(base)), (2 * k + 1, "a", " ".join(base[out:] + words(f"r{k}_", out)))]
+    assert kept(spark, rows, threshold) == greedy(rows, threshold) == list(range(0, 80, 2))
