@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import fixed
 from quillmill.functions.text import (
-    first_words, mentions, prefix, sentences, text_or_empty,
+    first_words, mentions, once, prefix, sentences, text_or_empty,
 )
 
 TAG = "model_tag"
@@ -188,7 +188,8 @@ def bin_index(confidence: Column, n_bins: int, close_last: bool = False) -> Colu
 
 def _bin_means(rows: DataFrame, n_bins: int, close_last: bool) -> DataFrame:
     return (
-        rows.withColumn("bin", bin_index(F.col("confidence"), n_bins, close_last))
+        rows.select(TAG, "accurate", once(F.col("confidence")).alias("confidence"))
+        .withColumn("bin", bin_index(F.col("confidence"), n_bins, close_last))
         .where(F.col("bin").isNotNull())
         .groupBy(TAG, "bin")
         .agg(
