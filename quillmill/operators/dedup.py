@@ -38,8 +38,6 @@ BLOCK = ["block"]
 #: Heads of a first round: each near-copy of a head moves that head's word set once.
 HEADS = 2
 HEADS_GROWTH = 4
-#: Differing words from which on the slack has room for the parts of one word.
-MANY = 40
 PRIME = 4_294_967_311  # smallest prime above 2^32
 CELLS = 1 << 20
 #: Words per long of a sketch, before its length is rounded up to a power of two.
@@ -86,14 +84,15 @@ def part_blocks(sets: DataFrame, threshold: float) -> DataFrame:
     """(id, size, block): blocks in which every similar pair meets.
 
     A row is cut into parts once for its own size group and once for the group below
-    (where its smaller partner may be). H differing words, and ``slack`` parts without
-    words, leave an equal part with words among H + 1 + slack. A row with more empty
-    parts than that also blocks on its first words in hash order, as does any partner
-    that could share only empty parts with it; similar sets share one of those. From ``MANY``
-    differing words on, a part of one word counts as empty: if the word is frequent, unlike
-    rows meet in its block, and more the more rows there are. The groups
-    end with the largest set, which is looked up first: ``sets`` should be stored. Blocks
-    follow from a row alone, so nothing is shuffled for them.
+    (where its smaller partner may be). H differing words leave slack + 1 equal parts among
+    H + 1 + slack, and a row drops its ``slack`` weakest parts: those of the fewest characters,
+    ties by content. That order is the same for every row, so the strongest part that two rows
+    share is dropped by neither. Weak parts hold few and short words, which are frequent:
+    unlike rows would meet in their blocks, and more the more rows there are. A row
+    with more empty parts than it drops also blocks on its first words in hash order, as does
+    any partner that could share only empty parts with it; similar sets share one of those.
+    The groups end with the largest set, which is looked up first: ``sets`` should be stored.
+    Blocks follow from a row alone, so nothing is shuffled for them.
     """
     largest = sets.agg(F.max(F.size("tokens"))).first()[0]
     groups = size_groups(threshold, max(1, largest or 1))
@@ -111,11 +110,12 @@ def part_blocks(sets: DataFrame, threshold: float) -> DataFrame:
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
 
-    def of_group(hashes: np.ndarray, sizes: np.ndarray, scopes: np.ndarray,
+    def of_group(hashes: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, scopes: np.ndarray,
                  group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, block) of the rows in their size group ``group``, if there is such a group."""
         most = np.where(group >= 1, differ[np.maximum(group, 1) - 1], 0)
-        parts = np.where(most > 0, most + 2 + most // 10, 0)
+        slack = 1 + most // 10
+        parts = np.where(most > 0, most + 1 + slack, 0)
         ends = np.cumsum(parts)
         used = parts > 0
         row = np.repeat(np.arange(len(sizes)), np.where(used, sizes, 0))
@@ -124,14 +124,18 @@ def part_blocks(sets: DataFrame, threshold: float) -> DataFrame:
         content = np.zeros(parts.sum(), np.int64)
         np.bitwise_xor.at(content, at, mine)
         whose = np.repeat(np.arange(len(sizes)), parts)
-        full = np.bincount(at, minlength=len(content)) >= np.where(most >= MANY, 2, 1)[whose]
-        filled = np.flatnonzero(full)
+        words = np.bincount(at, minlength=len(content))
+        strength = np.bincount(at, lengths[np.repeat(used, sizes)], len(content))
+        place = np.arange(len(content)) - (ends - parts)[whose]
+        order = np.lexsort((place, content, strength, words > 0, whose))
+        stays = np.empty(len(content), bool)
+        stays[order] = place >= slack[whose]  # rows keep their places in that order
+        filled = np.flatnonzero(stays & (words > 0))
         owner = whose[filled]
         base = mixed(mixed(scopes) + group.astype(np.uint64))
-        by_part = mixed(mixed(base[owner] + (filled - (ends - parts)[owner] + 1).astype(np.uint64))
+        by_part = mixed(mixed(base[owner] + (place[filled] + 1).astype(np.uint64))
                         ^ content[filled].view(np.uint64))
-        empty = parts - np.bincount(owner, minlength=len(sizes))
-        short = used & (empty > 1 + most // 10)
+        short = used & (np.bincount(owner, minlength=len(sizes)) < parts - slack)
         which = np.repeat(short, sizes)
         row, mine = np.repeat(np.arange(len(sizes)), sizes)[which], hashes[which]
         order = np.lexsort((mine, row))
@@ -146,18 +150,20 @@ def part_blocks(sets: DataFrame, threshold: float) -> DataFrame:
             for begin in range(0, whole.num_rows, 1000):
                 batch = whole.slice(begin, 1000)
                 hashes = batch.column("hashes").flatten().to_numpy()
+                lengths = batch.column("lengths").flatten().to_numpy()
                 sizes = pc.list_value_length(batch.column("hashes")).to_numpy().astype(np.int64)
                 scopes = batch.column("scope").to_numpy().view(np.uint64)
                 own = np.searchsorted(lows, sizes, "right")
                 for group in (own, own - 1):
-                    row, block = of_group(hashes, sizes, scopes, group)
+                    row, block = of_group(hashes, lengths, sizes, scopes, group)
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("id").take(pa.array(row)), pa.array(sizes[row], pa.int32()),
                          pa.array(block.view(np.int64))], names=schema.names)
 
     hashed = sets.where(F.size("tokens") > 0).select(
         "id", F.xxhash64("stratum").alias("scope"),
-        F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"))
+        F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"),
+        F.transform("tokens", lambda t: F.length(t)).alias("lengths"))
     return hashed.mapInArrow(run, schema)
 
 

@@ -228,6 +228,21 @@ def test_long_unlike_rows_with_frequent_words_seldom_meet(spark):
     assert len(pairs) < 110  # with the blocks of one-word parts, about 160
 
 
+def test_short_unlike_rows_with_frequent_words_seldom_meet(spark):
+    rng = random.Random(9)
+    rows = [(i, "a", " ".join(words("of", 30) + [f"unusual{i}_{k}" for k in range(rng.randrange(70, 80))]))
+            for i in range(60)]
+    rows.append((60, "a", " ".join(rows[0][2].split()[:-7] + words("newer", 7))))
+    sets = materialize(
+        dedup.token_sets(spark.createDataFrame(rows, SCHEMA), "id", "stratum", "text"), "sets")
+    met = {}
+    for r in dedup.part_blocks(sets, 0.85).collect():
+        met.setdefault(r.block, set()).add(r.id)
+    pairs = {(i, j) for ids in met.values() for i in ids for j in ids if i < j}
+    assert (0, 60) in pairs
+    assert len(pairs) < 30  # if the weakest parts stay, about 100
+
+
 @pytest.mark.parametrize("threshold", [0.6, 0.85])
 def test_long_similar_rows_meet_at_the_threshold(spark, threshold):
     rng = random.Random(4)
