@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,6 +17,7 @@ from quillmill.llm.probminhash import mix, word_hashes
 from quillmill.session import materialize
 
 SIDE = 32  # a class is a pair (row, column) of a SIDE x SIDE table
+SIDE_BITS = 5
 CLASSES = SIDE * SIDE
 OWN = 768  # classes that hold a single bucket of words
 BUCKETS = 1 << 16  # so that a bucket is two bytes
@@ -31,6 +31,7 @@ LOG_UNITS = 1_000_000_000  # logarithms are summed by Spark as whole numbers of
 HOT_SHARE, COMMON_SHARE, COMMON_BYTES, COMMON_TIMES = 1_000, 1_000_000, 64, 16  # see ``common_words``
 UNSEEN = 0.5  # occurrences of a word that the training texts do not hold
 DISTINCT = 1_000_000  # words that a task counts before it hands them on
+KNOWN = 1 << 18  # words that a task keeps at hand when it scores
 TRAINER_WORDS, TRAINERS = 1 << 21, 4_096  # see ``train``
 HELD = 1 << 17  # words that a trainer mixes with each other
 
@@ -107,14 +108,20 @@ def _forward(w: dict[str, np.ndarray], stream: np.ndarray, at: np.ndarray) -> tu
 
     Both sides are seen, the word itself is masked: it is in no input of its own prediction.
     """
-    around = stream[at[:, None] + np.array(CONTEXT)]
-    inputs = w["embed"][around].reshape(len(at), -1)
-    hidden = np.tanh(inputs @ w["hidden"] + w["bias"])
-    row, column = np.divmod(stream[at], SIDE)
-    rows = hidden @ w["row"] + w["row_bias"]
-    columns = hidden @ w["column"] + w["column_bias"][row]
+    around = np.take(stream, at[:, None] + np.array(CONTEXT))
+    inputs = np.take(w["embed"], around, axis=0).reshape(len(at), -1)
+    hidden = inputs @ w["hidden"]
+    hidden += w["bias"]
+    np.tanh(hidden, out=hidden)
+    here = np.take(stream, at)
+    row, column = here >> SIDE_BITS, here & (SIDE - 1)
+    rows = hidden @ w["row"]
+    rows += w["row_bias"]
+    columns = hidden @ w["column"]
+    columns += np.take(w["column_bias"], row, axis=0)
     for x in (rows, columns):
-        np.clip(x, -STEEPEST, STEEPEST, out=x)
+        np.maximum(x, np.float32(-STEEPEST), out=x)
+        np.minimum(x, np.float32(STEEPEST), out=x)
     return around, inputs, hidden, row, column, rows, columns
 
 
@@ -140,7 +147,7 @@ def _sum_by(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(at, kind="stable")
     sorted_at = at[order]
     first = np.flatnonzero(np.concatenate([[True], sorted_at[1:] != sorted_at[:-1]]))
-    return sorted_at[first], np.add.reduceat(rows[order], first, axis=0)
+    return sorted_at[first], np.add.reduceat(np.take(rows, order, axis=0), first, axis=0)
 
 
 def train_step(
@@ -158,7 +165,7 @@ def train_step(
         slope /= np.float32(len(at))
         slopes.append(slope)
     d_rows, d_columns = slopes
-    one_hot = np.eye(SIDE, dtype=np.float32)[row]
+    one_hot = np.take(np.eye(SIDE, dtype=np.float32), row, axis=0)
     d_hidden = (d_rows @ w["row"].T + d_columns @ w["column"].T) * (1 - hidden * hidden)
     everywhere = slice(None)
     grads = {
@@ -194,6 +201,47 @@ def unpacked(found: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(found[8:], size, "zstd", asbytes=True), "<u2")
 
 
+class _Numbers(dict):
+    """Word -> its number, in order of appearance: one look-up gives its hash and counts it."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.hash_of = np.zeros(1 << 12, np.uint64)
+        self.times = np.zeros(1 << 12, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.held = 0
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        if number == len(self.hash_of):
+            self.hash_of = np.concatenate([self.hash_of, np.zeros_like(self.hash_of)])
+        self.hash_of[number] = xxhash.xxh3_64_intdigest(word)
+        return number
+
+    def of(self, text: str | None) -> np.ndarray:
+        words = (text or "").encode().split()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def buckets(self, text: str | None) -> np.ndarray:
+        """As the function ``buckets``; the words wait to be counted."""
+        numbers = self.of(text)
+        self.waiting.append(numbers)
+        self.held += len(numbers)
+        return np.take(self.hash_of, numbers) % np.uint64(BUCKETS)
+
+    def count(self, most: int = 1 << 20) -> None:
+        """Add the words seen since the last time, if there are ``most`` or more."""
+        if self.held >= most:
+            seen = np.bincount(np.concatenate(self.waiting), minlength=len(self.times))
+            seen[:len(self.times)] += self.times
+            self.times, self.waiting, self.held = seen, [], 0
+
+    def total(self) -> dict[bytes, int]:
+        """Word -> occurrences."""
+        self.count(0)
+        return dict(zip(self, self.times[:len(self)].tolist()))
+
+
 def encode(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two tables from one reading of the texts, both written once.
 
@@ -204,7 +252,7 @@ def encode(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.xxhash64(*identity).alias("key"), F.col("text").cast("string").alias("text"))
     schema = "key long, found binary, word binary, n long"
 
-    def rows(keys: list, found: list, words: Counter) -> pa.RecordBatch:
+    def rows(keys: list, found: list, words: dict[bytes, int]) -> pa.RecordBatch:
         n = len(keys)
         return pa.RecordBatch.from_arrays(
             [pa.array(keys + [None] * len(words), pa.int64()),
@@ -214,20 +262,20 @@ def encode(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             names=["key", "found", "word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Counter()
+        words = _Numbers()
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 part = whole.slice(start, 256)
-                texts = [v.as_py() for v in part.column("text")]
-                for text in texts:
-                    words.update((text or "").encode().split())
+                found = []
+                for text in part.column("text"):
+                    found.append(packed(words.buckets(text.as_py())))
+                    words.count()
                 full = len(words) > DISTINCT
-                yield rows(part.column("key").to_pylist(), [packed(buckets(t)) for t in texts],
-                           words if full else Counter())
+                yield rows(part.column("key").to_pylist(), found, words.total() if full else {})
                 if full:
-                    words = Counter()
+                    words = _Numbers()
         if words:
-            yield rows([], [], words)
+            yield rows([], [], words.total())
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -391,23 +439,33 @@ def score(docs: DataFrame, model: Model, with_text: bool = True) -> DataFrame:
     logs = np.append(np.array(list(model.common.values()), np.float64)[order], 0.0)
     n_common = len(model.common)
 
+    def looked_up(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The classes of words, what their counts add to the logarithm, and which are common."""
+        of = classes[(h % np.uint64(BUCKETS)).astype(np.int64)]
+        spot = np.searchsorted(hashes[:n_common], h)
+        common = (spot < n_common) & (hashes[spot] == h)
+        return of, np.where(common, logs[spot], 0.0) - log_counts[of], common
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, facts = _Numbers(), looked_up(np.zeros(0, np.uint64))
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 part = whole.slice(start, 256)
-                found = [word_hashes(v.as_py()) for v in part.column(text_column)]
-                stream, at, owner = _joined(
-                    [classes[(h % np.uint64(BUCKETS)).astype(np.int64)] for h in found])
-                n = np.bincount(owner, minlength=len(found))
-                each = log_probs(weights, stream, at) - log_counts[stream[at]]
-                every = np.concatenate(found)
-                spot = np.searchsorted(hashes[:n_common], every)
-                common = (spot < n_common) & (hashes[spot] == every)
-                each += np.where(common, logs[spot], 0.0)
-                total = np.bincount(owner, each, len(found)).astype(np.float64)
+                if len(known) > KNOWN:  # forget, never grow with the corpus
+                    known, facts = _Numbers(), looked_up(np.zeros(0, np.uint64))
+                numbers = [known.of(v.as_py()) for v in part.column(text_column)]
+                fresh = looked_up(known.hash_of[len(facts[0]):len(known)])
+                facts = tuple(np.concatenate(x) for x in zip(facts, fresh))
+                of, added, is_common = facts
+                stream, at, owner = _joined([np.take(of, x) for x in numbers])
+                n = np.bincount(owner, minlength=len(numbers))
+                every = np.concatenate(numbers)
+                each = log_probs(weights, stream, at) + np.take(added, every)
+                total = np.bincount(owner, each, len(numbers)).astype(np.float64)
                 rare, times = [], []
-                for h, is_common in zip(found, np.split(common, np.cumsum(n)[:-1])):
-                    word, k = np.unique(h[~is_common], return_counts=True)
+                for x in numbers:
+                    word, k = np.unique(
+                        np.take(known.hash_of, x[~np.take(is_common, x)]), return_counts=True)
                     rare.append(word.view(np.int64))
                     times.append(k)
                 ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rare])]), pa.int32())

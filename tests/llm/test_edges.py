@@ -425,3 +425,23 @@ def test_small_shares_are_kept_whole(spark):
     for share, want in ((0.0004, [False, True]), (0.00025, [True, True])):
         got = decontaminate(docs, bench, share=share).orderBy("doc_id").collect()
         assert [r["contaminated"] for r in got] == want
+
+
+def test_pseudo_likelihood_looks_a_word_up_once(spark, monkeypatch):
+    from collections import Counter
+
+    from quillmill.llm import pseudo_likelihood as module
+
+    texts = [" ".join(f"w{i * k % 9001}" for k in range(i)) for i in range(0, 700, 7)] + [None, "", "w1 w1"]
+    counted, numbers = Counter(), module._Numbers()
+    for text in texts:
+        counted.update((text or "").encode().split())
+        assert numbers.buckets(text).tolist() == module.buckets(text).tolist()
+        numbers.count(1000)
+    assert len(counted) > 4096 and numbers.total() == counted
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = train(df)
+    assert {bytes(r["word"]): r["n"] for r in model.words.collect()} == counted
+    want = score(df, model).orderBy("doc_id").collect()
+    monkeypatch.setattr(module, "KNOWN", 10)
+    assert score(df, model).orderBy("doc_id").collect() == want
