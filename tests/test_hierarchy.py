@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.operators import hierarchy
+from quillmill.operators import hierarchy, neighbours
 from quillmill.operators.neighbours import neighbour_lists
 from quillmill.plans.failures import failure_map
 
@@ -204,3 +204,30 @@ def test_failure_map_without_a_radius(spark):
     points = {r.sample_id: r for r in failure_map(rows, vectors).collect()}
     assert sorted(points) == list(range(12))
     assert [points[i].cluster_id for i in range(12)] == [0] * 5 + [5] * 6 + [-1]
+
+
+@pytest.mark.parametrize("cells", [1, 5])
+def test_a_round_compares_each_pair_once_in_any_cells(spark, cells):
+    rng = np.random.default_rng(7)
+    n, k = 300, 6
+    vectors = rng.normal(size=(n, 5))
+    vectors[:150] = vectors[:150].astype(np.float32)  # both forms of a code
+    away = np.sqrt(((vectors[:, None] - vectors[None]) ** 2).sum(2))
+    state = {i: sorted((float(away[i, j]), int(j)) for j in rng.choice(n, k + 1, replace=False) if j != i)[:k]
+             for i in range(n)}
+    lists = neighbours._since(spark.createDataFrame(
+        [(i, state[i]) for i in range(n)], "id long, list array<struct<d:double,n:long>>"), 0)
+    codes, before = neighbours._codes(frame(spark, vectors)), None
+    for turn in range(2):
+        members = {i: {j for _, j in state[i]} for i in range(n)}
+        for i in range(n):
+            listing = sorted((away[i, j], j) for j in range(n) if i in {m for _, m in state[j]})[:k]
+            members[i] |= {j for _, j in listing}
+        met = {i: set() for i in range(n)}
+        for group in members.values():
+            for i in group:
+                met[i] |= group - {i}
+        state = {i: sorted(set(state[i]) | {(float(away[i, j]), j) for j in met[i]})[:k] for i in range(n)}
+        lists, before = neighbours._descend(codes, lists, before, k, turn, cells)
+        got = {r["id"]: [x["n"] for x in r["list"]] for r in lists.collect()}
+        assert got == {i: [j for _, j in state[i]] for i in range(n)}

@@ -3,9 +3,10 @@
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from quillmill.operators.layout import bandwidths, fuzzy_edges, neighbour_layout
+from quillmill.operators.layout import A, B, bandwidths, fuzzy_edges, neighbour_layout, pulls, tiles
 from quillmill.operators.neighbours import neighbour_lists
 
 
@@ -64,3 +65,39 @@ def test_edges(spark):
     assert len(got) == 6 and got[1] is None and got[2] is None and got[5] is not None
     assert neighbour_layout(df.where("id < 4"), "id", "vector").where("x IS NOT NULL").count() == 0
     assert neighbour_layout(df.where(F.lit(False)), "id", "vector").count() == 0
+
+
+def test_rounds_send_positions_not_links(spark):
+    rng = np.random.default_rng(4)
+    n, k = 3000, 40
+    rows = [(i, int(b), float(w)) for i in range(n)
+            for b, w in zip(rng.choice(n, k, replace=False), rng.random(k) + 0.1) if b != i]
+    rows += [(0, b, 0.5) for b in range(1, n)]  # a point that nearly all are linked with
+    links = spark.createDataFrame(rows, "a long, b long, weight double").dropDuplicates(["a", "b"])
+    stored, cells = tiles(links, n)
+    got = [(r["a"], b) for r in stored.collect() for b in r["b"]]
+    assert sorted(got) == sorted((r["a"], r["b"]) for r in links.collect())
+    ids = {r["id"]: r["cells"] for r in cells.collect()}
+    for r in stored.collect():
+        assert all(r["g"] in ids[i] for i in [r["a"], *r["b"]])
+    # One position per tile and point, where every link had one at each end.
+    assert sum(map(len, ids.values())) < links.count() / 5
+
+
+def test_pulls_of_a_tile(spark):
+    rng = np.random.default_rng(6)
+    at = rng.normal(size=(50, 2))
+    at[1] = at[0]  # no pull between points of one place
+    tile = pd.DataFrame({"g": 0, "a": [3, 0], "b": [np.array([4, 5, 9]), np.array([1, 7])],
+                         "weight": [np.array([1.0, 0.5, 0.1]), np.array([0.3, 0.2])]})
+    seen = pd.DataFrame({"id": np.arange(50), "x": at[:, 0], "y": at[:, 1]}).sample(frac=1, random_state=1)
+    got = pulls(tile, seen).set_index("id")
+    for a, to, weights in tile[["a", "b", "weight"]].itertuples(index=False):
+        total = np.zeros(2)
+        for b, w in zip(to, weights):
+            gap = at[a] - at[b]
+            square = float(gap @ gap)
+            if square > 0:
+                total += w * np.clip(-2 * A * B * square ** (B - 1) / (1 + A * square ** B) * gap, -4, 4)
+        assert np.allclose(got.loc[a, ["ax", "ay"]].to_numpy(float), total)
+        assert abs(got.loc[a, "weight"] - sum(weights)) < 1e-12
