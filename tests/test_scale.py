@@ -1,5 +1,7 @@
 """Building blocks for hot keys, ranks, percentiles and components."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from quillmill.functions.draws import draw_key, number, draw
 from quillmill.operators import clustering, scale
 from quillmill.operators.graph import component_roots
+from quillmill.session import SWEEP, materialize
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
@@ -218,3 +221,53 @@ def test_rows_without_a_finite_vector_are_noise(spark):
     )
     got = clustering.density_clusters(df, "id", "v", 0.5, min_size=2).collect()
     assert sorted(map(tuple, got)) == [(1, 1), (2, 1), (3, -1), (4, -1), (5, -1)]
+
+
+def test_points_that_cells_do_not_part_are_not_copied(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(400, 24))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    stored, inner = {}, clustering.materialize
+
+    def storing(df, name):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        kept = inner(df, name)
+        stored.setdefault(name, []).append((kept.count(), "explode" in plan))
+        return kept
+
+    monkeypatch.setattr(clustering, "materialize", storing)
+    monkeypatch.setattr(clustering, "TILE", 20)
+    monkeypatch.setattr(clustering, "STRIP", 150, raising=False)
+    clusters(spark, points, 0.9, min_size=2)  # few links, no large component
+    assert "cells" not in stored  # up to one row per point and pivot
+    assert len(stored["links"]) >= 3 and not any(copied for _, copied in stored["links"])
+    assert all(rows <= 400 for name in stored for rows, _ in stored[name])
+
+
+@pytest.mark.parametrize("block", [1, 256])
+def test_near_pairs_are_those_of_plain_distances(block):
+    rng = np.random.default_rng(2)
+    rows = rng.integers(-3, 4, (90, 5)) * 0.1 + 40
+    others = np.concatenate([rows[:40], rng.integers(-3, 4, (block, 5)) * 0.1 + 40])
+    for eps in (0.0, 0.1, 0.2, 0.5):  # many distances equal the radius but for rounding
+        want = np.nonzero(np.sqrt(((rows[:, None] - others[None]) ** 2).sum(2)) <= eps)
+        got = clustering._near(rows, others, eps)
+        assert [x.tolist() for x in got] == [x.tolist() for x in want]
+
+
+def test_shuffle_files_go_when_a_result_is_stored(spark):
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def files():
+        names = manager.getAllFiles().mkString("\n").split("\n")
+        return {name for name in names if "/shuffle_" in name}
+
+    before = files()
+    kept = materialize(spark.range(10_000).groupBy((F.col("id") % 977).alias("k")).count(), "swept")
+    for _ in range(50):
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and kept.count() == 977
+    assert spark.conf.get(SWEEP, None) in (None, "false")
